@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks import html
+from checks import html, text
 
-QUERIES = {**html.QUERIES}
-ORACLE = {**html.ORACLE}
+QUERIES = {**html.QUERIES, **text.QUERIES}
+ORACLE = {**html.ORACLE, **text.ORACLE}

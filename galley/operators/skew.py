@@ -43,3 +43,24 @@ def balanced_lookup(
     joined = marked.join(cold, [*keys, "_spread"], "left")
     out = [F.coalesce(F.col(hot_names[n]), F.col(n)).alias(n) for n in values]
     return joined.select(*rows.columns, *out)
+
+
+def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str) -> DataFrame:
+    """Left join where ``rows`` may hold one key very often and ``lookup`` rows are too wide to broadcast.
+
+    A key that holds 1/HOT_SHARE or more of the rows is cut into as many parts as it has such shares,
+    and its lookup row is copied once per part. What is broadcast is the list of hot keys with their
+    number of parts: at most HOT_SHARE short rows.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total = rows.agg(F.count("*")).scalar()
+    hot = F.broadcast(
+        counts.filter(F.col("_n") * HOT_SHARE >= total).select(
+            *keys, F.ceil(F.col("_n") * HOT_SHARE / total).cast("int").alias("_parts")
+        )
+    )
+    parts = F.coalesce("_parts", F.lit(1))
+    salted = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int"))
+    copies = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    joined = salted.drop("_parts").join(copies.drop("_parts"), [*keys, "_salt"], "left")
+    return joined.drop("_salt")

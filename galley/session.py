@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,15 +35,22 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
-def cut_lineage(frame: DataFrame, fallback_dir: str | None = None) -> DataFrame:
+def work_folder(spark: SparkSession) -> str | None:
+    """The shared folder; on a single machine without one, a new temporary folder; else None."""
+    folder = checkpoint_folder(spark)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="galley-")
+    return folder
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
     """Materialise a frame that several branches read, on storage that outlives executors.
 
-    The folder comes from ``spark.checkpoint.dir``; ``fallback_dir`` is used only where the session
-    sets none. With neither, the frame is returned as it is and Spark recomputes it per branch.
+    The folder comes from ``spark.checkpoint.dir``. A cluster that names none gets the frame back as
+    it is, and Spark recomputes it per branch.
     """
-    spark = frame.sparkSession
-    folder = checkpoint_folder(spark) or fallback_dir
+    folder = work_folder(frame.sparkSession)
     if folder is None:
         return frame
-    spark.sparkContext.setCheckpointDir(folder)
+    frame.sparkSession.sparkContext.setCheckpointDir(folder)
     return frame.checkpoint()
