@@ -12,14 +12,13 @@ from galley.functions.dates import parse_date
 from galley.operators import dom
 from galley.operators.boilerplate import boilerplate_nodes
 from galley.operators.extraction import best_container, candidates, extract, first_container_text, generic_paragraphs, site_texts
-from galley.operators.parsing import choose_fallback, fallback_lists, generic_content, parse
+from galley.operators.parsing import choose_fallback, fallback_lists, generic_lists, parse
 from galley.operators.records import kept_text, page_records, token_at, whole_text
 from galley.operators.reports import corpus_report, removed_report
 from galley.operators.selectors import attach_site, match_selectors
 from galley.plans.articles import article_errors, extract_articles
 from galley.sources.pages import split_invalid
 from galley.sources.rules import (
-    built_in_rules,
     load_site_rules,
     selector_rows,
     site_table,
@@ -33,7 +32,7 @@ def _pages(spark, sf_dir):
 
 
 def _records(source):
-    return lambda spark, sf_dir: page_records(source(spark, sf_dir), load_site_rules(spark))
+    return lambda spark, sf_dir: page_records(source(spark, sf_dir))
 
 
 def _stamp(column: str):
@@ -202,8 +201,8 @@ def p17_quality_warning(spark, sf_dir):
 
 
 def w3_choose_fallback(spark, sf_dir):
-    choice = choose_fallback(fallback_lists(), generic_content())
-    rows = styled(spark, sf_dir).withColumn("choice", choice)
+    lists = styled(spark, sf_dir).select("page_id", fallback_lists().alias("l"), generic_lists().alias("g"))
+    rows = lists.withColumn("choice", choose_fallback(F.col("l"), F.col("g")))
     return rows.select(
         "page_id",
         "choice.method",

@@ -116,9 +116,13 @@ sm AS MATERIALIZED (SELECT {key}, summary, original_length, length(summary) AS s
   (SELECT k, string_agg(sentence, '. ' ORDER BY i) || '.' AS s FROM tp GROUP BY ALL) x ON x.k = us.k))"""
 
 
-NORMALIZED = f"""WITH us AS MATERIALIZED (SELECT * FROM documents WHERE {LONG}),
-ln AS MATERIALIZED (SELECT doc_id, source, line, min(i) AS i FROM (SELECT doc_id, source, generate_subscripts(l, 1) AS i, trim(unnest(l)) AS line FROM
-  (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM us)) WHERE line <> '' GROUP BY ALL),
-cm AS (SELECT source, line FROM ln GROUP BY ALL HAVING count(*) >= 5),
-nm AS MATERIALIZED (SELECT us.doc_id, us.source, us.lang, length(us.text) AS original_length, coalesce(x.t, '') AS normalized_text FROM us LEFT JOIN (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM ln WHERE (source, line) NOT IN (SELECT (source, line) FROM cm) GROUP BY ALL) x USING (doc_id))"""
+def normalized(source: str = "documents", key: str = "doc_id", text: str = "text", site: str = "source") -> str:
+    return f"""WITH us AS MATERIALIZED (SELECT {key} AS k, {site} AS site, {text} AS t FROM {source} WHERE length({text}) <= 100000 AND regexp_matches({text}, {q(WORD)})),
+ln AS MATERIALIZED (SELECT k, site, line, min(i) AS i FROM (SELECT k, site, generate_subscripts(l, 1) AS i, trim(unnest(l)) AS line FROM
+  (SELECT k, site, string_split(t, chr(10)) AS l FROM us)) WHERE line <> '' GROUP BY ALL),
+cm AS (SELECT site, line FROM ln GROUP BY ALL HAVING count(*) >= 5),
+nm AS MATERIALIZED (SELECT us.k AS {key}, length(us.t) AS original_length, coalesce(x.t, '') AS normalized_text FROM us LEFT JOIN (
+  SELECT k, string_agg(line, chr(10) ORDER BY i) AS t FROM ln WHERE NOT EXISTS (SELECT 1 FROM cm WHERE cm.site = ln.site AND cm.line = ln.line) GROUP BY ALL) x ON x.k = us.k)"""
+
+
+NORMALIZED = normalized()

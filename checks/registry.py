@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks import html, text
+from checks import html, jobs, text
 
-QUERIES = {**html.QUERIES, **text.QUERIES}
-ORACLE = {**html.ORACLE, **text.ORACLE}
+QUERIES = {**html.QUERIES, **text.QUERIES, **jobs.QUERIES}
+ORACLE = {**html.ORACLE, **text.ORACLE, **jobs.ORACLE}

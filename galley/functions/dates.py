@@ -25,13 +25,20 @@ def parse_date(text: Column) -> Column:
     An offset is honoured and the result is an instant; a date without one is read in the session
     time zone (UTC in our sessions).
     """
-    value = collapse(text)
+    # bound once by the outer transform: the text may be a costly expression
+    cleaned = F.transform(F.array(text), collapse)
+    return F.get(F.transform(cleaned, _first_fit), F.lit(0))
+
+
+def _first_fit(value: Column) -> Column:
     # month names match in any case; a colon in the offset is optional
-    named = F.when(value.rlike("[A-Za-z]{3}"), F.initcap(value)).otherwise(value)
     attempts = []
     for shape, pattern in DATE_FORMATS:
-        candidate = named
         if "XX" in pattern:
             candidate = F.regexp_replace(value, r"([+-]\d{2}):(\d{2})$", "$1$2")
+        elif "MMMM" in pattern:
+            candidate = F.initcap(value)
+        else:
+            candidate = value
         attempts.append(F.when(candidate.rlike(shape), F.try_to_timestamp(candidate, F.lit(pattern))))
     return F.coalesce(*attempts)

@@ -85,15 +85,15 @@ def attribute_list(token: Column) -> Column:
     inner = F.regexp_replace(token, r"^<[a-zA-Z][^\s/>]*|/?>$", "")
     found = F.regexp_extract_all(inner, F.lit(ATTRIBUTE), F.lit(0))
 
-    def one(item: Column) -> Column:
+    def pair(item: Column) -> Column:
         value = F.regexp_extract(item, r"""(?s)^[^=]*=\s*["']?(.*?)["']?$""", 1)
-        return F.struct(
-            F.lower(F.regexp_extract(item, r"^([^\s=]+)", 1)).alias("k"),
-            decode_entities(value).alias("v"),
-        )
+        return F.struct(F.lower(F.regexp_extract(item, r"^([^\s=]+)", 1)).alias("k"), value.alias("v"))
+
+    def decoded(a: Column) -> Column:
+        return F.struct(a.k.alias("k"), decode_entities(a.v).alias("v"))
 
     none = F.array().cast("array<struct<k:string,v:string>>")
-    return F.when(inner.rlike(r"\S"), F.transform(found, one)).otherwise(none)
+    return F.when(inner.rlike(r"\S"), F.transform(F.transform(found, pair), decoded)).otherwise(none)
 
 
 def attribute(attrs: Column, name: Column | str) -> Column:

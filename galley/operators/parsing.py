@@ -42,13 +42,21 @@ def first_date(field: str) -> Column:
     return parse_date(F.get(texts, F.lit(0)))
 
 
-def first_generic_date(field: str, priorities: int) -> Column:
-    """Like ``first_date`` selector by selector: the first selector whose date parses."""
-    dates = []
-    for i in range(priorities):
-        texts = F.filter(F.transform(hits_of(field, i), _date_text), lambda t: F.length(t) > 0)
-        dates.append(parse_date(F.get(texts, F.lit(0))))
-    return F.coalesce(*dates)
+def generic_date_texts(priorities: int = 5) -> Column:
+    """Per generic date selector, the text its first dated hit shows; selectors without one are left out."""
+
+    def first_shown(i: Column) -> Column:
+        texts = F.filter(F.transform(hits_of("g_date", i), _date_text), lambda t: F.length(t) > 0)
+        return F.get(texts, F.lit(0))
+
+    shown = F.transform(F.sequence(F.lit(0), F.lit(priorities - 1)), first_shown)
+    return F.filter(shown, lambda t: t.isNotNull())
+
+
+def first_parsed(texts: Column) -> Column:
+    """The date of the first text that parses."""
+    dates = F.transform(texts, lambda t: parse_date(t))
+    return F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
 
 
 def paragraphs_of(field: str, priority: Column | int | None = None) -> Column:
@@ -68,26 +76,32 @@ def fallback_lists() -> Column:
     )
 
 
+def generic_lists(priorities: int = 6) -> Column:
+    """Per generic selector, its paragraphs; only lists of more than two are kept."""
+    lists = F.transform(F.sequence(F.lit(0), F.lit(priorities - 1)), lambda i: paragraphs_of("g_content", i))
+    return F.filter(lists, lambda found: F.size(found) > 2)
+
+
 def choose_fallback(lists: Column, generic: Column) -> Column:
-    """The first list of more than two paragraphs; else the last list; else the generic paragraphs."""
+    """The first list of more than two paragraphs; else the last list; else the generic paragraphs.
+
+    ``lists`` and ``generic`` are columns that hold ``fallback_lists`` and ``generic_lists``.
+    """
     rich = F.get(F.filter(lists, lambda c: F.size(c.paragraphs) > 2), F.lit(0))
     last = F.try_element_at(lists, F.lit(-1)).paragraphs
+    empty = F.array().cast("array<string>")
     return (
-        F.when(rich.isNotNull(), rich)
+        F.when(F.exists(lists, lambda c: F.size(c.paragraphs) > 2), rich)
         .when(F.size(last) > 0, F.struct(F.lit("generic_fallback").alias("method"), last.alias("paragraphs")))
-        .otherwise(F.struct(F.lit("generic_extraction").alias("method"), generic.alias("paragraphs")))
+        .otherwise(
+            F.struct(
+                F.lit("generic_extraction").alias("method"),
+                F.coalesce(F.get(generic, F.lit(0)), empty).alias("paragraphs"),
+            )
+        )
     )
 
 
-def generic_content(priorities: int = 6) -> Column:
-    """Paragraphs of the first generic selector that finds more than two; empty if none does."""
-    result = F.array().cast("array<string>")
-    for i in reversed(range(priorities)):
-        found = paragraphs_of("g_content", i)
-        result = F.when(F.size(found) > 2, found).otherwise(result)
-    return result
-
-
 def parse(records: DataFrame) -> DataFrame:
     """Add ``title, author, publish_date, content, extraction_method, confidence_score``.
 
@@ -104,14 +118,22 @@ def parse(records: DataFrame) -> DataFrame:
     )
     rows = _scored(rows, "site")
     weak = F.col("site_confidence") < FALLBACK_BELOW
-    rows = rows.withColumn(
-        "_fallback", F.when(weak, choose_fallback(fallback_lists(), generic_content()))
+    rows = rows.select(
+        "*",
+        F.when(weak, fallback_lists()).alias("_lists"),
+        F.when(weak, generic_lists()).alias("_generic"),
+        F.when(weak, generic_date_texts()).alias("_dates"),
     )
+    choice = F.when(weak, choose_fallback(F.col("_lists"), F.col("_generic")))
     rows = rows.select(
         "*",
+        choice.alias("_fallback"),
         F.when(weak, first_title("g_title")).alias("fallback_title"),
         F.when(weak, first_author("g_author")).alias("fallback_author"),
-        F.when(weak, first_generic_date("g_date", 5)).alias("fallback_date"),
+        first_parsed(F.col("_dates")).alias("fallback_date"),
+    )
+    rows = rows.select(
+        "*",
         F.col("_fallback.paragraphs").alias("fallback_paragraphs"),
         F.col("_fallback.method").alias("fallback_method"),
     )
@@ -132,7 +154,7 @@ def parse(records: DataFrame) -> DataFrame:
         F.size(pick("paragraphs")).alias("parsed_paragraphs"),
         pick("method").alias("extraction_method"),
         pick("confidence").alias("confidence_score"),
-    ).drop("_fallback", "_better")
+    ).drop("_fallback", "_better", "_lists", "_generic", "_dates")
 
 
 def _scored(rows: DataFrame, prefix: str, factor: float = 1.0) -> DataFrame:

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from galley.functions.markup import class_list
 from galley.functions.urls import domain_of, site_key
-from galley.operators.skew import broadcast_if_small
+from galley.operators.skew import marked_small
 from galley.sources.rules import GENERIC_SITE
 
 
-def attach_site(pages: DataFrame, sites: DataFrame) -> DataFrame:
-    """Add ``domain``, ``site`` (the rule site, ``*`` when there is none) and ``supported``."""
-    known = broadcast_if_small(sites.filter(F.col("site") != GENERIC_SITE).select("site"))
+def attach_site(pages: DataFrame, sites: DataFrame, small: bool = True) -> DataFrame:
+    """Add ``domain``, ``site`` (the rule site, ``*`` when there is none) and ``supported``.
+
+    ``small`` says that the rule tables were found small enough to broadcast, here and below.
+    """
+    known = marked_small(sites.filter(F.col("site") != GENERIC_SITE).select("site"), small)
     keyed = pages.withColumn("domain", domain_of(F.col("url")))
     joined = keyed.withColumn("_key", site_key(F.col("domain"))).join(
         known, F.col("_key") == F.col("site"), "left"
@@ -46,7 +49,7 @@ def _matches(side: str) -> Column:
     )
 
 
-def match_rows(rows: DataFrame, selectors: DataFrame) -> DataFrame:
+def match_rows(rows: DataFrame, selectors: DataFrame, small: bool = True) -> DataFrame:
     """Every DOM row once (``field`` NULL), plus one row per node and rule it is a hit of.
 
     ``rows`` are DOM rows with ``site``. The descendant step needs no node pairs: a leaf is inside an
@@ -56,7 +59,7 @@ def match_rows(rows: DataFrame, selectors: DataFrame) -> DataFrame:
     base = selectors.select("site").distinct()
     rule_columns = [c for c in selectors.columns if c != "site"]
     base = base.select("site", *[F.lit(None).cast(selectors.schema[c].dataType).alias(c) for c in rule_columns])
-    rules = broadcast_if_small(selectors.unionByName(base)).alias("r")
+    rules = marked_small(selectors.unionByName(base), small).alias("r")
     nodes = rows.withColumn("classes", F.when(F.size("attrs") > 0, class_list(F.col("attrs")))).alias("n")
     is_node = F.col("n.kind").isin("open", "void")
     leaf = F.coalesce(is_node & _matches("leaf"), F.lit(False))
@@ -75,10 +78,10 @@ def match_rows(rows: DataFrame, selectors: DataFrame) -> DataFrame:
     return joined.filter(hit).drop("_leaf", "_anc", "_inside", "classes")
 
 
-def match_selectors(rows: DataFrame, selectors: DataFrame) -> DataFrame:
+def match_selectors(rows: DataFrame, selectors: DataFrame, small: bool = True) -> DataFrame:
     """Nodes matched per field and priority, each once however many alternatives fit."""
     return (
-        match_rows(rows, selectors)
+        match_rows(rows, selectors, small)
         .filter("field IS NOT NULL")
         .groupBy("page_id", "field", "priority", "pos")
         .agg(F.first("end").alias("end"), F.first("tag").alias("tag"), F.first("gone").alias("gone"))

@@ -11,11 +11,14 @@ DIMENSION_ROWS = 200_000
 HOT_SHARE = 2_000
 
 
-def broadcast_if_small(frame: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFrame:
-    """Mark a dimension for broadcast only after counting that it has at most ``max_rows`` rows."""
-    if frame.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(frame)
-    return frame
+def small_enough(frame: DataFrame, max_rows: int = DIMENSION_ROWS) -> bool:
+    """Count a dimension, no further than the limit, before it may be broadcast."""
+    return frame.limit(max_rows + 1).count() <= max_rows
+
+
+def marked_small(frame: DataFrame, small: bool) -> DataFrame:
+    """Mark a dimension for broadcast where its size was checked; else leave the join to AQE."""
+    return F.broadcast(frame) if small else frame
 
 
 def balanced_lookup(

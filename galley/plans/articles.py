@@ -10,7 +10,6 @@ from galley.operators.extraction import extract
 from galley.operators.parsing import parse
 from galley.operators.records import page_records
 from galley.sources.pages import split_invalid
-from galley.sources.rules import load_site_rules
 
 ARTICLE_COLUMNS = (
     "page_id", "url", "domain", "title", "author", "publish_date", "content", "clean_content",
@@ -24,7 +23,6 @@ def article_rows(pages: DataFrame, rules: DataFrame | None = None, **options) ->
 
     Both branches read the same page record, so a page is broken up once and shuffled once.
     """
-    rules = load_site_rules(pages.sparkSession) if rules is None else rules
     usable, _ = split_invalid(pages)
     return parse(extract(page_records(usable, rules, **options)))
 

@@ -53,7 +53,8 @@ def stream_error_windows(
     """
     errors = F.count_if(F.col("event_type") == "error")
     counts = (
-        events.withWatermark("ts", lateness)
+        events.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", lateness)
         .groupBy(F.window("ts", PERIOD))
         .agg(errors.alias("errors"))
         .select(F.col("window.start").alias("window_start"), "errors")
