@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from galley.functions.lexicon import LETTERS, STOP_WORDS, WORDS
+from galley.functions.lexicon import STOP_WORDS, WORDS
 from galley.operators.skew import balanced_lookup
 
 TOP_PHRASES = 10
@@ -18,57 +18,62 @@ LONGEST = 3
 def word_rows(texts: DataFrame, key: str = "doc_id", text: str = "text", clustered: bool = False) -> DataFrame:
     """Words with character offsets and sentence numbers: ``key, i, word, begin, sentence``.
 
-    The text is cut into words and gaps; an offset is the running length, a sentence number the
-    running count of gaps that end one. Texts are hashed by key once, before they are cut.
+    The text is cut into words and the gaps before them; an offset is the running length, a sentence
+    number the running count of gaps that end one. Texts are hashed by key once, before they are cut.
     """
     source = texts.select(key, F.lower(text).alias("_text"))
     if not clustered:
         source = source.repartition(key)
-    pieces = F.regexp_extract_all("_text", F.lit(f"{WORDS}|[^{LETTERS}]+"), F.lit(0))
-    rows = source.select(key, F.posexplode(pieces).alias("i", "piece"))
-    before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.select(
-        "*",
-        F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).cast("int").alias("begin"),
-        F.coalesce(F.sum(F.when(F.col("piece").rlike(r"[.!?\n]"), 1).otherwise(0)).over(before), F.lit(0))
-        .cast("int")
-        .alias("sentence"),
+    gaps = F.transform(
+        F.split("_text", WORDS),
+        lambda g: F.struct(F.length(g).alias("len"), g.rlike(r"[.!?\n]").cast("int").alias("ends")),
+    )
+    words = F.regexp_extract_all("_text", F.lit(WORDS), F.lit(0))
+    # a gap stands before every word; the one after the last word has no word and is cut off
+    pairs = F.slice(F.arrays_zip(gaps.alias("gap"), words.alias("word")), F.lit(1), F.size(words))
+    rows = source.select(key, F.posexplode(pairs).alias("i", "p"))
+    so_far = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    size = F.length("p.word")
+    return rows.select(
+        key,
+        "i",
+        F.col("p.word").alias("word"),
+        (F.sum(F.col("p.gap.len") + size).over(so_far) - size).cast("int").alias("begin"),
+        F.sum("p.gap.ends").over(so_far).cast("int").alias("sentence"),
     )
-    return rows.filter(F.col("piece").rlike(f"^[{LETTERS}]")).withColumnRenamed("piece", "word")
+
+
+# a place is packed into one long, begin above, length below, so that its minimum is a plain number
+_LENGTH_BITS = 24
 
 
 def gram_rows(words: DataFrame, key: str = "doc_id", longest: int = LONGEST) -> DataFrame:
-    """Per text and gram: how often it occurs and where it occurs first.
+    """Per text and gram: ``tf`` and the first place as ``begin`` and ``end``.
 
     Grams of one to ``longest`` adjacent words of one sentence, none starting or ending with a stop
     word.
     """
     order = Window.partitionBy(key).orderBy("i")
-    columns = [F.struct(F.col("word").alias("w"), F.col("sentence").alias("s"), F.col("begin").alias("b")).alias("_0")]
-    for n in range(1, longest):
-        ahead = F.lead(F.struct(F.col("word").alias("w"), F.col("sentence").alias("s"), F.col("begin").alias("b")), n)
-        columns.append(ahead.over(order).alias(f"_{n}"))
-    rows = words.select(key, "i", *columns)
+    rows = words.withColumn("stop", F.col("word").isin(*STOP_WORDS))
+    here = F.struct("word", "sentence", "begin", "stop")
+    rows = rows.select(
+        key, here.alias("_0"), *[F.lead(here, n).over(order).alias(f"_{n}") for n in range(1, longest)]
+    ).filter("NOT _0.stop")
     grams = []
     for n in range(longest):
         last = F.col(f"_{n}")
-        fits = (
-            (last.s == F.col("_0.s"))
-            & ~F.col("_0.w").isin(*STOP_WORDS)
-            & (~last.w.isin(*STOP_WORDS) if n else F.lit(True))
-        )
-        gram = F.struct(
-            F.concat_ws(" ", *[F.col(f"_{k}.w") for k in range(n + 1)]).alias("gram"),
-            F.lit(n + 1).alias("n"),
-            F.col("_0.b").alias("begin"),
-            (last.b + F.length(last.w)).alias("end"),
-        )
-        grams.append(F.when(fits, gram))
+        fits = (last.sentence == F.col("_0.sentence")) & ~last.stop
+        size = last.begin + F.length(last.word) - F.col("_0.begin")
+        place = F.shiftleft(F.col("_0.begin").cast("long"), _LENGTH_BITS) + size
+        gram = F.concat_ws(" ", *[F.col(f"_{k}.word") for k in range(n + 1)])
+        grams.append(F.when(fits, F.struct(gram.alias("gram"), place.alias("place"))))
     exploded = rows.select(key, F.explode(F.filter(F.array(*grams), lambda g: g.isNotNull())).alias("g"))
-    return exploded.groupBy(key, F.col("g.gram").alias("gram"), F.col("g.n").alias("n")).agg(
-        F.count("*").alias("tf"),
-        F.min(F.struct(F.col("g.begin").alias("begin"), F.col("g.end").alias("end"))).alias("first"),
+    counted = exploded.select(key, "g.gram", "g.place").groupBy(key, "gram").agg(
+        F.count("*").alias("tf"), F.min("place").alias("place")
     )
+    begin = F.shiftright("place", _LENGTH_BITS).cast("int")
+    size = F.col("place").bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1)).cast("int")
+    return counted.select(key, "gram", "tf", begin.alias("begin"), (begin + size).alias("end"))
 
 
 def document_frequency(grams: DataFrame) -> DataFrame:
@@ -95,15 +100,15 @@ def key_phrases(texts: DataFrame, key: str = "doc_id", text: str = "text", clust
     """
     grams = gram_rows(word_rows(texts, key, text, clustered), key)
     scored = with_tfidf(grams, texts, key)
-    best = F.max("raw").over(Window.partitionBy(key))
-    scaled = F.when(best > 0, F.col("raw") / best).otherwise(0.0)
+    scored = scored.withColumn("_best", F.max("raw").over(Window.partitionBy(key)))
+    scaled = F.when(F.col("_best") > 0, F.col("raw") / F.col("_best")).otherwise(0.0)
     return scored.select(
         key,
         F.col("gram").alias("text"),
-        F.col("n").alias("n_words"),
+        (F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit(""))) + 1).alias("n_words"),
         F.round(scaled, 6).alias("confidence"),
-        F.col("first.begin").alias("begin_offset"),
-        F.col("first.end").alias("end_offset"),
+        F.col("begin").alias("begin_offset"),
+        F.col("end").alias("end_offset"),
     )
 
 
