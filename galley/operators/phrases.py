@@ -67,7 +67,8 @@ def gram_rows(words: DataFrame, key: str = "doc_id", longest: int = LONGEST) ->
         place = F.shiftleft(F.col("_0.begin").cast("long"), _LENGTH_BITS) + size
         gram = F.concat_ws(" ", *[F.col(f"_{k}.word") for k in range(n + 1)])
         grams.append(F.when(fits, F.struct(gram.alias("gram"), place.alias("place"))))
-    exploded = rows.select(key, F.explode(F.filter(F.array(*grams), lambda g: g.isNotNull())).alias("g"))
+    # plain array and explode: both are compiled, a lambda here would be interpreted for every word
+    exploded = rows.select(key, F.explode(F.array(*grams)).alias("g")).filter("g IS NOT NULL")
     counted = exploded.select(key, "g.gram", "g.place").groupBy(key, "gram").agg(
         F.count("*").alias("tf"), F.min("place").alias("place")
     )
