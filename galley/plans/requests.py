@@ -31,14 +31,19 @@ def process_requests(
 ) -> RequestResults:
     """Answer every request from the page table.
 
-    Work is done once per page, however many requests name it: the flags of all requests of a page
-    are merged, its enrichments are computed once, and a request sees only what it asked for. Articles
-    feed several branches and are materialised in the shared folder first.
+    A request is answered from one page, the latest with its URL, so neither many requests for a URL
+    nor many copies of a page multiply. Only asked-for pages are extracted, once each: the flags of
+    all requests of a URL are merged, and a request then sees only what it asked for. Articles feed
+    several branches and are materialised in the shared folder first.
     """
     parsed = read_requests(requests)
     valid = parsed.filter("error_type IS NULL")
     merged = valid.groupBy("url").agg(*[F.max(f).alias(f) for f in FEATURES])
-    articles = cut_lineage(extract_articles(pages, rules).join(merged, "url"))
+    # one row per URL on both sides, then one per page: no key repeats in these joins
+    latest = pages.groupBy("url").agg(F.max("page_id").alias("page_id"))
+    asked_flags = latest.join(merged, "url").drop("url")
+    asked_pages = pages.join(asked_flags.select("page_id"), "page_id", "left_semi")
+    articles = cut_lineage(extract_articles(asked_pages, rules).join(asked_flags, "page_id"))
     asks_normal = articles.filter("llm_normalization").select("page_id", "domain", F.col("clean_content").alias("text"))
     normalized = cut_lineage(normalize_corpus(asks_normal, "page_id", "text", "domain"))
     texts = enrich_input(
@@ -69,7 +74,7 @@ def process_requests(
     rejected = parsed.filter("error_type IS NOT NULL").select(
         "request_id", "url", "error_type", "message", F.lit("request_handling").alias("step")
     )
-    unusable = article_errors(pages).select("url", F.col("message").alias("_why")).dropDuplicates(["url"])
+    unusable = article_errors(asked_pages).select("url", F.col("message").alias("_why"))
     missing = salted_join(answered.filter("page_id IS NULL").select("request_id", "url"), unusable, ["url"], "request_id")
     failed = missing.select(
         "request_id",
