@@ -372,7 +372,7 @@ ORACLE = {
     "j6_articles_dated": f"{o.articles_ctes(o.DATED)} {o.ARTICLES}",
     "j6_articles_styled": f"{o.articles_ctes(o.STYLED)} {o.ARTICLES}",
     "a8_corpus_report": f"""{o.articles_ctes(o.PLAIN)} SELECT e.domain, e.extractor_method AS method, count(*) AS articles,
-        sum(e.word_count) AS words, round(avg(p.confidence), 6) AS mean_confidence
+        CAST(sum(e.word_count) AS BIGINT) AS words, round(avg(p.confidence), 6) AS mean_confidence
         FROM ex e JOIN pr p USING (page_id) GROUP BY ROLLUP (e.domain, e.extractor_method)""",
     "o4_article_errors": """SELECT page_id, CASE WHEN page_id % 5 = 0 THEN replace(url, '://', ':') ELSE url END AS url,
         CASE WHEN page_id % 5 = 0 THEN 'SCRAPING_ERROR' WHEN page_id % 7 = 0 THEN 'NULL_INPUT' ELSE 'empty_input' END AS error_type,

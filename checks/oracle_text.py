@@ -41,7 +41,7 @@ def pii_entities(source: str = "documents", key: str = "doc_id", text: str = "te
     parts = []
     for i, (name, p) in enumerate(PATTERNS):
         parts.append(
-            f"SELECT {key}, '{name}' AS type, hits[k] AS text, 1.0 AS confidence, "
+            f"SELECT {key}, '{name}' AS type, hits[k] AS text, CAST(1.0 AS DOUBLE) AS confidence, "
             f"list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k-1], lambda x: length(x))), 0) AS begin_offset "
             f"FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM (SELECT {key}, string_split_regex(t, {q(p)}) AS gaps, "
             f"regexp_extract_all(t, {q(p)}) AS hits FROM m{i} WHERE regexp_matches(t, {q(p)})))"
@@ -90,7 +90,7 @@ tf AS MATERIALIZED (SELECT k, gram, n, count(*) AS tf, min(b) AS b, arg_min(e, b
 df AS (SELECT gram, count(*) AS df FROM tf GROUP BY ALL),
 rw AS MATERIALIZED (SELECT tf.*, tf * ln((1.0 + (SELECT count(*) FROM {source})) / (1.0 + df)) AS raw FROM tf JOIN df USING (gram)),
 kp AS MATERIALIZED (SELECT k AS {key}, gram AS text, n AS n_words, round(CASE WHEN max(raw) OVER (PARTITION BY k) > 0 THEN raw / max(raw) OVER (PARTITION BY k) ELSE 0 END, 6) AS confidence,
-  b AS begin_offset, e AS end_offset FROM rw)"""
+  CAST(b AS BIGINT) AS begin_offset, CAST(e AS BIGINT) AS end_offset FROM rw)"""
 
 
 def ranked(where: str, limit: int, key: str = "doc_id") -> str:
