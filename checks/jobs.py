@@ -28,7 +28,7 @@ from galley.operators.normalization import normalize_corpus
 from galley.operators.responses import response_json
 from galley.plans.articles import extract_articles
 from galley.plans.requests import process_requests
-from galley.session import work_folder
+from galley.session import new_path
 from galley.sources.pages import read_pages
 from galley.sources.requests import read_requests
 from galley.sources.sinks import outbox, write_articles
@@ -73,7 +73,7 @@ def p6_enabled_features(spark, sf_dir):
 
 
 def s3_write_articles(spark, sf_dir):
-    folder = f"{work_folder(spark)}/articles-{spark.sparkContext.applicationId}"
+    folder = new_path(spark, "articles")
     write_articles(extract_articles(inputs.table(spark, sf_dir, "pages")), folder)
     return spark.read.parquet(folder).groupBy("domain").agg(F.count("*").alias("articles"))
 
@@ -89,7 +89,7 @@ def s6_resolve_fetches(spark, sf_dir):
 
 
 def s7_stream_pages(spark, sf_dir):
-    folder = f"{work_folder(spark)}/stream-{abs(hash(sf_dir))}-{spark.sparkContext.startTime}"
+    folder = new_path(spark, "stream")
     stream_pages(spark, sf_dir, f"{folder}/out", f"{folder}/state", pattern="pages.parquet").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("page_id", "extractor_method", "word_count")
 
@@ -100,7 +100,7 @@ def t1_error_alarm(spark, sf_dir):
 
 
 def t1_error_alarm_stream(spark, sf_dir):
-    folder = f"{work_folder(spark)}/windows-{abs(hash(sf_dir))}-{spark.sparkContext.startTime}"
+    folder = new_path(spark, "windows")
     schema = inputs.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream_error_windows(events, f"{folder}/out", f"{folder}/state").awaitTermination()

@@ -14,7 +14,7 @@ from galley.operators.normalization import normalize_corpus
 from galley.operators.responses import build_response
 from galley.operators.skew import salted_join
 from galley.plans.articles import article_errors, extract_articles
-from galley.session import cut_lineage
+from galley.session import stage
 from galley.sources.requests import read_requests
 
 
@@ -27,14 +27,18 @@ class RequestResults:
 
 
 def process_requests(
-    requests: DataFrame, pages: DataFrame, run_ts: str, rules: DataFrame | None = None
+    requests: DataFrame,
+    pages: DataFrame,
+    run_ts: str,
+    rules: DataFrame | None = None,
+    work_folder: str | None = None,
 ) -> RequestResults:
     """Answer every request from the page table.
 
     A request is answered from one page, the latest with its URL, so neither many requests for a URL
     nor many copies of a page multiply. Only asked-for pages are extracted, once each: the flags of
     all requests of a URL are merged, and a request then sees only what it asked for. Articles feed
-    several branches and are materialised in the shared folder first.
+    several branches and are written as Parquet in ``work_folder`` (else ``spark.checkpoint.dir``) first.
     """
     parsed = read_requests(requests)
     valid = parsed.filter("error_type IS NULL")
@@ -43,9 +47,11 @@ def process_requests(
     latest = pages.groupBy("url").agg(F.max("page_id").alias("page_id"))
     asked_flags = latest.join(merged, "url").drop("url")
     asked_pages = pages.join(asked_flags.select("page_id"), "page_id", "left_semi")
-    articles = cut_lineage(extract_articles(asked_pages, rules).join(asked_flags, "page_id"))
+    articles = stage(
+        extract_articles(asked_pages, rules).join(asked_flags, "page_id"), "articles", work_folder
+    )
     asks_normal = articles.filter("llm_normalization").select("page_id", "domain", F.col("clean_content").alias("text"))
-    normalized = cut_lineage(normalize_corpus(asks_normal, "page_id", "text", "domain"))
+    normalized = stage(normalize_corpus(asks_normal, "page_id", "text", "domain"), "normalized", work_folder)
     texts = enrich_input(
         articles.select("page_id", F.col("clean_content").alias("text")), normalized, "page_id"
     ).select("page_id", "text")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,22 +40,37 @@ def checkpoint_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
-def work_folder(spark: SparkSession) -> str | None:
-    """The shared folder; on a single machine without one, a new temporary folder; else None."""
-    folder = checkpoint_folder(spark)
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="galley-")
-    return folder
+_own_folders: list[str] = []
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Materialise a frame that several branches read, on storage that outlives executors.
+def work_folder(spark: SparkSession, folder: str | None = None) -> str:
+    """The shared folder for intermediate tables: the argument, else ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. A cluster that names none gets the frame back as
-    it is, and Spark recomputes it per branch.
+    A session inside one process that names neither gets a folder of its own, once, removed when
+    the process ends. A cluster that names neither is refused: its machines share no local folder.
     """
-    folder = work_folder(frame.sparkSession)
-    if folder is None:
-        return frame
-    frame.sparkSession.sparkContext.setCheckpointDir(folder)
-    return frame.checkpoint()
+    chosen = folder or checkpoint_folder(spark)
+    if chosen:
+        return chosen.rstrip("/")
+    if not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir, or pass a folder, that all machines share")
+    if not _own_folders:
+        own = tempfile.mkdtemp(prefix="galley-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own_folders.append(own)
+    return _own_folders[0]
+
+
+def new_path(spark: SparkSession, label: str, folder: str | None = None) -> str:
+    """A path in the work folder that nothing else uses."""
+    return f"{work_folder(spark, folder)}/galley-{label}-{uuid.uuid4().hex}"
+
+
+def stage(frame: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Write a frame that several branches read as Parquet in the work folder, and read it back.
+
+    Lineage ends there, columns and filters still reach the scan, and a lost executor loses nothing.
+    """
+    path = new_path(frame.sparkSession, label, folder)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
