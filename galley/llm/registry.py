@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from galley.llm.packing import pack
 from galley.llm.quality import QUALITY_SQL, quality
+from galley.llm.simhash import simhash_groups
 from galley.llm.token_counts import token_counts
 from galley.llm.url_filters import judge_urls
 
@@ -36,6 +37,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), vocabulary(BYTE_BPE), end_id=1, capacity=2048)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(_table(spark, sf_dir, "documents"), shingle=3, radius=2)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE), limit=4096)
 
@@ -50,6 +55,7 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_simhash": op2_simhash,
     "op3_token_counts": op3_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filters": op7_url_filters,
