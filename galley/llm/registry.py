@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from galley.llm.packing import pack
 from galley.llm.quality import QUALITY_SQL, quality
 from galley.llm.simhash import simhash_groups
+from galley.llm.substring import kept_digest, remove_repeats
 from galley.llm.token_counts import token_counts
 from galley.llm.url_filters import judge_urls
 
@@ -53,12 +55,18 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = remove_repeats(_table(spark, sf_dir, "documents"), length=20)
+    return cleaned.select("doc_id", "n_words", "n_removed", kept_digest(F.col("kept_text")).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op3_token_counts": op3_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filters": op7_url_filters,
+    "op8_substring_dedup": op8_substring_dedup,
 }
 
 _HOST = r"CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
