@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galley.llm.decontamination import contaminations
 from galley.llm.packing import pack
 from galley.llm.quality import QUALITY_SQL, quality
 from galley.llm.simhash import simhash_groups
@@ -60,6 +61,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", kept_digest(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return contaminations(documents, benchmark, seed=5, threshold=0.6)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
@@ -67,6 +73,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op7_url_filters": op7_url_filters,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 _HOST = r"CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END"
