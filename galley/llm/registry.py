@@ -11,6 +11,7 @@ from galley.llm.quality import QUALITY_SQL, quality
 from galley.llm.simhash import simhash_groups
 from galley.llm.substring import kept_digest, remove_repeats
 from galley.llm.token_counts import token_counts
+from galley.llm.toxicity import toxicity
 from galley.llm.url_filters import judge_urls
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -52,6 +53,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_token_counts": op3_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_url_filters": op7_url_filters,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_decontamination": op10_decontamination,
