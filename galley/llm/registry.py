@@ -13,6 +13,7 @@ from galley.llm.substring import kept_digest, remove_repeats
 from galley.llm.token_counts import token_counts
 from galley.llm.toxicity import toxicity
 from galley.llm.url_filters import judge_urls
+from galley.llm.warc import read_archives, write_archives
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -49,6 +50,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE), limit=4096)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_archives(_table(spark, sf_dir, "pages"))
+    return read_archives(manifest, with_payload=False).drop("url")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
@@ -75,6 +81,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_simhash": op2_simhash,
     "op3_token_counts": op3_token_counts,
+    "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_url_filters": op7_url_filters,
@@ -94,3 +101,11 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p L
 
 #: The others have no SQL: tokenizers, compressed archives, learned models and iterations are not SQL.
 ORACLE = {"op5_quality_rules": QUALITY_SQL, "op7_url_filters": URL_SQL}
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+g AS (SELECT page_id, body, CASE WHEN strlen(body) >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS keeper FROM p)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS payload_digest,
+  CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to FROM g"""
+ORACLE["op4_warc"] = WARC_SQL
