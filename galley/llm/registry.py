@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galley.llm.decontamination import contaminations
+from galley.llm.lm import score_documents
 from galley.llm.packing import pack
 from galley.llm.quality import QUALITY_SQL, quality
 from galley.llm.simhash import simhash_groups
@@ -72,6 +73,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_words", "n_removed", kept_digest(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"), held_out=2, parts=7)
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
     return contaminations(documents, benchmark, seed=5, threshold=0.6)
@@ -86,6 +91,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_url_filters": op7_url_filters,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
 }
 
