@@ -228,7 +228,8 @@ def simhash_groups(
 def keep_one_of_each(documents: DataFrame, groups: DataFrame) -> DataFrame:
     """The documents that are the first of their group, all columns.
 
-    Rows that repeat both id and text count once. Where a whole group has no ids, its distinct texts stay.
+    Rows that repeat both id and text count once; other rows that share an id stand or fall together.
+    Where a whole group has no ids, its distinct texts stay.
     """
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first"))
     kept = documents.join(first.distinct(), F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
