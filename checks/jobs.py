@@ -75,7 +75,10 @@ def p6_enabled_features(spark, sf_dir):
 def s3_write_articles(spark, sf_dir):
     folder = new_path(spark, "articles")
     write_articles(extract_articles(inputs.table(spark, sf_dir, "pages")), folder)
-    return spark.read.parquet(folder).groupBy("domain").agg(F.count("*").alias("articles"))
+    written = spark.read.parquet(folder)
+    return written.select(
+        "page_id", "domain", "title", "word_count", "extraction_method", F.sha2(F.col("clean_content").cast("binary"), 256).alias("content_sha")
+    )
 
 
 def s4_outbox(spark, sf_dir):
@@ -91,7 +94,9 @@ def s6_resolve_fetches(spark, sf_dir):
 def s7_stream_pages(spark, sf_dir):
     folder = new_path(spark, "stream")
     stream_pages(spark, sf_dir, f"{folder}/out", f"{folder}/state", pattern="pages.parquet").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("page_id", "extractor_method", "word_count")
+    return spark.read.parquet(f"{folder}/out").select(
+        "page_id", "domain", "title", "extractor_method", "word_count", F.sha2(F.col("clean_content").cast("binary"), 256).alias("content_sha")
+    )
 
 
 def t1_error_alarm(spark, sf_dir):
@@ -123,7 +128,7 @@ def a9_step_metrics(spark, sf_dir):
 
 def j7_enrich_input(spark, sf_dir):
     docs = inputs.table(spark, sf_dir, "documents")
-    normalized = normalize_corpus(docs.filter("doc_id % 3 > 0"))
+    normalized = normalize_corpus(docs)
     return enrich_input(docs, normalized)
 
 
@@ -143,7 +148,10 @@ def j8_enrich(spark, sf_dir):
 
 
 def a6_call_counts(spark, sf_dir):
-    return call_counts(enrich(_flagged_docs(spark, sf_dir)))
+    docs = _flagged_docs(spark, sf_dir)
+    asked = inputs.table(spark, sf_dir, "documents").filter("doc_id % 3 > 0")
+    given = enrich_input(docs.select("doc_id", "text"), normalize_corpus(asked)).select("doc_id", "is_normalized")
+    return call_counts(enrich(docs).join(given, "doc_id"))
 
 
 def a7_batch_report(spark, sf_dir):
@@ -344,9 +352,9 @@ ORACLE = {
     "s2_read_requests": f"{_RQ} SELECT request_id, url, CASE WHEN message IS NOT NULL THEN 'VALIDATION_ERROR' END AS error_type, message FROM fl",
     "p5_parse_flags": f"{_RQ} SELECT request_id, {', '.join(FEATURES)} FROM fl",
     "p6_enabled_features": f"{_RQ} SELECT request_id, array_to_string(l, ',') AS enabled, len(l) = 0 AS basic_only FROM (SELECT request_id, {_list(_ON)} AS l FROM fl)",
-    "s3_write_articles": f"SELECT {h.DOMAIN} AS domain, count(*) AS articles FROM pages GROUP BY ALL",
+    "s3_write_articles": f"{h.articles_ctes(h.PLAIN)} SELECT page_id, domain, title, word_count, extraction_method, sha256(clean_content) AS content_sha FROM ({h.ARTICLES})",
     "s4_outbox": f"{_RQ} SELECT request_id, concat('{{\"url\":\"', url, '\",\"sentiment\":', sentiment, '}}') AS payload FROM fl WHERE external_api",
-    "s6_resolve_fetches": f"""WITH lg AS (SELECT * FROM {_LOG} WHERE attempt <= 4),
+    "s6_resolve_fetches": f"""WITH lg AS (SELECT * FROM {_LOG}),
       fin AS (SELECT url, coalesce(min(attempt) FILTER ({_FINAL}), max(attempt)) AS attempts FROM lg GROUP BY ALL)
       SELECT url, coalesce(l.status_code = 200, false) AS success, CASE WHEN l.status_code = 200 THEN 200 ELSE 0 END AS status_code, f.attempts,
         round((SELECT sum(duration_ms) FROM lg x WHERE x.url = f.url AND x.attempt <= f.attempts), 6) AS fetch_time_ms,
@@ -354,16 +362,16 @@ ORACLE = {
           WHEN exception = 'TooManyRedirects' THEN 'Too many redirects' WHEN status_code = 403 THEN 'Access forbidden (403) - possible bot detection'
           WHEN status_code = 404 THEN 'Page not found (404)' WHEN status_code = 429 THEN 'Rate limited (429) - too many requests' ELSE concat('HTTP ', status_code) END AS error_message
       FROM fin f JOIN lg l USING (url) WHERE l.attempt = f.attempts""",
-    "s7_stream_pages": f"{h.dom(h.PLAIN)}{h.matches()}{h.extraction()} SELECT page_id, extractor_method, word_count FROM ex",
+    "s7_stream_pages": f"{h.articles_ctes(h.PLAIN)} SELECT page_id, domain, p.title, extractor_method, word_count, sha256(clean_content) AS content_sha FROM ex JOIN (SELECT page_id, title FROM pr) p USING (page_id)",
     "t1_error_alarm": _alarm(_ERRORS, "errors", "errors > 1"),
     "t1_error_alarm_stream": _alarm(f"SELECT * FROM ({_ERRORS}) WHERE w + INTERVAL '5 minutes' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)", "errors", "errors > 1"),
     "t2_duration_alarm": _alarm(f"SELECT {_WINDOW} AS w, round(avg(value), 6) AS mean_ms FROM events GROUP BY ALL", "mean_ms", "mean_ms > 60"),
     "a9_step_metrics": "SELECT event_type AS step, count(*) AS calls, round(avg(value), 6) AS mean_ms, min(value) AS min_ms, max(value) AS max_ms, quantile_disc(value, 0.95) AS p95_ms FROM events GROUP BY ALL",
     "j7_enrich_input": f"""SELECT d.doc_id, coalesce(n.normalized_text, d.text) AS text, n.normalized_text IS NOT NULL AS is_normalized FROM documents d LEFT JOIN (
-      SELECT * FROM ({o.normalized('(SELECT * FROM documents WHERE doc_id % 3 > 0)')} SELECT * FROM nm) WHERE normalized_text <> '') n USING (doc_id)""",
+      SELECT * FROM ({o.normalized()} SELECT * FROM nm) WHERE normalized_text <> '') n USING (doc_id)""",
     "j8_enrich": f"""{_EN} SELECT doc_id, array_to_string(asked, ',') AS requested, array_to_string(done, ',') AS processed, mood, CASE WHEN redacted_text IS NULL THEN NULL ELSE n_entities END AS n_entities,
       pii_found AS pii_types, CASE WHEN topics AND {_NB} THEN coalesce(topic_list, '') END AS topics, n_phrases, digest AS summary FROM pr""",
-    "a6_call_counts": f"{_EN} SELECT doc_id, len(list_filter(done, lambda x: x <> 'summary')) AS language_calls, CASE WHEN list_contains(done, 'summary') THEN 1 ELSE 0 END AS summary_calls, 0 AS normalization_calls FROM pr",
+    "a6_call_counts": f"{_EN} SELECT doc_id, len(list_filter(done, lambda x: x <> 'summary')) AS language_calls, CASE WHEN list_contains(done, 'summary') THEN 1 ELSE 0 END AS summary_calls, CASE WHEN n.doc_id IS NULL THEN 0 ELSE 1 END AS normalization_calls FROM pr LEFT JOIN (SELECT doc_id FROM ({o.normalized('(SELECT * FROM documents WHERE doc_id % 3 > 0)')} SELECT * FROM nm) WHERE normalized_text <> '') n USING (doc_id)",
     "a7_batch_report": f"{_EN} SELECT count(*) AS texts, count(*) FILTER (len(done) > 0) AS succeeded, count(*) FILTER (len(done) = 0) AS failed, "
     + ", ".join(f"count(*) FILTER (list_contains(done, '{f}')) AS {f}_results" for f in ENRICHMENTS)
     + " FROM pr",

@@ -101,12 +101,11 @@ def ranked(where: str, limit: int, key: str = "doc_id") -> str:
 
 
 TITLE = "array_to_string(list_transform(string_split(text, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
-LONG = "length(text) <= 100000 AND regexp_matches(text, " + q(WORD) + ")"
 
 
 def sentences(source: str, key: str = "doc_id", text: str = "text") -> str:
     stop = names(STOP_WORDS)
-    return f"""WITH us AS MATERIALIZED (SELECT {key} AS k, {text} AS t FROM {source} WHERE length({text}) <= 100000 AND regexp_matches({text}, {q(WORD)})),
+    return f"""WITH us AS MATERIALIZED (SELECT {key} AS k, {text} AS t FROM {source} WHERE regexp_matches({text}, {q(WORD)})),
 sn AS MATERIALIZED (SELECT k, generate_subscripts(l, 1) - 1 AS i, trim(unnest(l)) AS sentence FROM (SELECT k, string_split_regex(t, '[.!?\\n]+') AS l FROM us)),
 sw AS MATERIALIZED (SELECT k, i, word FROM (SELECT k, i, unnest(regexp_extract_all(lower(sentence), '[{LETTER}]+')) AS word FROM sn) WHERE word NOT IN ({stop})),
 wt AS (SELECT k, word, count(*) AS tf FROM sw GROUP BY ALL),
@@ -121,13 +120,16 @@ sm AS MATERIALIZED (SELECT {key}, summary, original_length, length(summary) AS s
   (SELECT k, string_agg(sentence, '. ' ORDER BY i) || '.' AS s FROM tp GROUP BY ALL) x ON x.k = us.k))"""
 
 
-def normalized(source: str = "documents", key: str = "doc_id", text: str = "text", site: str = "source") -> str:
-    return f"""WITH us AS MATERIALIZED (SELECT {key} AS k, {site} AS site, {text} AS t FROM {source} WHERE length({text}) <= 100000 AND regexp_matches({text}, {q(WORD)})),
+def normalized(
+    source: str = "documents", key: str = "doc_id", text: str = "text", site: str = "source", limit: int | None = None
+) -> str:
+    short = f"length({text}) <= {limit} AND " if limit else ""
+    return f"""WITH us AS MATERIALIZED (SELECT {key} AS k, {site} AS site, {text} AS t FROM {source} WHERE {short}regexp_matches({text}, {q(WORD)})),
 ln AS MATERIALIZED (SELECT k, site, line, min(i) AS i FROM (SELECT k, site, generate_subscripts(l, 1) AS i, trim(unnest(l)) AS line FROM
   (SELECT k, site, string_split(t, chr(10)) AS l FROM us)) WHERE line <> '' GROUP BY ALL),
 cm AS (SELECT site, line FROM ln GROUP BY ALL HAVING count(*) >= 5),
 nm AS MATERIALIZED (SELECT us.k AS {key}, length(us.t) AS original_length, coalesce(x.t, '') AS normalized_text FROM us LEFT JOIN (
-  SELECT k, string_agg(line, chr(10) ORDER BY i) AS t FROM ln WHERE NOT EXISTS (SELECT 1 FROM cm WHERE cm.site = ln.site AND cm.line = ln.line) GROUP BY ALL) x ON x.k = us.k)"""
+  SELECT k, string_agg(line, chr(10) ORDER BY i) AS t FROM ln WHERE NOT EXISTS (SELECT 1 FROM cm WHERE cm.site IS NOT DISTINCT FROM ln.site AND cm.line = ln.line) GROUP BY ALL) x ON x.k = us.k)"""
 
 
 NORMALIZED = normalized()

@@ -82,7 +82,9 @@ def e2_pii_entities(spark, sf_dir):
 
 
 def e2_pii_entities_turns(spark, sf_dir):
-    return pii_entities(_turns(spark, sf_dir), "turn_id")
+    rows = inputs.table(spark, sf_dir, "conversations")
+    text = F.expr(_TURN_TEXT.replace("{text}", "STRING")).alias("text")
+    return pii_entities(rows.select(F.concat_ws("-", "conv_id", "turn").alias("turn_id"), text), "turn_id")
 
 
 def e3_redact(spark, sf_dir):
@@ -106,7 +108,7 @@ def w7_topics(spark, sf_dir):
 
 
 def w8_top_sentences(spark, sf_dir):
-    docs = _docs(spark, sf_dir).filter(t.eligible_for_llm(F.col("text")))
+    docs = _docs(spark, sf_dir).filter(~t.is_blank(F.col("text")))
     return top_sentences(sentence_scores(docs)).select("doc_id", "i", "sentence", "score", "rank")
 
 
@@ -116,7 +118,7 @@ def e5_summarize(spark, sf_dir):
 
 def e5_summary_errors(spark, sf_dir):
     text = F.expr("CASE WHEN doc_id % 20 = 0 THEN ' ' WHEN doc_id % 20 = 1 THEN repeat(text, 400) ELSE text END")
-    return summary_errors(_docs(spark, sf_dir).withColumn("text", text))
+    return summary_errors(_docs(spark, sf_dir).withColumn("text", text), limit=t.LLM_LIMIT)
 
 
 def e6_normalize_corpus(spark, sf_dir):
@@ -124,7 +126,12 @@ def e6_normalize_corpus(spark, sf_dir):
 
 
 def e6_normalization_errors(spark, sf_dir):
-    return normalization_errors(_docs(spark, sf_dir))
+    docs = _docs(spark, sf_dir).withColumn("text", F.expr(_SPOILED)).withColumn("source", F.expr(_LOST_SOURCE))
+    return normalization_errors(docs, limit=t.LLM_LIMIT)
+
+
+def e6_normalize_lost_sources(spark, sf_dir):
+    return normalize_corpus(_docs(spark, sf_dir).withColumn("source", F.expr(_LOST_SOURCE)))
 
 
 def vowel_share(part):
@@ -144,6 +151,18 @@ def e8_sentiment_eval(spark, sf_dir):
     return sentiment_eval(sentiment(_docs(spark, sf_dir)), inputs.table(spark, sf_dir, "labels"))
 
 
+_LOST_SOURCE = "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END"
+_SPOILED = (
+    "CASE WHEN doc_id % 20 = 0 THEN ' ' WHEN doc_id % 20 = 1 THEN repeat(text, 400) "
+    "WHEN doc_id % 20 < 9 THEN 'Same line.' ELSE text END"
+)
+#: Turns with an address, a number and a name put in, so that there is something to find.
+_TURN_TEXT = (
+    "concat(text, CASE turn % 4 WHEN 0 THEN concat(' Mail to user', conv_id, '@mail.example.com please.') "
+    "WHEN 1 THEN concat(' Call +1 (212) 555-', lpad(CAST(conv_id % 10000 AS {text}), 4, '0'), ' now.') "
+    "WHEN 2 THEN ' From 10.1.2.3 only.' ELSE '' END)"
+)
+
 QUERIES = {
     name: f
     for name, f in list(globals().items())
@@ -151,6 +170,8 @@ QUERIES = {
 }
 
 _TURNS = "(SELECT concat(conv_id, '-', turn) AS turn_id, text FROM conversations)"
+_SHOWN_TURNS = f"(SELECT concat(conv_id, '-', turn) AS turn_id, {_TURN_TEXT.replace('{text}', 'VARCHAR')} AS text FROM conversations)"
+_VOWELS = "length(regexp_replace(text, '[^aeiou]', '', 'g'))"
 _SPOILED9 = "CASE WHEN doc_id % 20 = 0 THEN ' ' WHEN doc_id % 20 = 1 THEN repeat(text, 400) ELSE text END"
 _REASON = f"CASE WHEN NOT regexp_matches(text, {o.q(o.WORD)}) THEN 'Text cannot be empty' WHEN length(text) > 100000 THEN 'Text too long' END"
 
@@ -169,7 +190,7 @@ ORACLE = {
     "e1_sentiment": o.sentiment(),
     "e1_sentiment_turns": o.sentiment(_TURNS, "turn_id"),
     "e2_pii_entities": o.pii_entities(),
-    "e2_pii_entities_turns": o.pii_entities(_TURNS, "turn_id"),
+    "e2_pii_entities_turns": o.pii_entities(_SHOWN_TURNS, "turn_id"),
     "e3_redact": o.redact(),
     "e4_key_phrases": o.grams() + " SELECT * FROM kp",
     "e4_key_phrases_items": o.grams("benchmark", "item_id") + " SELECT * FROM kp",
@@ -179,6 +200,10 @@ ORACLE = {
     "e5_summarize": o.sentences("documents") + " SELECT * FROM sm",
     "e5_summary_errors": f"SELECT doc_id, {_REASON} AS message FROM (SELECT doc_id, {_SPOILED9} AS text FROM documents) WHERE {_REASON} IS NOT NULL",
     "e6_normalize_corpus": o.NORMALIZED + " SELECT doc_id, normalized_text, original_length, length(normalized_text) AS normalized_length, round(length(normalized_text) / original_length, 6) AS compression_ratio FROM nm WHERE normalized_text <> ''",
-    "e6_normalization_errors": o.NORMALIZED + f" SELECT doc_id, 'Empty normalized text' AS message FROM nm WHERE normalized_text = '' UNION ALL SELECT doc_id, {_REASON} FROM documents WHERE {_REASON} IS NOT NULL",
+    "e6_normalization_errors": f"WITH sp AS (SELECT doc_id, {_SPOILED} AS text, {_LOST_SOURCE} AS source FROM documents) SELECT * FROM ({o.normalized('sp', limit=100_000)} SELECT doc_id, 'Empty normalized text' AS message FROM nm WHERE normalized_text = '') UNION ALL SELECT doc_id, {_REASON} FROM sp WHERE {_REASON} IS NOT NULL",
+    "e6_normalize_lost_sources": o.normalized(f"(SELECT * REPLACE ({_LOST_SOURCE} AS source) FROM documents)") + " SELECT doc_id, normalized_text, original_length, length(normalized_text) AS normalized_length, round(length(normalized_text) / original_length, 6) AS compression_ratio FROM nm WHERE normalized_text <> ''",
+    "e7_score_with": f"""SELECT doc_id, CASE WHEN bad THEN NULL WHEN length(text) = 0 THEN NULL ELSE round({_VOWELS} / length(text), 6) END AS share,
+        CASE WHEN bad THEN 'ValueError' END AS error_type, CASE WHEN bad THEN 'digits are not supported' END AS error_message
+        FROM (SELECT *, regexp_matches(text, '[0-9]') AS bad FROM documents)""",
     "e8_sentiment_eval": f"SELECT toxic, sentiment, count(*) AS n FROM ({o.sentiment()}) JOIN labels USING (doc_id) GROUP BY ALL",
 }

@@ -122,16 +122,16 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(~text.rlike(NOT_BLANK), F.lit(True))
 
 
-def eligible_for_llm(text: Column, limit: int = LLM_LIMIT) -> Column:
-    """True where a text is neither blank nor longer than ``limit`` characters."""
-    return ~is_blank(text) & (F.length(text) <= limit)
+def eligible_for_llm(text: Column, limit: int | None = LLM_LIMIT) -> Column:
+    """True where a text is neither blank nor longer than ``limit`` characters (None: any length)."""
+    usable = ~is_blank(text)
+    return usable if limit is None else usable & (F.length(text) <= limit)
 
 
-def eligibility_error(text: Column, limit: int = LLM_LIMIT) -> Column:
+def eligibility_error(text: Column, limit: int | None = LLM_LIMIT) -> Column:
     """The reason a text is not eligible, NULL where it is."""
-    return F.when(is_blank(text), F.lit("Text cannot be empty")).when(
-        F.length(text) > limit, F.lit("Text too long")
-    )
+    blank = F.when(is_blank(text), F.lit("Text cannot be empty"))
+    return blank if limit is None else blank.when(F.length(text) > limit, F.lit("Text too long"))
 
 
 def compression_ratio(out_chars: Column, in_chars: Column) -> Column:

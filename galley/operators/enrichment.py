@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions.flags import ENRICHMENTS
-from galley.functions.text import LLM_LIMIT, is_blank
+from galley.functions.text import is_blank
 from galley.operators.phrases import key_phrases, top_phrases, topics
 from galley.operators.pii import pii_entities, redact
 from galley.operators.sentiment import sentiment
@@ -42,7 +42,7 @@ def topic_lists(phrases: DataFrame, key: str) -> DataFrame:
 
 
 def enrich(
-    texts: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LLM_LIMIT
+    texts: DataFrame, key: str = "doc_id", text: str = "text", limit: int | None = None
 ) -> DataFrame:
     """Add the requested enrichments to ``texts``, which carries the four boolean flags.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_RETRIES = 3
+from galley.operators.skew import salted_join
 
 
+# The messages of failed attempts.
 def failure_message(status: Column, exception: Column) -> Column:
     """The message of a failed attempt."""
     return (
@@ -29,33 +30,29 @@ def is_final(status: Column, exception: Column) -> Column:
     return F.coalesce((status == 200) | client_error | (exception == "TooManyRedirects"), F.lit(False))
 
 
-def resolve_fetches(log: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
-    """``url, success, status_code, attempts, fetch_time_ms, error_message``.
+def resolve_fetches(log: DataFrame, max_attempt: int | None = None) -> DataFrame:
+    """``url, success, status_code, attempts, fetch_time_ms, error_message``, one row per URL.
 
-    The policy allows ``max_retries + 1`` attempts, so every URL is folded into that many slots by one
-    aggregate that combines before it shuffles; a URL with very many log rows is no burden.
+    All attempts count, whatever their numbers: the outcome is the first final one, else the last,
+    and the time is that of all attempts up to it. ``max_attempt`` leaves later attempts out, as a
+    policy of the caller. Of several rows for one attempt the largest counts; an attempt without a
+    number comes before all others. Log rows are combined before each shuffle, and a URL with very
+    many attempts is cut into parts for the join with its outcome.
     """
-    tries = range(1, max_retries + 2)
-    attempt = F.struct("status_code", "exception", "duration_ms")
-    slots = log.groupBy("url").agg(
-        *[F.max(F.when(F.col("attempt") == a, attempt)).alias(f"_{a}") for a in tries]
+    attempt = F.coalesce(F.col("attempt"), F.lit(-1))
+    tries = log.select("url", attempt.alias("attempt"), "status_code", "exception", "duration_ms")
+    if max_attempt is not None:
+        tries = tries.filter(F.col("attempt") <= max_attempt)
+    tries = tries.groupBy("url", "attempt").agg(F.max(F.struct("status_code", "exception", "duration_ms")).alias("o"))
+    final = F.when(is_final(F.col("o.status_code"), F.col("o.exception")), F.col("attempt"))
+    chosen = tries.groupBy("url").agg(F.coalesce(F.min(final), F.max("attempt")).alias("attempts"))
+    made = salted_join(tries, chosen, ["url"], "attempt").filter("attempt <= attempts")
+    rows = made.groupBy("url", "attempts").agg(
+        F.round(F.sum(F.coalesce("o.duration_ms", F.lit(0.0))), 6).alias("fetch_time_ms"),
+        F.max(F.when(F.col("attempt") == F.col("attempts"), F.col("o"))).alias("o"),
     )
-    last, spent = F.lit(None).cast("int"), F.lit(0.0)
-    for a in reversed(tries):
-        slot = F.col(f"_{a}")
-        # the last attempt that was made: the first final one, else the latest in the log
-        last = F.when(slot.isNotNull() & is_final(slot.status_code, slot.exception), F.lit(a)).otherwise(
-            F.coalesce(last, F.when(slot.isNotNull(), F.lit(a)))
-        )
-    slots = slots.withColumn("attempts", last)
-    outcome = F.lit(None)
-    for a in tries:
-        slot = F.col(f"_{a}")
-        spent = spent + F.when(F.col("attempts") >= a, F.coalesce(slot.duration_ms, F.lit(0.0))).otherwise(0.0)
-        outcome = F.when(F.col("attempts") == a, slot).otherwise(outcome)
-    rows = slots.select("url", "attempts", F.round(spent, 6).alias("fetch_time_ms"), outcome.alias("o"))
     ok = F.coalesce(F.col("o.status_code") == 200, F.lit(False))
-    return rows.filter("attempts IS NOT NULL").select(
+    return rows.select(
         "url",
         ok.alias("success"),
         F.when(ok, F.lit(200)).otherwise(F.lit(0)).alias("status_code"),

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 # Rows of a dimension that are still sent to every executor; checked, not assumed.
 DIMENSION_ROWS = 200_000
-# A key is hot when it holds at least 1/HOT_SHARE of all rows, so there are at most HOT_SHARE of them.
+# A key is hot when it holds at least the rows of an average task: one part in as many as there are
+# shuffle partitions, or in HOT_SHARE if that is more. So there are at most that many of them.
 HOT_SHARE = 2_000
 
 
+def hot_share(frame: DataFrame) -> int:
+    return max(HOT_SHARE, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def small_enough(frame: DataFrame, max_rows: int = DIMENSION_ROWS) -> bool:
     """Count a dimension, no further than the limit, before it may be broadcast."""
     return frame.limit(max_rows + 1).count() <= max_rows
@@ -27,16 +32,17 @@ def balanced_lookup(
     """Left join of ``rows`` with ``lookup`` (one row per ``keys``) that no hot key can unbalance.
 
     ``weight`` is the lookup column that says how many rows carry the key. Keys with at least
-    1/HOT_SHARE of the total weight, at most HOT_SHARE of them by that definition, are joined by
-    broadcast. Rows resolved that way are spread by ``spread`` through the shuffle of the second
+    1/hot_share of the total weight, at most hot_share of them by that definition, are joined by
+    broadcast (short rows: pass hashes, not long texts, as keys). Rows resolved that way are spread by ``spread`` through the shuffle of the second
     join, where they match nothing, so every row passes once and none is dropped.
     """
+    share = hot_share(rows)
     total = lookup.agg(F.sum(weight)).scalar()
     hot_names = {name: f"_hot_{name}" for name in values}
-    hot = lookup.filter(F.col(weight) * HOT_SHARE >= total).select(
+    hot = lookup.filter(F.col(weight) * share >= total).select(
         *keys, *[F.col(n).alias(h) for n, h in hot_names.items()], F.lit(True).alias("_is_hot")
     )
-    cold = lookup.filter(F.col(weight) * HOT_SHARE < total).select(
+    cold = lookup.filter(F.col(weight) * share < total).select(
         *keys, F.lit(0).cast("long").alias("_spread"), *values
     )
     marked = rows.join(F.broadcast(hot), keys, "left").withColumn(
@@ -51,15 +57,16 @@ def balanced_lookup(
 def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str) -> DataFrame:
     """Left join where ``rows`` may hold one key very often and ``lookup`` rows are too wide to broadcast.
 
-    A key that holds 1/HOT_SHARE or more of the rows is cut into as many parts as it has such shares,
+    A key that holds 1/hot_share or more of the rows is cut into as many parts as it has such shares,
     and its lookup row is copied once per part. What is broadcast is the list of hot keys with their
-    number of parts: at most HOT_SHARE short rows.
+    number of parts: at most hot_share short rows.
     """
+    share = hot_share(rows)
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = rows.agg(F.count("*")).scalar()
     hot = F.broadcast(
-        counts.filter(F.col("_n") * HOT_SHARE >= total).select(
-            *keys, F.ceil(F.col("_n") * HOT_SHARE / total).cast("int").alias("_parts")
+        counts.filter(F.col("_n") * share >= total).select(
+            *keys, F.ceil(F.col("_n") * share / total).cast("int").alias("_parts")
         )
     )
     parts = F.coalesce("_parts", F.lit(1))

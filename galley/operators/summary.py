@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galley.functions.lexicon import STOP_WORDS, WORDS
-from galley.functions.text import LLM_LIMIT, compression_ratio, eligibility_error, eligible_for_llm
+from galley.functions.text import compression_ratio, eligibility_error, eligible_for_llm
 from galley.operators.phrases import with_tfidf
 
 SENTENCES = 3
@@ -58,11 +58,12 @@ def top_sentences(scored: DataFrame, key: str = "doc_id", k: int = SENTENCES) ->
 
 
 def summarize(
-    texts: DataFrame, key: str = "doc_id", text: str = "text", k: int = SENTENCES, limit: int = LLM_LIMIT
+    texts: DataFrame, key: str = "doc_id", text: str = "text", k: int = SENTENCES, limit: int | None = None
 ) -> DataFrame:
     """``key, summary, original_length, summary_length, compression_ratio``.
 
-    Blank and over-long texts are refused; ``summary_errors`` lists them. A text without a long
+    Texts of any length are read whole. Blank texts, and those over ``limit`` characters where one is
+    given, are refused; ``summary_errors`` lists them. A text without a long
     enough sentence gets an empty summary.
     """
     usable = texts.filter(eligible_for_llm(F.col(text), limit)).select(key, text)
@@ -79,6 +80,6 @@ def summarize(
     return rows.withColumn("compression_ratio", F.round(ratio, 6))
 
 
-def summary_errors(texts: DataFrame, key: str = "doc_id", text: str = "text", limit: int = LLM_LIMIT) -> DataFrame:
+def summary_errors(texts: DataFrame, key: str = "doc_id", text: str = "text", limit: int | None = None) -> DataFrame:
     """Texts that are not summarised, with the reason."""
     return texts.select(key, eligibility_error(F.col(text), limit).alias("message")).filter("message IS NOT NULL")

@@ -2,13 +2,16 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from galley.functions.flags import FEATURES
+from galley.operators.alarms import exact_percentile
 from galley.operators.fetches import resolve_fetches
 from galley.plans.articles import extract_articles
 from galley.plans.requests import process_requests
 from galley.operators.responses import response_json
+from galley.session import work_folder
 from galley.sources.pages import PAGES, read_pages
 from galley.sources.requests import read_requests
 from galley.sources.rules import built_in_rules, load_site_rules, site_table, supported_domains, validate_site_rules
@@ -45,14 +48,14 @@ def test_fetch_policy(spark):
     log = spark.createDataFrame(
         [("ok", 1, 200, None, 5.0), ("gone", 1, 404, None, 5.0), ("gone", 2, 200, None, 5.0), ("later", 1, 503, None, 5.0), ("later", 2, 200, None, 7.0),
          ("slow", 1, None, "Timeout", 1.0), ("slow", 2, None, "Timeout", 1.0), ("slow", 3, 429, None, 1.0), ("slow", 4, None, "Timeout", 1.0),
-         ("slow", 5, 200, None, 1.0), ("loop", 1, None, "TooManyRedirects", 2.0), ("loop", 2, 200, None, 2.0)],
+         ("slow", 5, 408, None, 1.0), ("loop", 1, None, "TooManyRedirects", 2.0), ("loop", 2, 200, None, 2.0)],
         "url STRING, attempt INT, status_code INT, exception STRING, duration_ms DOUBLE",
     )
     rows = {r.url: r for r in resolve_fetches(log).collect()}
     assert (rows["ok"].success, rows["ok"].attempts) == (True, 1)
     assert (rows["gone"].attempts, rows["gone"].error_message) == (1, "Page not found (404)")
     assert (rows["later"].success, rows["later"].attempts, rows["later"].fetch_time_ms) == (True, 2, 12.0)
-    assert (rows["slow"].success, rows["slow"].attempts, rows["slow"].error_message) == (False, 4, "Request timeout")
+    assert (rows["slow"].success, rows["slow"].attempts, rows["slow"].error_message) == (False, 5, "HTTP 408")
     assert (rows["loop"].attempts, rows["loop"].error_message) == (1, "Too many redirects")
 
 
@@ -124,3 +127,52 @@ def test_stream_in_batches_equals_batch(spark, sf_dir, tmp_path):
     a = sorted(map(tuple, streamed.select(*columns).collect()), key=lambda r: r[0])
     b = sorted(map(tuple, extract_articles(pages).select(*columns).collect()), key=lambda r: r[0])
     assert a == b
+
+
+def test_fetches_count_all_attempts(spark):
+    log = spark.createDataFrame(
+        [("zero", 0, 503, None, 1.0), ("zero", 1, 200, None, 2.0), ("late", 5, 503, None, 3.0), ("none", None, 404, None, 4.0),
+         ("twice", 1, 503, None, 1.0), ("twice", 1, 502, None, 1.0), ("twice", 6, 200, None, 5.0)],
+        "url STRING, attempt INT, status_code INT, exception STRING, duration_ms DOUBLE",
+    )
+    rows = {r.url: r for r in resolve_fetches(log).collect()}
+    assert (rows["zero"].success, rows["zero"].attempts, rows["zero"].fetch_time_ms) == (True, 1, 3.0)
+    assert (rows["late"].success, rows["late"].error_message) == (False, "HTTP 503")
+    assert (rows["none"].success, rows["none"].error_message) == (False, "Page not found (404)")
+    assert (rows["twice"].success, rows["twice"].attempts, rows["twice"].fetch_time_ms) == (True, 6, 6.0)
+    assert set(rows) == {"zero", "late", "none", "twice"}
+    limited = {r.url: r for r in resolve_fetches(log, max_attempt=4).collect()}
+    assert not limited["twice"].success and "late" not in limited
+
+
+def test_percentile_is_exact(spark):
+    values = [(("a", "b", None)[k % 3], float((k * 7919) % 30_011) if k % 11 else None) for k in range(40_000)]
+    found = {r.step: r.v for r in exact_percentile(spark.createDataFrame(values, "step STRING, v DOUBLE"), "step", "v", 95).collect()}
+    for step in ("a", "b", None):
+        own = sorted(v for s, v in values if s == step and v is not None)
+        assert found[step] == own[-(-95 * len(own) // 100) - 1]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        class _jsc:
+            @staticmethod
+            def sc():
+                class Cluster:
+                    @staticmethod
+                    def isLocal():
+                        return False
+
+                return Cluster
+
+    class Conf:
+        @staticmethod
+        def get(name, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context, Conf
+
+    with pytest.raises(ValueError):
+        work_folder(Session)
+    assert work_folder(Session, "hdfs://shared/work/") == "hdfs://shared/work"
