@@ -124,6 +124,22 @@ def j2_selector_matches(spark, sf_dir):
     return match_selectors(rows, selector_rows(sites)).select("page_id", "field", "priority", "start", "end", "tag")
 
 
+def j2_custom_selectors(spark, sf_dir):
+    """Rules of a user for every second host, through the plan for rules of any number."""
+    pages = _pages(spark, sf_dir)
+    hosts = pages.select(urls.site_key(urls.domain_of(F.col("url"))).alias("domain")).filter("length(domain) % 2 = 0").distinct()
+    custom = hosts.select(
+        "domain", F.lit("#nothing, html[lang^='e'] h1").alias("title_selector"), F.lit("body article p").alias("content_selector"),
+        F.lit("nav ul li a").alias("author_selector"), F.lit("div.ad, p.a.b, p:first-child").alias("date_selector"),
+        F.array(F.lit("main p")).alias("fallback_selectors"),
+    )
+    sites = site_table(load_site_rules(spark, custom))
+    rows = dom.dom_rows(attach_site(pages, sites, small=False), ("site",))
+    found = match_selectors(rows.filter("site <> '*'"), selector_rows(sites), small=False)
+    own = found.filter(F.col("field").isin("title", "content", "author", "date"))
+    return own.select("page_id", "field", "priority", "start", "end", "tag")
+
+
 def j3_boilerplate_nodes(spark, sf_dir):
     return boilerplate_nodes(dom.node_table(inputs.styled_pages(spark, sf_dir))).select(
         "page_id", "start", "end", "reason"
@@ -311,12 +327,42 @@ def _faults_sql() -> str:
         pieces.append(
             f"SELECT domain, '{f}', 'Invalid CSS selector syntax', {f} FROM cand WHERE length({f}) > 0 AND (trim({f}) = '' OR regexp_matches({f}, '[<>{{}}()]'))"
         )
+    step = "(?:[a-zA-Z][a-zA-Z0-9-]*|\\*)?(?:[.#][A-Za-z0-9_-]+)*"
+    chain = o.q(f"{step}(\\s+{step}){{0,4}}")
+    odd = "len(list_filter(string_split({0}, ','), lambda p: trim(p) = '' OR NOT regexp_full_match(trim(p), {1}))) > 0"
+    for f in ("title_selector", "content_selector", "author_selector", "date_selector"):
+        pieces.append(f"SELECT domain, '{f}', 'Unsupported selector', {f} FROM cand WHERE trim({f}) <> '' AND {odd.format(f, chain)}")
     each = "(SELECT domain, unnest(fallback_selectors) AS s, generate_subscripts(fallback_selectors, 1) - 1 AS i FROM cand)"
     pieces.append(f"SELECT domain, concat('fallback_selectors[', i, ']'), 'Fallback selector cannot be empty', NULL FROM {each} WHERE trim(s) = ''")
     pieces.append(f"SELECT domain, concat('fallback_selectors[', i, ']'), 'Invalid CSS selector syntax', s FROM {each} WHERE trim(s) <> '' AND regexp_matches(s, '[<>{{}}()]')")
+    pieces.append(f"SELECT domain, concat('fallback_selectors[', i, ']'), 'Unsupported selector', s FROM {each} WHERE trim(s) <> '' AND {odd.format('s', chain)}")
     return f"WITH cand AS ({_RULES}) " + " UNION ALL ".join(pieces)
 
 
+def _custom_sql() -> str:
+    """The four custom selectors by nested EXISTS."""
+
+    def inside(inner: str, outer: str, test: str) -> str:
+        return (
+            f"EXISTS (SELECT 1 FROM nd {outer} WHERE {outer}.page_id = {inner}.page_id AND {outer}.start < {inner}.start "
+            f"AND {inner}.start < {outer}.fin AND {test})"
+        )
+
+    tests = {
+        "title": "n.tag = 'h1' AND " + inside("n", "a", "a.tag = 'html' AND regexp_matches(a.t, ' lang=\"e')"),
+        "content": "n.tag = 'p' AND " + inside("n", "a", "a.tag = 'article' AND " + inside("a", "b", "b.tag = 'body'")),
+        "author": "n.tag = 'a' AND "
+        + inside("n", "a", "a.tag = 'li' AND " + inside("a", "b", "b.tag = 'ul' AND " + inside("b", "c", "c.tag = 'nav'"))),
+        "date": "n.tag = 'div' AND regexp_matches(n.t, 'class=\"ad\"')",
+    }
+    pieces = [
+        f"SELECT n.page_id, '{field}' AS field, 0 AS priority, n.start, n.fin AS \"end\", n.tag FROM nd n JOIN pg USING (page_id) "
+        f"WHERE length(regexp_replace(domain, '^www\\.', '')) % 2 = 0 AND n.kind IN ('open', 'void') AND {test}"
+        for field, test in tests.items()
+    ]
+    return f"{_P} " + " UNION ALL ".join(pieces)
+
+
 ORACLE = {
     "s1_read_pages": "SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'NULL_INPUT' WHEN page_id % 10 = 1 THEN 'empty_input' "
     "WHEN length(html) > 5000 THEN 'CONTENT_TOO_LONG' ELSE 'ok' END AS outcome FROM pages",
@@ -343,6 +389,7 @@ ORACLE = {
       SELECT k.page_id, k.start, k.tag, k.text AS kept, w.text AS whole FROM ({o.kept_text('pn')}) k JOIN ({o.whole_text('pn')}) w
         ON w.page_id = k.page_id AND w.start = k.start""",
     "j2_selector_matches": f'{_D}{o.matches()} SELECT page_id, field, priority, start, fin AS "end", tag FROM mt',
+    "j2_custom_selectors": _custom_sql(),
     "j3_boilerplate_nodes": f'{_S} SELECT page_id, start, fin AS "end", reason FROM boiler',
     "j4_runs_in_nodes": f"""{_P} SELECT n.page_id, n.start, count(r.pos) AS runs FROM nd n LEFT JOIN runs r
         ON r.page_id = n.page_id AND n.start < r.pos AND r.pos < n.fin WHERE n.kind = 'open' GROUP BY ALL""",

@@ -10,6 +10,9 @@ from galley.functions.text import block_words, formatting_info, is_good_blocks,
 from galley.operators.records import CONTAINERS, hits_of, kept_text, token_at
 
 
+_NODE = "struct<pos:int,end:int>"
+
+
 def site_texts() -> Column:
     """Non-empty texts of the site's content nodes, in document order."""
     texts = F.transform(
@@ -75,10 +78,20 @@ def generic_paragraphs() -> Column:
 def first_container_text() -> Column:
     """The first text of more than 20 words among divs, then sections, then articles; '' if none."""
 
+    def long_enough(n: Column) -> Column:
+        # running counts settle most nodes; a text is built only where the clean-up may take words away
+        words = token_at(n.end).n_words - n.n_words
+        return (words > 20) & (block_words(kept_text(n.pos, n.end)) > 20)
+
     def first_of(tag: str) -> Column:
         nodes = F.filter("toks", lambda t: (t.kind == "open") & ~t.gone & (t.tag == tag))
-        texts = F.transform(nodes, lambda n: kept_text(n.pos, n.end))
-        return F.get(F.filter(texts, lambda t: block_words(t) > 20), F.lit(0))
+        # stops building texts at the first that is long enough
+        found = F.aggregate(
+            nodes,
+            F.lit(None).cast(_NODE),
+            lambda best, n: F.when(best.isNotNull(), best).when(long_enough(n), F.struct(n.pos.alias("pos"), n.end.alias("end"))).otherwise(best),
+        )
+        return F.when(found.isNotNull(), kept_text(found.pos, found.end))
 
     return F.coalesce(first_of("div"), first_of("section"), first_of("article"), F.lit(""))
 

@@ -15,8 +15,8 @@ from galley.functions.text import clean_block, clean_text
 from galley.operators.boilerplate import class_and_id
 from galley.operators.dom import dom_rows
 from galley.operators.selectors import attach_site, match_rows
-from galley.operators.skew import marked_small, small_enough
-from galley.sources.rules import built_in_rules, selector_rows, site_table
+from galley.operators.skew import spread_join
+from galley.sources.rules import BUILT_IN_STEPS, MAX_STEPS, built_in_rules, selector_rows, site_table
 
 # Containers that may hold an article, in the order ties are resolved.
 CONTAINERS = ("article", "main", "section", "div")
@@ -39,14 +39,14 @@ def page_records(
     """``page_id, url, domain, site, supported, toks, hits, fallback_selectors, rule_domain``.
 
     Without ``rules`` the built-in ones are used: a fixed handful of rows that is always broadcast.
-    Given rules are counted first.
+    Given rules may be any number; nothing runs while the plan is made.
     """
     sites = site_table(built_in_rules(pages.sparkSession) if rules is None else rules)
     selectors = selector_rows(sites)
-    small = rules is None or small_enough(selectors)
+    small = rules is None
     placed = attach_site(pages.select("page_id", "url", "html"), sites, small)
     keep = ("url", "domain", "site", "supported")
-    rows = match_rows(dom_rows(placed, keep, mode, clustered), selectors, small)
+    rows = match_rows(dom_rows(placed, keep, mode, clustered), selectors, small, BUILT_IN_STEPS if small else MAX_STEPS)
     is_token = F.col("field").isNull()
     is_node = F.col("kind") == "open"
     hits_of_node = F.when(is_node & F.col("tag").isin(*CONTAINERS), content_hits(F.col("attrs"))).otherwise(0)
@@ -65,11 +65,12 @@ def page_records(
         F.transform(F.filter("toks", lambda t: t.kept), lambda t: t.run).alias("kept_runs"),
         F.transform(F.filter("toks", lambda t: t.kind == "text"), lambda t: t.run).alias("all_runs"),
     )
-    # One row per site: no more rows than selectors, which were checked. The join also keeps the
-    # arrays above from being folded into the lambdas that read them, where they would be rebuilt
-    # for every node.
+    # The join also keeps the arrays above from being folded into the lambdas that read them, where
+    # they would be rebuilt for every node.
     site_columns = sites.select("site", F.col("domain").alias("rule_domain"), "fallback_selectors")
-    return records.join(marked_small(site_columns, small), "site", "left")
+    if small:
+        return records.join(F.broadcast(site_columns), "site", "left")
+    return spread_join(records, site_columns, ["site"], "page_id")
 
 
 def token_at(pos: Column) -> Column:

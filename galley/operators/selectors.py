@@ -1,4 +1,4 @@
-"""Selector matching as a join of nodes with rule rows."""
+"""Selector matching as an equi join of node keys with rule steps."""
 
 from __future__ import annotations
 
@@ -7,20 +7,22 @@ from pyspark.sql import functions as F
 
 from galley.functions.markup import class_list
 from galley.functions.urls import domain_of, site_key
-from galley.operators.skew import marked_small
-from galley.sources.rules import GENERIC_SITE
+from galley.operators.skew import spread_join
+from galley.sources.rules import GENERIC_SITE, MAX_STEPS
+
+RULE = ["field", "priority", "alt"]
+STEP = [*RULE, "selector", "steps", "level", "step"]
 
 
 def attach_site(pages: DataFrame, sites: DataFrame, small: bool = True) -> DataFrame:
     """Add ``domain``, ``site`` (the rule site, ``*`` when there is none) and ``supported``.
 
-    ``small`` says that the rule tables were found small enough to broadcast, here and below.
+    ``small`` says that the rules are the built-in handful, which is broadcast. Rules of a user may be
+    any number: they are joined by shuffle with sites of many pages cut into parts.
     """
-    known = marked_small(sites.filter(F.col("site") != GENERIC_SITE).select("site"), small)
-    keyed = pages.withColumn("domain", domain_of(F.col("url")))
-    joined = keyed.withColumn("_key", site_key(F.col("domain"))).join(
-        known, F.col("_key") == F.col("site"), "left"
-    )
+    known = sites.filter(F.col("site") != GENERIC_SITE).select(F.col("site").alias("_key"), F.col("site"))
+    keyed = pages.withColumn("domain", domain_of(F.col("url"))).withColumn("_key", site_key(F.col("domain")))
+    joined = keyed.join(F.broadcast(known), "_key", "left") if small else spread_join(keyed, known, ["_key"], "page_id")
     return (
         joined.withColumn("supported", F.col("site").isNotNull())
         .withColumn("site", F.coalesce("site", F.lit(GENERIC_SITE)))
@@ -28,54 +30,90 @@ def attach_site(pages: DataFrame, sites: DataFrame, small: bool = True) -> DataF
     )
 
 
-def _matches(side: str) -> Column:
-    """A node row passes the leaf or the ancestor test of a rule row."""
-    tag, cls, attr = F.col(f"r.{side}_tag"), F.col(f"r.{side}_class"), F.col(f"r.{side}_attr")
-    op, val = F.col(f"r.{side}_op"), F.col(f"r.{side}_val")
+def node_keys(tag: Column, attrs: Column, classes: Column) -> Column:
+    """All keys a step may look this node up by."""
+    names = F.array_distinct(F.transform(attrs, lambda a: a.k))
+    ids = F.transform(F.filter(attrs, lambda a: a.k == "id"), lambda a: F.concat(F.lit("#"), a.v))
+    return F.concat(
+        F.array(F.lit("*"), tag),
+        F.transform(F.array_distinct(classes), lambda c: F.concat(F.lit("."), c)),
+        F.transform(names, lambda n: F.concat(F.lit("["), n)),
+        F.array_distinct(ids),
+    )
+
 
-    def attr_test(a: Column) -> Column:
-        value = F.when(a.k == "class", F.trim(F.regexp_replace(a.v, r"\s+", " "))).otherwise(a.v)
-        passes = F.when(op.isNull(), F.lit(True)).when(op == "=", value == val).otherwise(
-            (F.length(val) > 0) & value.contains(val)
-        )
-        return (a.k == attr) & passes
+def passes(step: Column, tag: Column, attrs: Column, classes: Column) -> Column:
+    """The node passes the whole test of a step."""
 
-    given = F.col(f"r.{side}").isNotNull()
+    def holds(test: Column) -> Column:
+        def one(a: Column) -> Column:
+            value = F.when(a.k == "class", F.trim(F.regexp_replace(a.v, r"\s+", " "))).otherwise(a.v)
+            filled = F.length(test.v) > 0
+            word = filled & ~test.v.contains(" ") & F.array_contains(F.split(value, r"\s+"), test.v)
+            result = (
+                F.when(test.op.isNull(), F.lit(True))
+                .when(test.op == "=", value == test.v)
+                .when(test.op == "*=", filled & value.contains(test.v))
+                .when(test.op == "^=", filled & value.startswith(test.v))
+                .when(test.op == "$=", filled & value.endswith(test.v))
+                .otherwise(word)
+            )
+            return (a.k == test.k) & result
+
+        return F.exists(attrs, one)
+
+    has_id = F.exists(attrs, lambda a: (a.k == "id") & (a.v == step.id))
     return (
-        given
-        & (tag.isNull() | (tag == F.col("n.tag")))
-        & (cls.isNull() | F.array_contains(F.col("n.classes"), cls))
-        & (attr.isNull() | F.exists(F.col("n.attrs"), attr_test))
+        (step.tag.isNull() | (step.tag == tag))
+        & (step.id.isNull() | has_id)
+        & (F.size(F.array_except(step.classes, classes)) == 0)
+        & F.forall(step.attrs, holds)
     )
 
 
-def match_rows(rows: DataFrame, selectors: DataFrame, small: bool = True) -> DataFrame:
+def match_rows(
+    rows: DataFrame, selectors: DataFrame, small: bool = True, max_steps: int = MAX_STEPS
+) -> DataFrame:
     """Every DOM row once (``field`` NULL), plus one row per node and rule it is a hit of.
 
-    ``rows`` are DOM rows with ``site``. The descendant step needs no node pairs: a leaf is inside an
-    ancestor when the furthest end of the ancestors that started before it lies behind it, which is
-    a running maximum per page and rule.
+    ``rows`` are DOM rows with ``site``. A node is looked up by its few keys (tag, classes, id,
+    attribute names), so a rule meets only nodes that share the key of one of its steps; text rows
+    meet none. A descendant step needs no node pairs: a node is inside one of the step before when
+    the furthest end of those that started earlier lies behind it, a running maximum per page and
+    rule over the matched nodes only.
+
+    Rules of the generic site are a handful and broadcast, like the built-in ones (``small``). Those
+    of a user's sites (with up to ``max_steps`` steps) are joined by (site, key) with popular ones cut into parts, from which nodes of
+    the generic site are kept apart.
     """
-    base = selectors.select("site").distinct()
-    rule_columns = [c for c in selectors.columns if c != "site"]
-    base = base.select("site", *[F.lit(None).cast(selectors.schema[c].dataType).alias(c) for c in rule_columns])
-    rules = marked_small(selectors.unionByName(base), small).alias("r")
-    nodes = rows.withColumn("classes", F.when(F.size("attrs") > 0, class_list(F.col("attrs")))).alias("n")
-    is_node = F.col("n.kind").isin("open", "void")
-    leaf = F.coalesce(is_node & _matches("leaf"), F.lit(False))
-    anc = F.coalesce(is_node & _matches("anc"), F.lit(False))
-    joined = nodes.join(
-        rules, (F.col("n.site") == F.col("r.site")) & (F.col("r.field").isNull() | leaf | anc)
-    ).select("n.*", *[F.col(f"r.{c}") for c in rule_columns], leaf.alias("_leaf"), anc.alias("_anc"))
-    before = (
-        Window.partitionBy("page_id", "field", "priority", "alt")
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    is_node = F.col("kind").isin("open", "void")
+    classes = F.when(F.size("attrs") > 0, class_list(F.col("attrs"))).otherwise(F.array().cast("array<string>"))
+    keys = F.when(is_node, node_keys(F.col("tag"), F.col("attrs"), F.col("_classes")))
+    keyed = rows.withColumn("_classes", F.when(is_node, classes)).withColumn(
+        "_key", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce(keys, F.array().cast("array<string>"))))
     )
-    reach = F.max(F.when(F.col("_anc"), F.col("end"))).over(before)
-    joined = joined.withColumn("_inside", F.coalesce(reach > F.col("pos"), F.lit(False)))
-    hit = F.col("field").isNull() | (F.col("_leaf") & (F.col("anc").isNull() | F.col("_inside")))
-    return joined.filter(hit).drop("_leaf", "_anc", "_inside", "classes")
+    steps = selectors.select("site", F.col("step.key").alias("_key"), *STEP)
+    broadcast = steps if small else steps.filter(F.col("site") == GENERIC_SITE)
+    joined = keyed.join(F.broadcast(broadcast), ["site", "_key"], "left")
+    if not small:
+        own = steps.filter(F.col("site") != GENERIC_SITE)
+        renamed = {name: f"_own_{name}" for name in STEP}
+        own = own.select(F.concat_ws("\n", "site", "_key").alias("_own_key"), *[F.col(n).alias(r) for n, r in renamed.items()])
+        # rows that cannot match get keys of their own, so they spread
+        apart = F.concat(F.lit("\n"), F.col("page_id").cast("string"), F.lit("-"), F.col("pos").cast("string"))
+        key = F.when((F.col("site") != GENERIC_SITE) & F.col("_key").isNotNull(), F.concat_ws("\n", "site", "_key"))
+        joined = spread_join(joined.withColumn("_own_key", F.coalesce(key, apart)), own, ["_own_key"], "page_id")
+        joined = joined.withColumns({n: F.coalesce(F.col(n), F.col(r)) for n, r in renamed.items()}).drop("_own_key", *renamed.values())
+    meets = F.col("field").isNotNull() & passes(F.col("step"), F.col("tag"), F.col("attrs"), F.col("_classes"))
+    met = joined.filter(F.col("_key").isNull() | F.coalesce(meets, F.lit(False)))
+    before = Window.partitionBy("page_id", *RULE).orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    met = met.withColumn("_in", F.col("level") == 1)
+    for level in range(1, max_steps):
+        reach = F.max(F.when((F.col("level") == level) & F.col("_in"), F.col("end"))).over(before)
+        inside = F.coalesce(reach > F.col("pos"), F.lit(False))
+        met = met.withColumn("_in", F.when(F.col("level") == level + 1, inside).otherwise(F.col("_in")))
+    hit = F.col("field").isNull() | (F.col("_in") & (F.col("level") == F.col("steps")))
+    return met.filter(hit).drop("_key", "_classes", "_in", "level", "steps", "step")
 
 
 def match_selectors(rows: DataFrame, selectors: DataFrame, small: bool = True) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of a dimension that are still sent to every executor; checked, not assumed.
-DIMENSION_ROWS = 200_000
 # A key is hot when it holds at least the rows of an average task: one part in as many as there are
 # shuffle partitions, or in HOT_SHARE if that is more. So there are at most that many of them.
 HOT_SHARE = 2_000
@@ -16,16 +14,6 @@ def hot_share(frame: DataFrame) -> int:
     return max(HOT_SHARE, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_enough(frame: DataFrame, max_rows: int = DIMENSION_ROWS) -> bool:
-    """Count a dimension, no further than the limit, before it may be broadcast."""
-    return frame.limit(max_rows + 1).count() <= max_rows
-
-
-def marked_small(frame: DataFrame, small: bool) -> DataFrame:
-    """Mark a dimension for broadcast where its size was checked; else leave the join to AQE."""
-    return F.broadcast(frame) if small else frame
-
-
 def balanced_lookup(
     rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, spread: str, values: list[str]
 ) -> DataFrame:
@@ -74,3 +62,14 @@ def salted_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str
     copies = lookup.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
     joined = salted.drop("_parts").join(copies.drop("_parts"), [*keys, "_salt"], "left")
     return joined.drop("_salt")
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, keys: list[str], spread: str, parts: int = 64) -> DataFrame:
+    """Left join of rows that are dear to make with a short dimension, any key of which may be hot.
+
+    Every key is cut into ``parts`` by a hash of ``spread`` and the lookup rows are copied as often, so
+    nothing has to be counted first and ``rows`` is evaluated once.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return salted.join(copies, [*keys, "_salt"], "left").drop("_salt")

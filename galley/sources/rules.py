@@ -57,8 +57,25 @@ DOMAIN_FORMAT = (
     r"[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?$"
 )
 FORBIDDEN = r"[<>{}()]"
-
-_SIMPLE = r"^(?:[a-zA-Z][a-zA-Z0-9-]*)?(?:\.[A-Za-z0-9_-]+)?(?:\[[A-Za-z0-9_-]+(?:\*?=[^\]]*)?\])?$"
+# The messages of faults.
+EMPTY_DOMAIN = "Domain cannot be empty"
+INVALID_DOMAIN = "Invalid domain format"
+EMPTY_TITLE = "Title selector cannot be empty"
+EMPTY_CONTENT = "Content selector cannot be empty"
+EMPTY_FALLBACK = "Fallback selector cannot be empty"
+INVALID_SYNTAX = "Invalid CSS selector syntax"
+#: Our own: valid CSS perhaps, but not matched.
+UNSUPPORTED = "Unsupported selector"
+
+#: What selectors may consist of: descendant steps of a tag, classes, an id and attribute tests.
+MAX_STEPS = 5
+#: Steps of the built-in selectors.
+BUILT_IN_STEPS = 2
+_ATTRIBUTE = r"""\[\s*[A-Za-z0-9_-]+\s*(?:[*^$~]?=\s*(?:"[^"\]]*"|'[^'\]]*'|[^\s"'\]]+)\s*)?\]"""
+_STEP = rf"^(?:[a-zA-Z][a-zA-Z0-9-]*|\*)?(?:[.#][A-Za-z0-9_-]+|{_ATTRIBUTE})*$"
+_STEP_TYPE = (
+    "struct<tag:string,id:string,classes:array<string>,attrs:array<struct<k:string,op:string,v:string>>,key:string>"
+)
 
 
 def built_in_rules(spark: SparkSession) -> DataFrame:
@@ -118,12 +135,54 @@ def supported_domains(rules: DataFrame) -> DataFrame:
     return rules.filter(F.col("domain") != GENERIC_SITE).select("domain").distinct()
 
 
-def selector_rows(sites: DataFrame) -> DataFrame:
-    """One row per site, field, priority and comma alternative, broken into leaf and ancestor tests.
+def alternatives(selector: Column) -> Column:
+    """The comma-separated parts of a selector; commas inside brackets do not count."""
+    return F.regexp_extract_all(selector, F.lit(r"(?:\[[^\]]*\]|[^,\[])+"), F.lit(0))
+
+
+def steps_of(part: Column) -> Column:
+    """The descendant steps of one part; spaces inside brackets do not count."""
+    return F.regexp_extract_all(part, F.lit(r"(?:\[[^\]]*\]|[^\s\[])+"), F.lit(0))
+
+
+def is_supported(part: Column) -> Column:
+    """One to MAX_STEPS steps, each of a tag, classes, ids and attribute tests."""
+    steps = steps_of(part)
+    return F.size(steps).between(1, MAX_STEPS) & F.forall(steps, lambda s: s.rlike(_STEP))
+
+
+def parsed_step(step: Column) -> Column:
+    """A step as a test. ``key`` is the one property a node is looked up by before it is tested."""
+    tests = F.regexp_extract_all(step, F.lit(_ATTRIBUTE), F.lit(0))
+    bare = F.regexp_replace(step, r"\[[^\]]*\]", "")
+    names = lambda mark: F.regexp_extract_all(bare, F.lit(rf"{mark}([A-Za-z0-9_-]+)"), F.lit(1))
+    tag = F.lower(F.regexp_extract(bare, r"^([a-zA-Z][a-zA-Z0-9-]*)", 1))
+    known = r"""(?s)^\[\s*([A-Za-z0-9_-]+)\s*(?:([*^$~]?=)\s*["']?(.*?)["']?\s*)?\]$"""
+
+    def test(text: Column) -> Column:
+        op = F.regexp_extract(text, known, 2)
+        return F.struct(
+            F.lower(F.regexp_extract(text, known, 1)).alias("k"),
+            F.when(op != "", op).alias("op"),
+            F.when(op != "", F.regexp_extract(text, known, 3)).alias("v"),
+        )
+
+    classes, ids, attrs = names(r"\."), names("#"), F.transform(tests, test)
+    first = lambda array: F.get(array, F.lit(0))
+    key = F.coalesce(
+        F.concat(F.lit("#"), first(ids)),
+        F.concat(F.lit("."), first(classes)),
+        F.when(tag != "", tag),
+        F.concat(F.lit("["), F.get(F.transform(attrs, lambda a: a.k), F.lit(0))),
+        F.lit("*"),
+    )
+    return F.struct(
+        F.when(tag != "", tag).alias("tag"), first(ids).alias("id"), classes.alias("classes"), attrs.alias("attrs"), key.alias("key")
+    ).cast(_STEP_TYPE)
 
-    Supported: tag, class, attribute presence, ``=`` and ``*=``, and one descendant step. Anything
-    else is left out here and reported by ``validate_site_rules``.
-    """
+
+def _field_rows(sites: DataFrame) -> DataFrame:
+    """One row per site, field, priority and comma alternative."""
 
     def field(name: str, selectors: Column) -> Column:
         return F.transform(
@@ -139,33 +198,30 @@ def selector_rows(sites: DataFrame) -> DataFrame:
     rows = sites.select(
         "site", F.inline(F.concat(*own, field("fallback", F.col("fallback_selectors")), *generic))
     )
-    rows = rows.select("*", F.posexplode(F.split("selector", ",")).alias("alt", "part"))
-    steps = F.split(F.trim("part"), r"\s+")
-    rows = rows.withColumn("steps", steps).filter(
-        (F.size("steps") <= 2) & F.forall("steps", lambda s: s.rlike(_SIMPLE) & (s != ""))
+    return rows.select("*", F.posexplode(alternatives(F.col("selector"))).alias("alt", "part"))
+
+
+def selector_rows(sites: DataFrame) -> DataFrame:
+    """One row per step of every selector: ``site, field, priority, alt, selector, steps, level, step``.
+
+    Supported: tag, classes, id, attribute presence, ``=``, ``*=``, ``^=``, ``$=`` and ``~=``, and up
+    to MAX_STEPS descendant steps. ``level`` counts steps from the outermost, from 1. Anything else
+    is left out here and reported by ``validate_site_rules``.
+    """
+    rows = _field_rows(sites).filter(is_supported(F.col("part"))).withColumn("_steps", steps_of(F.col("part")))
+    rows = rows.select(
+        "site", "field", "priority", "alt", "selector", F.size("_steps").alias("steps"), F.posexplode("_steps").alias("_at", "_text")
+    )
+    return rows.select(
+        "site", "field", "priority", "alt", "selector", "steps", (F.col("_at") + 1).alias("level"), parsed_step(F.col("_text")).alias("step")
     )
-    leaf = F.element_at("steps", -1)
-    anc = F.when(F.size("steps") == 2, F.element_at("steps", 1))
-    rows = rows.select("site", "field", "priority", "alt", "selector", leaf.alias("leaf"), anc.alias("anc"))
-
-    def part(col: str, pattern: str, group: int) -> Column:
-        value = F.regexp_extract(col, pattern, group)
-        return F.when(value != "", value)
-
-    attr = r"\[([A-Za-z0-9_-]+)(?:(\*?=)[\"']?([^\"'\]]*)[\"']?)?\]"
-    for col in ("leaf", "anc"):
-        rows = (
-            rows.withColumn(f"{col}_tag", F.lower(part(col, r"^([a-zA-Z][a-zA-Z0-9-]*)", 1)))
-            .withColumn(f"{col}_class", part(col, r"^[a-zA-Z0-9-]*\.([A-Za-z0-9_-]+)", 1))
-            .withColumn(f"{col}_attr", F.lower(part(col, attr, 1)))
-            .withColumn(f"{col}_op", part(col, attr, 2))
-            .withColumn(f"{col}_val", F.when(F.col(f"{col}_op").isNotNull(), F.regexp_extract(col, attr, 3)))
-        )
-    return rows
 
 
 def validate_site_rules(rules: DataFrame) -> DataFrame:
-    """One row per fault of a rule: ``domain, field, message, value``."""
+    """One row per fault of a rule: ``domain, field, message, value``.
+
+    A selector with a part that ``selector_rows`` leaves out is a fault of its own, besides bad syntax.
+    """
     none = F.lit(None).cast("string")
 
     def fault(test: Column, field: Column | str, message: str, value: Column) -> Column:
@@ -177,28 +233,37 @@ def validate_site_rules(rules: DataFrame) -> DataFrame:
 
     domain = F.col("domain")
     faults = [
-        fault(blank(domain), "domain", "Domain cannot be empty", none),
+        fault(blank(domain), "domain", EMPTY_DOMAIN, none),
         fault(
             ~blank(domain) & (domain != GENERIC_SITE) & ~domain.rlike(DOMAIN_FORMAT),
-            "domain", "Invalid domain format", domain,
+            "domain", INVALID_DOMAIN, domain,
         ),
-        fault(blank(F.col("title_selector")), "title_selector", "Title selector cannot be empty", none),
-        fault(blank(F.col("content_selector")), "content_selector", "Content selector cannot be empty", none),
+        fault(blank(F.col("title_selector")), "title_selector", EMPTY_TITLE, none),
+        fault(blank(F.col("content_selector")), "content_selector", EMPTY_CONTENT, none),
     ]
+    def unsupported(selector: Column) -> Column:
+        return F.exists(alternatives(selector), lambda part: ~is_supported(part)) | selector.rlike(r"^\s*,|,\s*(,|$)")
+
     for name in ("title_selector", "content_selector", "author_selector", "date_selector"):
         col = F.col(name)
         bad = (F.length(col) > 0) & (blank(col) | col.rlike(FORBIDDEN))
-        faults.append(fault(bad, name, "Invalid CSS selector syntax", col))
+        faults.append(fault(bad, name, INVALID_SYNTAX, col))
+        faults.append(fault(~blank(col) & unsupported(col), name, UNSUPPORTED, col))
 
     def fallback(selector: Column, i: Column) -> Column:
         name = F.format_string("fallback_selectors[%d]", i)
         return F.coalesce(
-            fault(blank(selector), name, "Fallback selector cannot be empty", none),
-            fault(selector.rlike(FORBIDDEN), name, "Invalid CSS selector syntax", selector),
+            fault(blank(selector), name, EMPTY_FALLBACK, none),
+            fault(selector.rlike(FORBIDDEN), name, INVALID_SYNTAX, selector),
         )
 
+    def fallback_left_out(selector: Column, i: Column) -> Column:
+        name = F.format_string("fallback_selectors[%d]", i)
+        return fault(~blank(selector) & unsupported(selector), name, UNSUPPORTED, selector)
+
     all_faults = F.concat(
         F.array(*faults),
         F.coalesce(F.transform("fallback_selectors", fallback), F.array()),
+        F.coalesce(F.transform("fallback_selectors", fallback_left_out), F.array()),
     )
     return rules.select("domain", F.inline(F.filter(all_faults, lambda f: f.isNotNull())))

@@ -11,7 +11,15 @@ from galley.operators.records import page_records
 from galley.operators.reports import removed_report
 from galley.plans.articles import article_errors, extract_articles
 from galley.sources.pages import PAGES
-from galley.sources.rules import load_site_rules
+from galley.operators.selectors import attach_site, match_selectors
+from galley.sources.rules import (
+    RULE_SCHEMA,
+    UNSUPPORTED,
+    load_site_rules,
+    selector_rows,
+    site_table,
+    validate_site_rules,
+)
 
 LINES = [
     "The council met on Monday evening and talked for hours about the new bridge over the river.",
@@ -184,3 +192,36 @@ def test_large_flat_page(spark, mode):
     html = "<main>" + "".join(f"<div><p>{LINES[i % 5]}</p></div>" for i in range(3000)) + "</main>"
     row = extract_articles(pages(spark, html), mode=mode).first()
     assert row.word_count > 40_000
+
+
+def test_custom_selectors(spark):
+    html = """<body><div id="story" class="x y"><section class="a  b"><p class="q r" data-k="one, two">A</p></section><p>B</p></div>
+      <div class="x"><p data-k="on">C</p><h1 class="a b">D</h1></div><article><div><div><p class="deep">E</p></div></div></article></body>"""
+    selectors = {
+        "#story p": "AB", "div#story.y > p": None, ".x .a.b p": "A", "p.r.q": "A", "[data-k='one, two']": "A", "p[data-k^=on]": "AC",
+        "p[data-k$='two']": "A", "section[class~=b] p": "A", "body .x p[data-k], h1.b.a": "ACD", "article div div p": "E",
+        "article div div div p": "", "body article div div p": "E", "a b c d e f": None, "p:first-child": None, "*": None, ", p": None, "P.Deep": "", "p.deep": "E",
+    }
+    pages = spark.createDataFrame([(k, f"https://own{k}.org/", html) for k in range(len(selectors))], PAGES)
+    rules = [(f"own{k}.org", s, "p", None, None, []) for k, s in enumerate(selectors)]
+    rules = spark.createDataFrame(rules, RULE_SCHEMA)
+    faults = {r.value for r in validate_site_rules(rules).filter(f"message = '{UNSUPPORTED}'").collect()}
+    assert faults == {"div#story.y > p", "a b c d e f", "p:first-child", ", p"}
+    sites = site_table(rules)
+    for small in (True, False):
+        rows = dom_rows(attach_site(pages, sites, small), ("site",))
+        hits = match_selectors(rows, selector_rows(sites), small).filter("field = 'title'")
+        text = rows.filter("kind = 'text'").select("page_id", (F.col("pos") - 1).alias("start"), "run")
+        found = {r.page_id: r.texts for r in hits.join(text, ["page_id", "start"]).groupBy("page_id").agg(F.sort_array(F.collect_list("run")).alias("texts")).collect()}
+        for k, (selector, texts) in enumerate(selectors.items()):
+            assert texts is None or "".join(found.get(k, [])) == texts, selector
+
+
+def test_many_rules_do_not_gather_pages_of_a_site(spark):
+    pages = spark.createDataFrame([(1, "https://a.org/1", "<p>x</p>")], PAGES)
+    rules = load_site_rules(spark, spark.createDataFrame([("b.org", "h1", "p", None, None, ["p"])], RULE_SCHEMA))
+    plan = page_records(pages, rules)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    by_site = [k for k, line in enumerate(lines) if "Exchange hashpartitioning(site" in line and "_salt" not in line]
+    assert all("Aggregate(key=[site" in lines[k + 1] or "Aggregate(keys=[site" in lines[k + 1] for k in by_site)  # the rules themselves
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
