@@ -140,6 +140,11 @@ def j2_custom_selectors(spark, sf_dir):
     return own.select("page_id", "field", "priority", "start", "end", "tag")
 
 
+def j6_removed_reasons(spark, sf_dir):
+    rows = extract_articles(inputs.styled_pages(spark, sf_dir))
+    return rows.select("page_id", F.array_join("removed_reasons", "|").alias("reasons"))
+
+
 def j3_boilerplate_nodes(spark, sf_dir):
     return boilerplate_nodes(dom.node_table(inputs.styled_pages(spark, sf_dir))).select(
         "page_id", "start", "end", "reason"
@@ -363,6 +368,12 @@ def _custom_sql() -> str:
     return f"{_P} " + " UNION ALL ".join(pieces)
 
 
+_REMOVED = f"""{_S} SELECT page_id, reason, count(*) AS n FROM (
+        SELECT page_id, reason FROM boiler b WHERE reason NOT LIKE 'pattern%' OR NOT EXISTS (
+          SELECT 1 FROM boiler c WHERE c.page_id = b.page_id AND c.reason NOT LIKE 'pattern%' AND c.start < b.start AND b.start < c.fin)
+        UNION ALL SELECT page_id, CASE WHEN t LIKE '<!--%' THEN 'comment' ELSE concat('script_style:', lower(regexp_extract(t, '^<([a-zA-Z]+)', 1))) END
+          FROM tk WHERE kind = 'skip' AND (t LIKE '<!--%' OR regexp_matches(t, '(?i)^<(script|style)'))) GROUP BY ALL"""
+
 ORACLE = {
     "s1_read_pages": "SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'NULL_INPUT' WHEN page_id % 10 = 1 THEN 'empty_input' "
     "WHEN length(html) > 5000 THEN 'CONTENT_TOO_LONG' ELSE 'ok' END AS outcome FROM pages",
@@ -398,11 +409,8 @@ ORACLE = {
     "a2_readability_score": f"{_S}{o.matches()}{o.extraction()} SELECT page_id, start, score FROM ft",
     "a3_generic_text": f"{_P}{o.matches()}{o.extraction()} SELECT pg.page_id, coalesce(gp.text, gc.text, '') AS text FROM pg LEFT JOIN gp USING (page_id) LEFT JOIN gc USING (page_id)",
     "a4_selector_text": f"{o.articles_ctes(o.DATED)} SELECT sp.page_id, coalesce(st.text, '') AS extractor_text, sp.content AS parser_text FROM sp LEFT JOIN st USING (page_id)",
-    "a5_removed_report": f"""{_S} SELECT page_id, reason, count(*) AS n FROM (
-        SELECT page_id, reason FROM boiler b WHERE reason NOT LIKE 'pattern%' OR NOT EXISTS (
-          SELECT 1 FROM boiler c WHERE c.page_id = b.page_id AND c.reason NOT LIKE 'pattern%' AND c.start < b.start AND b.start < c.fin)
-        UNION ALL SELECT page_id, CASE WHEN t LIKE '<!--%' THEN 'comment' ELSE concat('script_style:', lower(regexp_extract(t, '^<([a-zA-Z]+)', 1))) END
-          FROM tk WHERE kind = 'skip' AND (t LIKE '<!--%' OR regexp_matches(t, '(?i)^<(script|style)'))) GROUP BY ALL""",
+    "a5_removed_report": _REMOVED,
+    "j6_removed_reasons": f"SELECT page_id, coalesce(reasons, '') AS reasons FROM pages LEFT JOIN (SELECT page_id, string_agg(reason, '|' ORDER BY reason) AS reasons FROM ({_REMOVED}) GROUP BY ALL) USING (page_id)",
     "w1_best_container": f"{_S}{o.matches()}{o.extraction()} SELECT page_id, start, tag, score FROM best",
     "w2_choose_extraction": f"{_S}{o.matches()}{o.extraction()} SELECT page_id, extractor_method, clean_content FROM ex",
     "p15_extraction_confidence": f"{_S}{o.matches()}{o.extraction()} SELECT page_id, extraction_confidence FROM ex",

@@ -31,7 +31,7 @@ from galley.plans.requests import process_requests
 from galley.session import new_path
 from galley.sources.pages import read_pages
 from galley.sources.requests import read_requests
-from galley.sources.sinks import outbox, write_articles
+from galley.sources.sinks import write_articles, write_responses
 from galley.streaming.jobs import stream_error_windows, stream_pages
 
 RUN_TS = "2024-02-01T00:00:00Z"
@@ -82,9 +82,25 @@ def s3_write_articles(spark, sf_dir):
 
 
 def s4_outbox(spark, sf_dir):
-    requests = _requests(spark, sf_dir).filter("error_type IS NULL")
-    responses = requests.select("request_id", F.to_json(F.struct("url", "sentiment")).alias("response"))
-    return outbox(responses, requests)
+    sent = _results(spark, sf_dir).outbox
+
+    def field(path: str):
+        return F.get_json_object("payload", path)
+
+    return sent.select(
+        "request_id", field("$.article_metadata.url").alias("url"), field("$.article_metadata.title").alias("title"),
+        F.length(field("$.extracted_content")).alias("content_chars"), field("$.sentiment_analysis.sentiment").alias("sentiment"),
+        field("$.pii_detection.redacted_text").alias("redacted"), field("$.topic_analysis.topics[0]").alias("first_topic"),
+        field("$.summary").alias("summary"),
+    )
+
+
+def s3_write_responses(spark, sf_dir):
+    folder = new_path(spark, "responses")
+    write_responses(response_json(_results(spark, sf_dir).responses).select("request_id", "response"), folder)
+    written = spark.read.parquet(folder)
+    url = F.get_json_object("response", "$.article_metadata.url").alias("url")
+    return written.select("request_id", url, F.length(F.get_json_object("response", "$.extracted_content")).alias("content_chars"))
 
 
 def s6_resolve_fetches(spark, sf_dir):
@@ -175,6 +191,7 @@ def o1_build_response(spark, sf_dir):
         field("$.sentiment_analysis.sentiment").alias("sentiment"),
         field("$.pii_detection.redacted_text").alias("redacted"),
         field("$.topic_analysis.topics[0]").alias("first_topic"),
+        F.size(F.from_json(field("$.topic_analysis.key_phrases"), "array<struct<text: string>>")).cast("long").alias("n_key_phrases"),
         field("$.summary").alias("summary"),
         field("$.processing_metadata.features_enabled.pii").alias("pii_enabled"),
         field("$.processing_metadata.extraction_method").alias("method"),
@@ -213,7 +230,8 @@ def o4_error_rows(spark, sf_dir):
 
 
 def o4_request_errors(spark, sf_dir):
-    return _results(spark, sf_dir).errors.select("request_id", "error_type", "message", "step")
+    partial = F.get_json_object("response", "$.partial_results.scraping.success").alias("scraped")
+    return _results(spark, sf_dir).errors.select("request_id", "error_type", "message", "step", partial)
 
 
 def o5_processing_errors(spark, sf_dir):
@@ -277,9 +295,9 @@ def _enriched(source: str, key: str) -> str:
         f"SELECT {key}, string_agg(topic, '|' ORDER BY rank) AS topics FROM (SELECT {key}, rank, {o.TITLE} AS topic FROM "
         f"({o.ranked('WHERE confidence > 0.8', 5, key)})) GROUP BY ALL"
     )
-    counts = f"SELECT {key}, least(count(*), 10) AS n_phrases FROM kp GROUP BY ALL"
+    counts = f"SELECT {key}, least(count(*), 10) AS n_phrases, count(*) AS n_key_phrases FROM kp GROUP BY ALL"
     return f"""SELECT s.*, m.sentiment AS mood, r.redacted_text, r.has_pii, r.pii_types AS pii_found, coalesce(n.n, 0) AS n_entities, tp.topics AS topic_list,
-        tn.n_phrases, sm.summary AS digest
+        tn.n_phrases, tn.n_key_phrases, sm.summary AS digest
       FROM {source} s LEFT JOIN ({o.sentiment(only('sentiment'), key)}) m USING ({key})
       LEFT JOIN ({o.redact(only('pii'), key)}) r USING ({key})
       LEFT JOIN (SELECT {key}, count(*) AS n FROM ({o.pii_entities(only('pii'), key)}) GROUP BY ALL) n USING ({key})
@@ -314,7 +332,7 @@ et AS MATERIALIZED (SELECT page_id, coalesce(nz.normalized_text, clean_content)
 en AS MATERIALIZED ({_enriched('et', 'page_id')}),
 an AS MATERIALIZED (
   SELECT fl.request_id, fl.url, fl.pii AS pii_enabled, ar.title, ar.domain, length(ar.clean_content) AS content_chars, ar.extraction_method AS method,
-    CASE WHEN fl.llm_normalization THEN length(nz.normalized_text) END AS normalized_chars, fl.llm_normalization,
+    CASE WHEN fl.llm_normalization THEN length(nz.normalized_text) END AS normalized_chars, fl.llm_normalization, fl.external_api, CASE WHEN fl.topics THEN en.n_key_phrases END AS n_key_phrases,
     CASE WHEN fl.sentiment THEN en.mood END AS sentiment, CASE WHEN fl.pii THEN en.redacted_text END AS redacted,
     CASE WHEN fl.topics THEN string_split(en.topic_list, '|')[1] END AS first_topic, CASE WHEN fl.summary THEN en.digest END AS summary,
     (fl.sentiment AND en.mood IS NULL) OR (fl.pii AND en.redacted_text IS NULL) OR (fl.summary AND en.digest IS NULL)
@@ -353,7 +371,8 @@ ORACLE = {
     "p5_parse_flags": f"{_RQ} SELECT request_id, {', '.join(FEATURES)} FROM fl",
     "p6_enabled_features": f"{_RQ} SELECT request_id, array_to_string(l, ',') AS enabled, len(l) = 0 AS basic_only FROM (SELECT request_id, {_list(_ON)} AS l FROM fl)",
     "s3_write_articles": f"{h.articles_ctes(h.PLAIN)} SELECT page_id, domain, title, word_count, extraction_method, sha256(clean_content) AS content_sha FROM ({h.ARTICLES})",
-    "s4_outbox": f"{_RQ} SELECT request_id, concat('{{\"url\":\"', url, '\",\"sentiment\":', sentiment, '}}') AS payload FROM fl WHERE external_api",
+    "s4_outbox": f"{_ANSWERS} SELECT request_id, url, title, content_chars, sentiment, redacted, first_topic, summary FROM an WHERE external_api",
+    "s3_write_responses": f"{_ANSWERS} SELECT request_id, url, content_chars FROM an",
     "s6_resolve_fetches": f"""WITH lg AS (SELECT * FROM {_LOG}),
       fin AS (SELECT url, coalesce(min(attempt) FILTER ({_FINAL}), max(attempt)) AS attempts FROM lg GROUP BY ALL)
       SELECT url, coalesce(l.status_code = 200, false) AS success, CASE WHEN l.status_code = 200 THEN 200 ELSE 0 END AS status_code, f.attempts,
@@ -375,13 +394,13 @@ ORACLE = {
     "a7_batch_report": f"{_EN} SELECT count(*) AS texts, count(*) FILTER (len(done) > 0) AS succeeded, count(*) FILTER (len(done) = 0) AS failed, "
     + ", ".join(f"count(*) FILTER (list_contains(done, '{f}')) AS {f}_results" for f in ENRICHMENTS)
     + " FROM pr",
-    "o1_build_response": f"""{_ANSWERS} SELECT request_id, url, title, domain, '{RUN_TS}' AS scraped, content_chars, normalized_chars, sentiment, redacted, first_topic, summary,
+    "o1_build_response": f"""{_ANSWERS} SELECT request_id, url, title, domain, '{RUN_TS}' AS scraped, content_chars, normalized_chars, sentiment, redacted, first_topic, n_key_phrases, summary,
       CAST(pii_enabled AS VARCHAR) AS pii_enabled, method, CASE WHEN partial THEN 206 ELSE 200 END AS status_code FROM an""",
     "o2_feature_failures": f"{_EN} SELECT doc_id, array_to_string({_FAILED}, ',') AS failed, CASE WHEN len({_FAILED}) > 0 THEN concat('Some NLP features failed: ', array_to_string({_FAILED}, ', ')) END AS note FROM pr",
     "o3_status_code": f"{_ANSWERS} SELECT request_id, CASE WHEN partial THEN 206 ELSE 200 END AS status_code FROM an UNION ALL SELECT request_id, 400 FROM fl WHERE message IS NOT NULL",
     "o4_error_rows": f"""SELECT page_id, error_type AS type, step, message, CAST(error_type IN ('TIMEOUT_ERROR','CONNECTION_ERROR','HTTP_ERROR','AWS_SERVICE_ERROR','EXTERNAL_API_ERROR') AS VARCHAR) AS recoverable,
       CAST(error_type IN ('TIMEOUT_ERROR','CONNECTION_ERROR','AWS_SERVICE_ERROR') AS VARCHAR) AS retry, url FROM {_STAGE}""",
-    "o4_request_errors": f"{_RQ} SELECT request_id, 'VALIDATION_ERROR' AS error_type, message, 'request_handling' AS step FROM fl WHERE message IS NOT NULL",
+    "o4_request_errors": f"{_RQ} SELECT request_id, 'VALIDATION_ERROR' AS error_type, message, 'request_handling' AS step, NULL AS scraped FROM fl WHERE message IS NOT NULL",
     "o5_processing_errors": f"""SELECT page_id, errors, CASE WHEN errors = '' THEN 200 ELSE 206 END AS status_code FROM (SELECT page_id, concat_ws(' / ', CASE WHEN step = 'scraping' THEN concat('Extraction: ', message) END,
       CASE WHEN error_type IN ('TIMEOUT_ERROR','CONNECTION_ERROR') THEN concat('LLM normalization failed: ', message) END,
       CASE WHEN step = 'nlp_enrichment' THEN concat('NLP enrichment failed: ', message) END) AS errors FROM {_STAGE})""",

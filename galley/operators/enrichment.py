@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from galley.functions.flags import ENRICHMENTS
 from galley.functions.text import is_blank
-from galley.operators.phrases import key_phrases, top_phrases, topics
+from galley.operators.phrases import TOP_PHRASES, TOPIC_CONFIDENCE, TOPIC_WORDS, TOPICS, key_phrases
 from galley.operators.pii import pii_entities, redact
 from galley.operators.sentiment import sentiment
 from galley.operators.summary import summarize
@@ -21,23 +21,20 @@ def enrich_input(articles: DataFrame, normalized: DataFrame, key: str = "doc_id"
 
 
 def topic_lists(phrases: DataFrame, key: str) -> DataFrame:
-    """``key, topics, top_phrases`` as arrays in rank order."""
-    labels = topics(phrases, key).select(key, F.struct("rank", "topic").alias("t"), F.lit(None).alias("p"))
-    top = top_phrases(phrases, key).select(
-        key,
-        F.lit(None).alias("t"),
-        F.struct("rank", "text", "confidence", "begin_offset", "end_offset").alias("p"),
-    )
-    both = labels.withColumn("p", F.lit(None).cast(top.schema["p"].dataType)).unionByName(
-        top.withColumn("t", F.lit(None).cast(labels.schema["t"].dataType))
+    """``key, key_phrases, topics, top_phrases``: arrays in rank order, from one aggregate per text."""
+    order = F.struct(
+        (-F.col("confidence")).alias("below"), "begin_offset", "end_offset", "text", "confidence", "n_words"
     )
-    grouped = both.groupBy(key).agg(
-        F.array_sort(F.collect_list("t")).alias("t"), F.array_sort(F.collect_list("p")).alias("p")
+    ranked = phrases.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("ranked"))
+    shown = F.transform(
+        "ranked", lambda p: F.struct(p.text.alias("text"), p.confidence.alias("confidence"), p.begin_offset.alias("begin_offset"), p.end_offset.alias("end_offset"))
     )
-    return grouped.select(
+    short = F.filter("ranked", lambda p: (p.confidence > TOPIC_CONFIDENCE) & (p.n_words <= TOPIC_WORDS))
+    return ranked.select(
         key,
-        F.transform("t", lambda x: x.topic).alias("topics"),
-        F.transform("p", lambda x: x.dropFields("rank")).alias("top_phrases"),
+        shown.alias("key_phrases"),
+        F.transform(F.slice(short, 1, TOPICS), lambda p: F.initcap(p.text)).alias("topics"),
+        F.slice(shown, 1, TOP_PHRASES).alias("top_phrases"),
     )
 
 
@@ -79,7 +76,7 @@ def enrich(
     labels = asked("topics").select(key).join(topic_lists(phrases, key), key, "left")
     empty = F.array().cast("array<string>")
     labels = labels.select(
-        key, F.struct(F.coalesce("topics", empty).alias("topics"), "top_phrases").alias("topic_analysis")
+        key, F.struct("key_phrases", F.coalesce("topics", empty).alias("topics"), "top_phrases").alias("topic_analysis")
     )
     short = summarize(asked("summary"), key, limit=limit).select(
         key, F.struct("summary", "original_length", "summary_length", "compression_ratio").alias("digest")

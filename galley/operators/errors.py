@@ -96,8 +96,12 @@ def classify_errors(errors: DataFrame) -> DataFrame:
 
 
 def error_rows(errors: DataFrame, run_ts: str) -> DataFrame:
-    """Error responses as JSON, from rows with ``url, error_type, message, step``."""
+    """Error responses as JSON, from rows with ``url, error_type, message, step``.
+
+    A column ``partial_results``, where there is one, says what was done before the failure.
+    """
     at = F.lit(run_ts)
+    partial = ["partial_results"] if "partial_results" in errors.columns else []
     body = F.struct(
         F.lit(False).alias("success"),
         F.struct(
@@ -110,6 +114,7 @@ def error_rows(errors: DataFrame, run_ts: str) -> DataFrame:
             hints(F.col("error_type"), F.col("step")).alias("troubleshooting_hints"),
         ).alias("error"),
         F.struct("url", at.alias("scrape_timestamp")).alias("article_metadata"),
+        *partial,
         at.alias("timestamp"),
     )
     return errors.withColumn("response", F.to_json(body))

@@ -14,6 +14,7 @@ from galley.functions.markup import attribute
 from galley.functions.text import clean_block, clean_text
 from galley.operators.boilerplate import class_and_id
 from galley.operators.dom import dom_rows
+from galley.operators.reports import counted_reason
 from galley.operators.selectors import attach_site, match_rows
 from galley.operators.skew import spread_join
 from galley.sources.rules import BUILT_IN_STEPS, MAX_STEPS, built_in_rules, selector_rows, site_table
@@ -36,7 +37,7 @@ def content_hits(attrs: Column) -> Column:
 def page_records(
     pages: DataFrame, rules: DataFrame | None = None, mode: str = "substring", clustered: bool = False
 ) -> DataFrame:
-    """``page_id, url, domain, site, supported, toks, hits, fallback_selectors, rule_domain``.
+    """``page_id, url, domain, site, supported, toks, hits, removed_reasons, fallback_selectors, rule_domain``.
 
     Without ``rules`` the built-in ones are used: a fixed handful of rows that is always broadcast.
     Given rules may be any number; nothing runs while the plan is made.
@@ -59,6 +60,7 @@ def page_records(
         *[F.first(c, ignorenulls=True).alias(c) for c in keep],
         F.array_sort(F.collect_list(F.when(is_token, token))).alias("toks"),
         F.array_sort(F.array_distinct(F.collect_list(F.when(~is_token, hit)))).alias("hits"),
+        F.array_sort(F.collect_set(F.when(is_token, counted_reason()))).alias("removed_reasons"),
     )
     records = records.select(
         "*",

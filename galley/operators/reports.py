@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.functions.markup import tag_name
@@ -14,18 +14,22 @@ def removed_report(rows: DataFrame) -> DataFrame:
     Every removed node counts once; a pattern match inside an element that is removed by its tag
     is gone before patterns are tried and does not count.
     """
-    kind, reason = F.col("kind"), F.col("reason")
-    counted = F.when(
-        reason.isNotNull() & (~reason.startswith("pattern") | ~F.col("in_removed_tag")), reason
-    ).when(kind == "skip", F.col("skipped"))
     return (
-        rows.select("page_id", counted.alias("reason"))
+        rows.select("page_id", counted_reason().alias("reason"))
         .filter("reason IS NOT NULL")
         .groupBy("page_id", "reason")
         .agg(F.count("*").alias("n"))
     )
 
 
+def counted_reason() -> Column:
+    """The reason a DOM row counts as removed, NULL where it does not."""
+    kind, reason = F.col("kind"), F.col("reason")
+    return F.when(
+        reason.isNotNull() & (~reason.startswith("pattern") | ~F.col("in_removed_tag")), reason
+    ).when(kind == "skip", F.col("skipped"))
+
+
 def skipped_reason(token):
     """The reason of a token without nodes: a comment, a script or a style."""
     return F.when(token.startswith("<!--"), "comment").when(

@@ -14,7 +14,7 @@ from galley.sources.pages import split_invalid
 ARTICLE_COLUMNS = (
     "page_id", "url", "domain", "title", "author", "publish_date", "content", "clean_content",
     "word_count", "paragraph_count", "extraction_method", "confidence_score",
-    "extractor_method", "extraction_confidence", "warning", "formatting",
+    "extractor_method", "extraction_confidence", "warning", "formatting", "removed_reasons",
 )
 
 

@@ -11,11 +11,16 @@ from galley.functions.flags import ENRICHMENTS, FEATURES
 from galley.operators.enrichment import enrich, enrich_input
 from galley.operators.errors import error_rows, status_code
 from galley.operators.normalization import normalize_corpus
-from galley.operators.responses import build_response
+from galley.operators.responses import build_response, response_json
 from galley.operators.skew import salted_join
 from galley.plans.articles import article_errors, extract_articles
 from galley.session import stage
 from galley.sources.requests import read_requests
+from galley.sources.sinks import outbox
+
+
+#: What a failed request got done, by step.
+PARTIAL = "map<string, struct<success: boolean, error: string>>"
 
 
 @dataclass
@@ -24,6 +29,7 @@ class RequestResults:
 
     responses: DataFrame
     errors: DataFrame
+    outbox: DataFrame
 
 
 def process_requests(
@@ -78,8 +84,9 @@ def process_requests(
     found = found.withColumn("features_requested", asked).withColumn("features_processed", done)
     responses = build_response(found, run_ts)
     rejected = parsed.filter("error_type IS NOT NULL").select(
-        "request_id", "url", "error_type", "message", F.lit("request_handling").alias("step")
-    )
+        "request_id", "url", "error_type", "message", F.lit("request_handling").alias("step"),
+        F.lit(None).cast(PARTIAL).alias("partial_results"),
+    )
     unusable = article_errors(asked_pages).select("url", F.col("message").alias("_why"))
     missing = salted_join(answered.filter("page_id IS NULL").select("request_id", "url"), unusable, ["url"], "request_id")
     failed = missing.select(
@@ -88,8 +95,12 @@ def process_requests(
         F.lit("SCRAPING_ERROR").alias("error_type"),
         F.coalesce("_why", F.lit("Scraping failed")).alias("message"),
         F.lit("scraping").alias("step"),
-    )
+        F.map_from_arrays(
+            F.array(F.lit("scraping")),
+            F.array(F.struct(F.lit(False).alias("success"), F.coalesce("_why", F.lit("Scraping failed")).alias("error"))),
+        ).cast(PARTIAL).alias("partial_results"),
+    )
     errors = error_rows(rejected.unionByName(failed), run_ts).withColumn(
         "status_code", status_code(F.col("error_type"), F.array())
     )
-    return RequestResults(responses, errors)
+    return RequestResults(responses, errors, outbox(response_json(responses)))

@@ -20,7 +20,13 @@ def write_responses(responses: DataFrame, path: str, mode: str = "overwrite") ->
     responses.write.mode(mode).parquet(path)
 
 
-def outbox(responses: DataFrame, requests: DataFrame, key: str = "request_id") -> DataFrame:
-    """Payload rows of the requests that ask for delivery; a sender works them off."""
-    asked = requests.filter(F.col("external_api")).select(key)
-    return responses.join(asked, key, "left_semi").select(key, F.col("response").alias("payload"))
+def outbox(responses: DataFrame, requests: DataFrame | None = None, key: str = "request_id") -> DataFrame:
+    """Payload rows of the requests that ask for delivery; a sender works them off.
+
+    The flag ``external_api`` is read from the responses, or from ``requests`` where they lack it.
+    """
+    if requests is not None:
+        responses = responses.join(requests.filter(F.col("external_api")).select(key), key, "left_semi")
+    else:
+        responses = responses.filter(F.col("external_api"))
+    return responses.select(key, F.col("response").alias("payload"))

@@ -15,7 +15,7 @@ from galley.session import work_folder
 from galley.sources.pages import PAGES, read_pages
 from galley.sources.requests import read_requests
 from galley.sources.rules import built_in_rules, load_site_rules, site_table, supported_domains, validate_site_rules
-from galley.sources.sinks import outbox, write_articles
+from galley.sources.sinks import write_articles
 from galley.streaming.jobs import stream_pages
 
 LINE = "The council met on Monday evening and talked for hours about a good new bridge."
@@ -103,7 +103,7 @@ def test_request_job(spark):
         3: ("SCRAPING_ERROR", "Scraping failed", 400),
         4: ("VALIDATION_ERROR", "Missing required field: url", 400),
     }
-    sent = outbox(response_json(results.responses), read_requests(asks)).collect()
+    sent = results.outbox.collect()
     assert [r.request_id for r in sent] == [0]
 
 
