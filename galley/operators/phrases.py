@@ -64,7 +64,9 @@ def gram_rows(words: DataFrame, key: str = "doc_id", longest: int = LONGEST) ->
         last = F.col(f"_{n}")
         fits = (last.sentence == F.col("_0.sentence")) & ~last.stop
         size = last.begin + F.length(last.word) - F.col("_0.begin")
-        place = F.shiftleft(F.col("_0.begin").cast("long"), _LENGTH_BITS) + size
+        limit = 1 << _LENGTH_BITS
+        held = F.when(size < limit, size).otherwise(F.raise_error(F.lit(f"a phrase has {limit} characters or more")))
+        place = F.shiftleft(F.col("_0.begin").cast("long"), _LENGTH_BITS) + held
         gram = F.concat_ws(" ", *[F.col(f"_{k}.word") for k in range(n + 1)])
         grams.append(F.when(fits, F.struct(gram.alias("gram"), place.alias("place"))))
     # plain array and explode: both are compiled, a lambda here would be interpreted for every word
@@ -77,9 +79,17 @@ def gram_rows(words: DataFrame, key: str = "doc_id", longest: int = LONGEST) ->
     return counted.select(key, "gram", "tf", begin.alias("begin"), (begin + size).alias("end"))
 
 
-def document_frequency(grams: DataFrame) -> DataFrame:
-    """Texts per gram for the grams of at least two texts; a gram that is missing here has one."""
-    return grams.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
+_GRAM_KEY = ["g1", "g2"]
+
+
+def with_gram_key(grams: DataFrame) -> DataFrame:
+    """Add 128 bits of the gram: what is counted and looked up instead of the text."""
+    return grams.withColumns({"g1": F.xxhash64("gram"), "g2": F.xxhash64(F.lit(1), "gram")})
+
+
+def document_frequency(keyed: DataFrame) -> DataFrame:
+    """Texts per gram key for the grams of at least two texts; a gram that is missing here has one."""
+    return keyed.groupBy(*_GRAM_KEY).agg(F.count("*").alias("df")).filter("df > 1")
 
 
 def with_tfidf(grams: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -89,7 +99,8 @@ def with_tfidf(grams: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataF
     looked up by broadcast and their rows spread (see ``balanced_lookup``).
     """
     total = texts.agg(F.count("*")).scalar()
-    joined = balanced_lookup(grams, document_frequency(grams), ["gram"], "df", key, ["df"])
+    keyed = with_gram_key(grams)
+    joined = balanced_lookup(keyed, document_frequency(keyed), _GRAM_KEY, "df", key, ["df"]).drop(*_GRAM_KEY)
     df = F.coalesce("df", F.lit(1))
     return joined.withColumn("raw", F.col("tf") * F.log((total + 1) / (df + 1)))
 
