@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galley.llm.words import texts_of
+from galley.llm.words import chunks, texts_of
 
 #: The mark a sentence-piece vocabulary writes for a space.
 SPACE = "▁"
 #: Segments whose count a worker remembers before it starts over.
-MEMORY = 400_000
+MEMORY = 200_000
 
 
 def whole_tokens(model) -> frozenset[str]:
@@ -52,11 +52,13 @@ class Counter:
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
         if not cuts_are_safe(self._model):
             raise ValueError("this vocabulary merges across word starts; segments cannot be counted alone")
-        self._whole = dict.fromkeys(whole_tokens(self._model), 1)
+        # a space mark by itself, as at the end of a text, is a token or else its bytes
+        alone = 1 if self._model.piece_to_id(SPACE) != self._model.unk_id() else len(SPACE.encode())
+        self._whole = dict.fromkeys(whole_tokens(self._model), 1) | {"": alone}
         self._known = dict(self._whole)
 
     def segments(self, text: str) -> list[str]:
-        """Segments without their first space mark."""
+        """Segments without their first space mark; empty for a mark by itself."""
         if not text:
             return []
         if "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " ":
@@ -84,7 +86,7 @@ def token_counts(documents: DataFrame, model_path: str, limit: int = 4096) -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(model_path)
-        for batch in batches:
+        for batch in chunks(batches):
             counts: list[int] = []
             for start in range(0, batch.num_rows, 256):
                 counts += counter.count(texts_of(batch.column(1).slice(start, 256)))
