@@ -14,7 +14,7 @@ from galley.operators.responses import response_json
 from galley.session import work_folder
 from galley.sources.pages import PAGES, read_pages
 from galley.sources.requests import read_requests
-from galley.sources.rules import built_in_rules, load_site_rules, site_table, supported_domains, validate_site_rules
+from galley.sources.rules import UNSUPPORTED, built_in_rules, load_site_rules, site_table, supported_domains, validate_site_rules
 from galley.sources.sinks import write_articles
 from galley.streaming.jobs import stream_pages
 
@@ -75,7 +75,9 @@ def test_rules(spark, tmp_path):
         [("", "h1", " ", "a{b}", None, ["p", "", "x>y"])],
         "domain STRING, title_selector STRING, content_selector STRING, author_selector STRING, date_selector STRING, fallback_selectors ARRAY<STRING>",
     )
-    assert sorted(r.field for r in validate_site_rules(bad).collect()) == [
+    faults = validate_site_rules(bad).collect()
+    assert sorted(r.field for r in faults if r.message == UNSUPPORTED) == ["author_selector", "fallback_selectors[2]"]
+    assert sorted(r.field for r in faults if r.message != UNSUPPORTED) == [
         "author_selector", "content_selector", "content_selector", "domain", "fallback_selectors[1]", "fallback_selectors[2]",
     ]
 
