@@ -5,6 +5,10 @@ from __future__ import annotations
 
 from checks import inputs
 from galley.functions.dates import DATE_FORMATS
+from galley.functions.markup import VOID_TAGS
+from galley.operators.boilerplate import BOILERPLATE_PATTERNS, BOILERPLATE_TAGS
+from galley.operators.dom import P_CLOSERS
+from galley.operators.records import CONTENT_PATTERNS
 from galley.sources.rules import BUILT_IN, GENERIC_FIELDS
 
 WS = r"[\s\x0B\x1C-\x1F\x{85}\pZ]"
@@ -15,25 +19,6 @@ STYLE = r"<style\b.*?(?:</style[^>]*>|\z)"
 NOSCRIPT = r"<noscript\b.*?(?:</noscript[^>]*>|\z)"
 TAG = r"""</?[a-z][^<>"']*(?:"[^"<]*"[^<>"']*|'[^'<]*'[^<>"']*)*>"""
 TOKEN = f"(?is){COMMENT}|{SCRIPT}|{STYLE}|{TAG}|</?[a-z][^>]*>|<[!?/][^>]*>|<?[^<]+|<"
-VOID = (
-    "area base basefont bgsound br col command embed frame hr image img input isindex keygen link "
-    "menuitem meta nextid param source spacer track wbr"
-).split()
-P_CLOSERS = (
-    "address article aside blockquote body div fieldset figure footer form header html li main nav "
-    "ol section table td ul"
-).split()
-BOILER_TAGS = (
-    "nav header footer aside menu menuitem script style noscript iframe embed object form input "
-    "button select textarea label"
-).split()
-BOILER = (
-    "nav navigation menu sidebar aside header footer banner toolbar ad advertisement promo sponsored "
-    "social share sharing follow comment discussion feedback related recommend suggestion widget "
-    "plugin embed breadcrumb pagination pager search filter sort cookie gdpr privacy newsletter "
-    "subscribe signup"
-).split()
-CONTENT = "article content main story post body text paragraph section".split()
 
 
 def q(text: str) -> str:
@@ -109,8 +94,8 @@ DOMAIN = f"lower(regexp_extract(url, '{AUTHORITY}', 1))"
 
 def dom(source: str) -> str:
     """CTEs: src, tk (tokens), nd (nodes with ends), boiler, keep (kept runs), runs, pg (site)."""
-    vd, boil = names(VOID), "|".join(BOILER)
-    hits = " + ".join(f"CASE WHEN contains(ci, {q(p)}) THEN 1 ELSE 0 END" for p in CONTENT)
+    vd, boil = names(VOID_TAGS), "|".join(BOILERPLATE_PATTERNS)
+    hits = " + ".join(f"CASE WHEN contains(ci, {q(p)}) THEN 1 ELSE 0 END" for p in CONTENT_PATTERNS)
     sites = names(d for d in BUILT_IN if d != "*" and not d.startswith("www."))
     return f"""WITH src AS MATERIALIZED ({source}),
 tk AS MATERIALIZED (
@@ -161,8 +146,8 @@ nd AS MATERIALIZED (
   WHERE t.kind IN ('open','void')))),
 boiler AS MATERIALIZED (
   SELECT page_id, start, fin, tag, CASE WHEN tag IN ('script','style','noscript') THEN concat('script_style:', tag)
-      WHEN tag IN ({names(BOILER_TAGS)}) THEN concat('tag:', tag) ELSE concat('pattern:', tag) END AS reason
-  FROM nd WHERE tag IN ({names(BOILER_TAGS)}) OR regexp_matches(ci, '{boil}') OR dad <> '' OR dwid <> ''
+      WHEN tag IN ({names(BOILERPLATE_TAGS)}) THEN concat('tag:', tag) ELSE concat('pattern:', tag) END AS reason
+  FROM nd WHERE tag IN ({names(BOILERPLATE_TAGS)}) OR regexp_matches(ci, '{boil}') OR dad <> '' OR dwid <> ''
      OR contains(style, 'display:none') OR contains(style, 'visibility:hidden')),
 runs AS MATERIALIZED (SELECT page_id, pos, {decode('t')} AS text FROM tk WHERE kind = 'text'),
 keep AS MATERIALIZED (

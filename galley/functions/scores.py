@@ -9,6 +9,7 @@ from galley.functions.text import sentence_parts, word_count
 
 FALLBACK_FACTOR = 0.7
 LOW_CONFIDENCE = 0.3
+# Fixed value: the warning.
 WARNING = "Low confidence extraction - content quality may be poor"
 METHOD_BASE = {"site_specific": 0.8, "readability": 0.6, "generic_fallback": 0.4, "error": 0.0}
 OTHER_METHOD = 0.3

@@ -126,14 +126,14 @@ def feature_failures(requested: Column, processed: Column) -> Column:
 
 
 def failure_note(failed: Column) -> Column:
-    """The error line for failed features, NULL when none failed."""
+    """The error line for failed features, NULL when none failed. The wording is a fixed value."""
     return F.when(
         F.size(failed) > 0, F.concat(F.lit("Some NLP features failed: "), F.array_join(failed, ", "))
     )
 
 
 def processing_errors(extraction: Column, normalization: Column, enrichment: Column) -> Column:
-    """The list of error lines of one article; NULL parts are left out."""
+    """The list of error lines of one article, with fixed prefixes; NULL parts are left out."""
     parts = F.array(
         F.concat(F.lit("Extraction: "), extraction),
         F.concat(F.lit("LLM normalization failed: "), normalization),

@@ -37,7 +37,7 @@ def split_invalid(pages: DataFrame, max_chars: int | None = None) -> tuple[DataF
         pages.select("page_id", "url", error.alias("error_type"))
         .filter("error_type IS NOT NULL")
         .withColumn(
-            "message",
+            "message",  # fixed values
             F.when(F.col("error_type") == "NULL_INPUT", "HTML input is None")
             .when(F.col("error_type") == "empty_input", "Empty HTML input")
             .otherwise("HTML input exceeds the content length limit"),

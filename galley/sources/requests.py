@@ -29,6 +29,7 @@ def read_requests(requests: DataFrame, key: str = "request_id", body: str = "bod
     v = F.col("_json")
     url = F.trim(F.try_variant_get(v, "$.url", "string"))
     url_kind, features_kind = _kind(v, "$.url"), _kind(v, "$.features")
+    # fixed values: the messages
     message = (
         F.when(v.isNull(), "Invalid JSON in request body")
         .when(F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0) != "OBJECT", "Failed to parse request")
