@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galley.llm.words import field_types, texts_of, with_columns
+from galley.llm.words import chunks, field_types, texts_of, with_columns
 
 TOKEN = re.compile(r"\w+")
 #: Base of the running Karp-Rabin hash over token numbers, modulo 2 ** 64.
@@ -193,7 +193,7 @@ def with_contaminations(
 
         def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             known = Benchmark(sent.value, seed)
-            for batch in batches:
+            for batch in chunks(batches):
                 before = batch.column(batch.schema.get_field_index("contaminations")).to_pylist()
                 lists = []
                 for text, old in zip(texts_of(batch.column(batch.schema.get_field_index("text"))), before, strict=True):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galley.llm.components import connected_components
-from galley.llm.words import WORD_BYTES, texts_of
+from galley.llm.words import WORD_BYTES, chunks, texts_of
 from galley.operators.skew import balanced_lookup
 from galley.session import stage
 
@@ -45,7 +45,7 @@ def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) with the 64 bits of the fingerprint as a long, for every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches):
             found = np.array([fingerprint(text, shingle) for text in texts_of(batch.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"]

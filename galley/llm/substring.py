@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galley.llm.words import WORD, WORD_BYTES, field_types, texts_of, with_columns
+from galley.llm.words import WORD, WORD_BYTES, chunks, field_types, texts_of, with_columns
 
 ANCHOR_WORDS = 8
 #: One document in SAMPLE is looked at for anchors that need salting; results do not depend on it.
@@ -19,6 +19,8 @@ HOT_SHARE = 1 / 500
 HOT_LEAST = 8
 #: Documents hashed together.
 CHUNK = 256
+#: Documents whose equal runs are combined before the shuffle.
+BATCH = 4_096
 #: A run of windows is one number: its first word and, in the low bits, its length and a flag.
 RUN_BITS = 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -114,7 +116,7 @@ def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 def _run_rows(batches: Iterable[pa.RecordBatch], length: int, hot: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     """Runs of every document, equal ones of a batch combined to the first (not when sampling)."""
-    for batch in batches:
+    for batch in chunks(batches, BATCH):
         parts = []
         ids, ties = _column(batch, "_d"), _column(batch, "_t")
         for start in range(0, batch.num_rows, CHUNK):
@@ -137,7 +139,7 @@ def _run_rows(batches: Iterable[pa.RecordBatch], length: int, hot: np.ndarray |
 
 def _window_rows(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Hashes of the windows in runs that are flagged, equal ones of a batch combined to the first."""
-    for batch in batches:
+    for batch in chunks(batches, BATCH):
         runs = batch.column(batch.schema.get_field_index("_runs")).to_pylist()
         ids, ties = _column(batch, "_d"), _column(batch, "_t")
         texts = batch.column(batch.schema.get_field_index("text"))
@@ -185,7 +187,7 @@ def kept_words(words: list[str], runs: list[int] | None, firsts: list[int] | Non
 
 
 def _cleaned_rows(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in chunks(batches):
         runs = batch.column(batch.schema.get_field_index("_runs")).to_pylist()
         firsts = batch.column(batch.schema.get_field_index("_firsts")).to_pylist()
         before, after, texts = [], [], []

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galley.llm.words import WORD, field_types, remainder, texts_of, with_columns
+from galley.llm.words import WORD, chunks, field_types, remainder, texts_of, with_columns
 from galley.session import stage
 
 #: Labelled rows a model is fitted on, those with the smallest hashes of their ids; the rest only get scores.
@@ -26,7 +26,7 @@ EDIT_LENGTH = 5
 #: Words on either side of a hit that tell quotation from abuse.
 CONTEXT = 8
 #: Words whose hits a worker remembers before it starts over.
-MEMORY = 400_000
+MEMORY = 100_000
 EDGES = ".,;:!?\"'()[]{}<>*$%&#|`~_-+=/\\«»“”„‘’…"
 OPENING, CLOSING = "\"'«“„‘(", "\"'»”’)"
 REPORTING = frozenset(
@@ -213,7 +213,7 @@ def _sketch(words: list[str]) -> int:
 
 
 def _word_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in chunks(batches):
         words = [WORD.findall(text) for text in texts_of(batch.column(0))]
         sets = [sorted({w for w in map(clean_word, found) if len(w) > 2}) for found in words]
         yield pa.RecordBatch.from_arrays(
@@ -261,7 +261,7 @@ def fit_toxicity(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurizer = Featurizer(lexicon)
-        for batch in batches:
+        for batch in chunks(batches):
             rows = [featurizer.features(text) for text in texts_of(batch.column(0))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["features", "toxic"]
@@ -286,7 +286,7 @@ def with_toxicity(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         featurizer = Featurizer(model.lexicon)
-        for batch in batches:
+        for batch in chunks(batches):
             texts = texts_of(batch.column(batch.schema.get_field_index("text")))
             features = np.array([featurizer.features(text) for text in texts]).reshape(len(texts), len(FEATURES))
             yield with_columns(batch, {"score": pa.array(model.scores(features), pa.float64())})

@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galley.llm.words import chunks
 from galley.operators.skew import balanced_lookup
 from galley.session import new_path, stage
 
@@ -129,7 +130,7 @@ def write_archives(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = None
-        for batch in batches:
+        for batch in chunks(batches, 256):
             for row in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 archive = archive or Archive(folder, date)
                 archive.write(page_record(*row, date))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_BYTES = re.compile(rb"[^\x20\x09-\x0D]+")
 WORD_SPACE = " \t\n\x0b\x0c\r"
+#: Rows that become Python texts at once.
+CHUNK_ROWS = 1_000
 
 
 def words_column(text: Column) -> Column:
@@ -38,11 +40,12 @@ def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.Reco
     return pa.RecordBatch.from_arrays([*arrays, *columns.values()], names=[*names, *columns])
 
 
-def chunks(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``."""
+def chunks(batches: Iterable[pa.RecordBatch], rows: int = CHUNK_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that a worker holds few texts at a time."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def field_types(frame: DataFrame, replaced: Iterable[str] = ()) -> str:
