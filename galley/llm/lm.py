@@ -117,9 +117,10 @@ def gather_counts(vocabulary: DataFrame, held_words: int = HELD_WORDS) -> tuple[
         if held <= held_words:
             limit = row.least
     limit = limit if limit is not None else 1 << 62
-    frequent = vocabulary.filter(F.col("n") >= limit).select("hash", "class", "n").toPandas()
-    frequent = frequent.sort_values(["n", "hash"], ascending=[False, True], kind="stable")
-    hashes, counts = frequent["hash"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64)
+    frequent = vocabulary.filter(F.col("n") >= limit).select("hash", "n").toArrow()
+    hashes, counts = (frequent.column(name).to_numpy().astype(np.int64) for name in ("hash", "n"))
+    by = np.lexsort((hashes, -counts))
+    hashes, counts = hashes[by], counts[by]
     own_hashes = [h for h in hashes.tolist() if h != word_hash(END)][:OWN_WORDS]
     own = {word_hash(END): 0} | {h: 1 + k for k, h in enumerate(own_hashes)}
     outcomes = np.array([own.get(h, -1) for h in hashes.tolist()], dtype=np.int64)
@@ -156,30 +157,43 @@ class MaxEnt:
             np.log(groups / groups.sum()).astype(np.float32), np.log(table / groups[:, None]).astype(np.float32)
         )
 
-    def probabilities(self, features: np.ndarray, groups: np.ndarray):
+    def _logits(self, features: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of all groups, and of the members of the given groups; the largest of each row is 0."""
+        first, second = self.group[features[:, 0]], self.member[features[:, 0] * GROUPS + groups]
+        for k in range(1, FEATURES):
+            first += self.group[features[:, k]]
+            second += self.member[features[:, k] * GROUPS + groups]
+        first += self.group_bias
+        second += self.member_bias[groups]
+        first -= first.max(axis=1, keepdims=True)
+        second -= second.max(axis=1, keepdims=True)
+        return first, second
+
+    def probabilities(self, features: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Group probabilities, and member probabilities within the given groups."""
-        first = self.group_bias + self.group[features].sum(axis=1)
-        second = self.member_bias[groups] + self.member[features * GROUPS + groups[:, None]].sum(axis=1)
-        for logits in (first, second):
-            logits -= logits.max(axis=1, keepdims=True)
+        both = self._logits(features, groups)
+        for logits in both:
             np.exp(logits, out=logits)
             logits /= logits.sum(axis=1, keepdims=True)
-        return first, second
+        return both
 
     def log10(self, outcomes: np.ndarray, features: np.ndarray) -> np.ndarray:
         groups, members = outcomes % GROUPS, outcomes // GROUPS
-        first, second = self.probabilities(features, groups)
+        first, second = self._logits(features, groups)
         row = np.arange(len(outcomes))
-        return np.log10(first[row, groups].astype(np.float64)) + np.log10(second[row, members].astype(np.float64))
+        chosen = first[row, groups].astype(np.float64) + second[row, members]
+        sums = np.exp(first, out=first).sum(axis=1, dtype=np.float64) * np.exp(second, out=second).sum(axis=1, dtype=np.float64)
+        return chosen / np.log(10) - np.log10(sums)
 
 
-def context_features(outcomes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def context_features(outcomes: np.ndarray, starts: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
     """Buckets of the word before, the one before that, both, and the last with the third (a skip).
 
     ``starts`` are the places where texts begin; words before a text are one special outcome.
+    ``place`` chooses positions, else all are taken.
     """
-    place = np.arange(len(outcomes))
-    begin = np.repeat(starts, np.diff(np.append(starts, len(outcomes))))
+    place = np.arange(len(outcomes)) if place is None else place
+    begin = starts[np.searchsorted(starts, place, side="right") - 1]
     before = []
     for back in (1, 2, 3):
         known = place - back >= begin
@@ -193,19 +207,21 @@ def context_features(outcomes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _add_rows(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, slopes: np.ndarray) -> None:
-    """An adaptive step on the given rows; slopes of one row are added first."""
+    """A step on the given rows, adapted to what each row has seen; slopes of one row are added first."""
     by = np.argsort(rows, kind="stable")
     rows = rows[by]
     begin = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
     total = np.add.reduceat(slopes[by], begin, axis=0)
     at = rows[begin]
-    squares[at] += total * total
-    weights[at] -= RATE * total / np.sqrt(squares[at] + 1e-6)
+    seen = squares[at] + np.einsum("ij,ij->i", total, total)
+    squares[at] = seen
+    total *= (RATE / np.sqrt(seen))[:, None]
+    weights[at] -= total
 
 
 def train(model: MaxEnt, batches: Iterable[tuple[np.ndarray, np.ndarray]]) -> int:
     """Gradient updates of the model in place; returns the number of positions."""
-    group_squares, member_squares = np.ones_like(model.group), np.ones_like(model.member)
+    group_squares, member_squares = (np.ones(len(w), np.float32) for w in (model.group, model.member))
     seen = 0
     for outcomes, features in batches:
         for at in range(0, len(outcomes), MINIBATCH):
@@ -295,7 +311,7 @@ def fit_maxent(prepared: DataFrame, counts: Counts) -> MaxEnt:
                     outcomes, begin = _texts(batch.column(1))
                     first = int(batch.column(0)[0].as_py()) + turn * (STRIDE // ROUNDS)
                     chosen = np.arange(first % STRIDE, len(outcomes), STRIDE)
-                    yield outcomes[chosen], context_features(outcomes, begin)[chosen]
+                    yield outcomes[chosen], context_features(outcomes, begin, chosen)
 
             seen = train(own, positions())
             for piece in range(PIECES):
