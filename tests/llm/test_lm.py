@@ -64,3 +64,18 @@ def test_contexts_end_at_texts():
     outcomes = np.array([1, 2, 3, 1, 2, 3])
     features = context_features(outcomes, np.array([0, 3]))
     assert np.array_equal(features[:3], features[3:])
+
+
+def test_every_training_position_gives_an_update(spark, monkeypatch):
+    texts = [(k, " ".join(f"w{k}" for _ in range(k % 5))) for k in range(40)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    seen, group_by = [], type(frame).groupBy
+
+    def tap(self, *columns):
+        if [c for c in columns if isinstance(c, str)] == ["piece"]:
+            seen.append(self.filter("piece = 0").selectExpr("sum(seen)").first()[0])
+        return group_by(self, *columns)
+
+    monkeypatch.setattr(type(frame), "groupBy", tap)
+    score_documents(frame).collect()
+    assert sum(seen) == sum(len(tokens(text)) for k, text in texts if not is_held(k))
