@@ -173,8 +173,9 @@ def pack(
 
     One row per piece. A task packs what it reads in groups of about ``group_tokens`` tokens, so
     nothing is shuffled, memory is bounded by a group (or one document), and at most the last
-    sequence of a group is not full: below ``capacity`` / ``group_tokens`` of padding. A lost task
-    runs again on the same rows and gives the same pieces.
+    sequence of a group is not full. Padding is below ``capacity`` ids for each group, and every
+    partition with rows ends with a group of its own however small: many small partitions cost up
+    to ``capacity`` - 1 ids each. A lost task runs again on the same rows and gives the same pieces.
 
     Null or empty text: the end token alone. Null and repeated ids: every row is a document of its
     own. Ties of length keep the order of the rows. Very long texts become full sequences and a
