@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galley.llm.bpe import round_trip
 from galley.llm.decontamination import contaminations
 from galley.llm.lm import score_documents
 from galley.llm.packing import pack
+from galley.llm.prefix_trie import conversation_trie
 from galley.llm.quality import QUALITY_SQL, quality
 from galley.llm.simhash import simhash_groups
+from galley.llm.spelling import spelling_variants
 from galley.llm.substring import kept_digest, remove_repeats
 from galley.llm.token_counts import token_counts
 from galley.llm.toxicity import toxicity
@@ -17,6 +20,7 @@ from galley.llm.url_filters import judge_urls
 from galley.llm.warc import read_archives, write_archives
 
 BYTE_BPE = "byte_bpe_50k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 PIECE_BPE = "piece_bpe_32k.model"
 TOXIC_FROM = 0.3
 #: (host, path, verdict)
@@ -83,6 +87,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(documents, benchmark, seed=5, threshold=0.6)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"), one_in=97, least_letters=5, least_n=3, ratio=2)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), vocabulary(BYTE_RANKS))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"), group=20, heads=4)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -100,6 +116,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_decontamination": op10_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
     "pipeline": pipeline,
 }
 

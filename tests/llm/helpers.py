@@ -24,3 +24,13 @@ def odd_documents(spark, extra=()):
 
 def no_documents(spark):
     return spark.createDataFrame([], DOCUMENTS)
+
+
+def hard_documents(spark, words=100_000):
+    """Texts that are one run of something: blanks, letters, one word."""
+    texts = [
+        (1, " " * 5_000_000), (2, "\n " * 1_000_000), (3, "x" * 1_000_000), (4, "the " * words),
+        (5, "\t" * 1_000_000 + "a"), (6, "ab" * 300_000), (7, "a small text at the end"),
+    ]
+    rows = [(i, t, 1.0, "x", None, 3, "k") for i, t in texts]
+    return spark.createDataFrame(rows, DOCUMENTS), texts
