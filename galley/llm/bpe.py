@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import re
+from bisect import insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -14,10 +16,12 @@ from pyspark.sql import functions as F
 from galley.llm.packing import PATTERN
 from galley.llm.words import chunks, texts_of
 
+#: The pattern for texts of ASCII characters only, where the classes of letters, digits and blanks are short.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Pre-tokens a worker remembers, and the bytes of the longest it remembers.
-MEMORY, REMEMBERED_BYTES = 500_000, 64
+MEMORY, REMEMBERED_BYTES = 300_000, 64
 #: Transducer states, and pairs of tokens, a worker keeps before it starts over.
-STATES, BESIDE = 250_000, 500_000
+STATES, BESIDE = 200_000, 200_000
 #: Ids that are decoded at once.
 DECODE_IDS = 1 << 20
 
@@ -96,21 +100,6 @@ class Merges:
         return stays
 
 
-class State:
-    """What the transducer knows after some bytes: the bytes it still holds and the cuts that may matter in them.
-
-    ``cuts`` has a row for the settled place 0 and for every later cut in use, in order: the place,
-    the token that ends there, and the place where that token starts.
-    """
-
-    __slots__ = ("held", "cuts", "arcs", "final")
-
-    def __init__(self, held: bytes, cuts: list[tuple[int, bytes, int]]):
-        self.held, self.cuts = held, cuts
-        self.arcs: dict[int, tuple[State, bytes]] = {}
-        self.final: bytes | None = None
-
-
 class Transducer:
     """The merges of a vocabulary as a finite-state transducer from bytes to token ids.
 
@@ -120,82 +109,108 @@ class Transducer:
     live while some token could still run from it over the bytes held. What all live cuts have in
     common on their way back is settled and is emitted; the lookahead is what is left, bounded by the
     vocabulary. The state is the bytes after the settled place, and the token before it as long as
-    that place is live; they decide all that follows. States and arcs are made when first needed.
+    that place is live; they decide all that follows.
+
+    States are numbered and made when a text first needs them. For each there are the bytes held and
+    the cuts in use, in order: the place, the token that ends there, the place where that token starts.
+    Arcs are numbered 256 times the state plus the byte.
     """
 
+    _BEGINS, _IS_TOKEN = 1, 2
+
     def __init__(self, ranks: dict[bytes, int]):
         self._merges = Merges(ranks)
         self._number = {token: rank.to_bytes(4, "little") for token, rank in ranks.items()}
-        self._begun = {token[:k] for token in ranks for k in range(1, len(token))}
+        self._kind = {token[:k]: self._BEGINS for token in ranks for k in range(1, len(token))}
+        for token in ranks:
+            self._kind[token] = self._kind.get(token, 0) | self._IS_TOKEN
         self._clear()
 
     def _clear(self) -> None:
-        self._states: dict[tuple[bytes, bytes], State] = {}
-        self._start = self._state(b"", [(0, b"", -1)])
-
-    def _state(self, held: bytes, cuts: list[tuple[int, bytes, int]]) -> State:
-        key = (cuts[0][1] if not held or held in self._begun else b""), held
-        found = self._states.get(key)
-        if found is None:
-            found = self._states[key] = State(held, cuts)
-        return found
-
-    def _numbers(self, cuts: dict[int, tuple[int, bytes, int]], place: int) -> bytes:
+        self._states: dict[tuple[bytes, bytes] | bytes, int] = {}
+        self._held: list[bytes] = []
+        self._cuts: list[tuple] = []
+        self._next: dict[int, int] = {}
+        self._out: dict[int, bytes] = {}
+        self._final: dict[int, bytes] = {}
+        self._state(b"", (0, b"", -1))
+
+    def _state(self, held: bytes, cuts: tuple) -> int:
+        is_live = not held or self._kind.get(held, 0) & self._BEGINS
+        key = (cuts[1], held) if is_live and cuts[1] else held
+        number = self._states.get(key)
+        if number is None:
+            number = self._states[key] = len(self._held)
+            self._held.append(held)
+            self._cuts.append(cuts)
+        return number
+
+    def _ids(self, cuts: tuple, place: int) -> bytes:
         """Ids on the way from the settled place to ``place``."""
+        rows = {cuts[at]: at for at in range(0, len(cuts), 3)}
         out = []
         while place:
-            _, token, place = cuts[place]
-            out.append(self._number[token])
+            out.append(self._number[cuts[rows[place] + 1]])
+            place = cuts[rows[place] + 2]
         return b"".join(reversed(out))
 
-    def _final(self, state: State) -> bytes:
-        """The ids if the text ends here."""
-        if state.final is None:
-            state.final = self._numbers({cut[0]: cut for cut in state.cuts}, len(state.held))
-        return state.final
-
-    def _arc(self, state: State, byte: int) -> tuple[State, bytes]:
-        """Where a byte leads, and the ids it settles."""
-        held, merges = state.held + bytes((byte,)), self._merges
-        end = len(held)
-        for place, before, _ in state.cuts:
-            token = held[place:]
-            if merges.is_whole(token) and (not before or merges.beside(before, token)):
-                break
-        else:
+    def _arc(self, state: int, byte: int) -> int:
+        """Where a byte leads; what it settles is noted as output of the arc."""
+        held, cuts, merges = self._held[state] + bytes((byte,)), self._cuts[state], self._merges
+        kind, end, last = self._kind, len(held), None
+        front, rows = [], {}
+        for at in range(0, len(cuts), 3):
+            place, before = cuts[at], cuts[at + 1]
+            rows[place] = at
+            tail = held[place:]
+            what = kind.get(tail, 0)
+            if what & 1:
+                front.append(place)
+            if what & 2 and last is None and merges.is_whole(tail) and (not before or merges.beside(before, tail)):
+                last = (end, tail, place)
+        if last is None:
             raise ValueError("the vocabulary lacks a byte")
-        cuts = {cut[0]: cut for cut in state.cuts}
-        cuts[end] = (end, token, place)
-        front = {place for place in cuts if held[place:] in self._begun}
-        front.add(end)
+        rows[end] = len(cuts)
+        cuts += last
+        front.append(end)
         used = []
         while len(front) > 1:
-            latest = max(front)
-            front.remove(latest)
-            used.append(cuts[latest])
-            front.add(cuts[latest][2])
-        settled = front.pop()
-        out = self._numbers(cuts, settled)
-        rest = [(0, cuts[settled][1], -1), *[(p - settled, token, at - settled) for p, token, at in reversed(used)]]
-        arc = state.arcs[byte] = self._state(held[settled:], rest), out
-        return arc
+            latest = front.pop()
+            used.append(latest)
+            before = cuts[rows[latest] + 2]
+            if before not in front:
+                insort(front, before)
+        settled = front[0]
+        at = rows[settled]
+        rest = [0, cuts[at + 1], -1]
+        for place in reversed(used):
+            at = rows[place]
+            rest += (place - settled, cuts[at + 1], cuts[at + 2] - settled)
+        found = self._next[state << 8 | byte] = self._state(held[settled:], tuple(rest))
+        if settled:
+            self._out[state << 8 | byte] = self._ids(cuts, settled)
+        return found
 
     def ids(self, data: bytes) -> bytes:
         """Ids of the bytes as little-endian 32-bit numbers, read from left to right once."""
-        if len(self._states) > STATES:
+        if len(self._held) > STATES:
             self._clear()
-        state, out = self._start, []
+        state, arcs, settled, out = 0, self._next, self._out, []
         for byte in data:
-            arc = state.arcs.get(byte)
-            if arc is None:
-                arc = self._arc(state, byte)
-                if len(self._states) > 2 * STATES:  # one text alone makes this many: go on from here with none
+            arc = state << 8 | byte
+            state = arcs.get(arc, -1)
+            if state < 0:
+                state = self._arc(arc >> 8, byte)
+            if arc in settled:
+                out.append(settled[arc])
+                if len(self._held) > 2 * STATES:  # one text alone makes this many: go on from here with none
+                    held, cuts = self._held[state], self._cuts[state]
                     self._clear()
-                    arc = self._state(arc[0].held, arc[0].cuts), arc[1]
-            state = arc[0]
-            if arc[1]:
-                out.append(arc[1])
-        out.append(self._final(state))
+                    state, arcs, settled = self._state(held, cuts), self._next, self._out
+        final = self._final.get(state)
+        if final is None:
+            final = self._final[state] = self._ids(self._cuts[state], len(self._held[state]))
+        out.append(final)
         return b"".join(out)
 
 
@@ -210,6 +225,7 @@ class Encoder:
 
         ranks = read_ranks(path)
         self._find = regex.compile(pattern).findall
+        self._find_ascii = re.compile(ASCII_PATTERN, re.ASCII).findall if pattern == PATTERN else self._find
         self._transducer = Transducer(ranks)
         self._tokens = {}
         for token, rank in ranks.items():
@@ -222,7 +238,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         known, long = self._known, []
-        pieces = self._find(text)
+        pieces = (self._find_ascii if text.isascii() else self._find)(text)
         for piece in set(pieces).difference(known):
             data = piece.encode()
             known[piece] = self._transducer.ids(data)

@@ -63,7 +63,7 @@ def test_every_character_is_cut_as_the_library_cuts_it(library):
 def test_random_texts(library):
     encoder, draw = Encoder(vocabulary(BYTE_RANKS)), random.Random(7)
     decoder = Decoder(vocabulary(BYTE_RANKS))
-    alphabets = ["ab", "etaoin shrdlu", "aeiou'stlm d", "éàüß漢字🙂", "0123456789 ", " \n\t \x1c", "#$%=-_*", "etaoinshrdluETAOIN"]
+    alphabets = ["".join(map(chr, range(128))), "ab", "etaoin shrdlu", "aeiou'stlm d", "éàüß漢字🙂", "0123456789 ", " \n\t \x1c", "#$%=-_*", "etaoinshrdluETAOIN"]
     for _ in range(4_000):
         text = "".join(draw.choices(draw.choice(alphabets), k=draw.randint(0, 60)))
         ids = encoder.encode(text)
