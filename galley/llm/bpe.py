@@ -18,10 +18,10 @@ from galley.llm.words import chunks, texts_of
 
 #: The pattern for texts of ASCII characters only, where the classes of letters, digits and blanks are short.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
-#: Pre-tokens a worker remembers, and the bytes of the longest it remembers.
+#: Pre-tokens a worker remembers, twice, and the bytes of the longest it remembers.
 MEMORY, REMEMBERED_BYTES = 300_000, 64
 #: Transducer states, and pairs of tokens, a worker keeps before it starts over.
-STATES, BESIDE = 200_000, 200_000
+STATES, BESIDE = 250_000, 200_000
 #: Ids that are decoded at once.
 DECODE_IDS = 1 << 20
 
@@ -132,7 +132,6 @@ class Transducer:
         self._cuts: list[tuple] = []
         self._next: dict[int, int] = {}
         self._out: dict[int, bytes] = {}
-        self._final: dict[int, bytes] = {}
         self._state(b"", (0, b"", -1))
 
     def _state(self, held: bytes, cuts: tuple) -> int:
@@ -155,7 +154,7 @@ class Transducer:
         return b"".join(reversed(out))
 
     def _arc(self, state: int, byte: int) -> int:
-        """Where a byte leads; what it settles is noted as output of the arc."""
+        """Twice the state a byte leads to, and 1 more if it settles something: the output of the arc."""
         held, cuts, merges = self._held[state] + bytes((byte,)), self._cuts[state], self._merges
         kind, end, last = self._kind, len(held), None
         front, rows = [], {}
@@ -186,31 +185,31 @@ class Transducer:
         for place in reversed(used):
             at = rows[place]
             rest += (place - settled, cuts[at + 1], cuts[at + 2] - settled)
-        found = self._next[state << 8 | byte] = self._state(held[settled:], tuple(rest))
+        arc = self._state(held[settled:], tuple(rest)) << 1
         if settled:
             self._out[state << 8 | byte] = self._ids(cuts, settled)
-        return found
+            arc |= 1
+        self._next[state << 8 | byte] = arc
+        return arc
 
     def ids(self, data: bytes) -> bytes:
         """Ids of the bytes as little-endian 32-bit numbers, read from left to right once."""
         if len(self._held) > STATES:
             self._clear()
-        state, arcs, settled, out = 0, self._next, self._out, []
+        state, follow, out = 0, self._next.get, []
         for byte in data:
-            arc = state << 8 | byte
-            state = arcs.get(arc, -1)
-            if state < 0:
-                state = self._arc(arc >> 8, byte)
-            if arc in settled:
-                out.append(settled[arc])
+            number = state << 8 | byte
+            arc = follow(number)
+            if arc is None:
+                arc = self._arc(state, byte)
+            state = arc >> 1
+            if arc & 1:
+                out.append(self._out[number])
                 if len(self._held) > 2 * STATES:  # one text alone makes this many: go on from here with none
                     held, cuts = self._held[state], self._cuts[state]
                     self._clear()
-                    state, arcs, settled = self._state(held, cuts), self._next, self._out
-        final = self._final.get(state)
-        if final is None:
-            final = self._final[state] = self._ids(self._cuts[state], len(self._held[state]))
-        out.append(final)
+                    state, follow = self._state(held, cuts), self._next.get
+        out.append(self._ids(self._cuts[state], len(self._held[state])))
         return b"".join(out)
 
 
@@ -233,23 +232,29 @@ class Encoder:
                 self._tokens[token.decode()] = rank.to_bytes(4, "little")
             except UnicodeDecodeError:
                 continue  # no match is half a character
-        self._known = dict(self._tokens)
+        self._known, self._before = dict(self._tokens), {}  # those of the time before stay until the next change
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
-        known, long = self._known, []
         pieces = (self._find_ascii if text.isascii() else self._find)(text)
-        for piece in set(pieces).difference(known):
+        ids = list(map(self._known.get, pieces))
+        if None in ids:
+            for at in [k for k, found in enumerate(ids) if found is None]:
+                ids[at] = self._of(pieces[at])
+        return b"".join(ids)
+
+    def _of(self, piece: str) -> bytes:
+        """Ids of a piece that is not among the last ones remembered."""
+        found = self._known.get(piece) or self._before.get(piece)
+        if found is None:
             data = piece.encode()
-            known[piece] = self._transducer.ids(data)
+            found = self._transducer.ids(data)
             if len(data) > REMEMBERED_BYTES:
-                long.append(piece)
-        ids = b"".join(map(known.__getitem__, pieces))
-        for piece in long:
-            del known[piece]
-        if len(known) > MEMORY + len(self._tokens):
-            self._known = dict(self._tokens)
-        return ids
+                return found
+        self._known[piece] = found
+        if len(self._known) > MEMORY:
+            self._known, self._before = dict(self._tokens), self._known
+        return found
 
 
 def _utf8_steps() -> np.ndarray:
@@ -284,7 +289,7 @@ class Utf8Machine:
         self.complete = np.zeros((len(tokens), 8), dtype=np.int64)
 
     def learn(self, numbers: np.ndarray) -> None:
-        for number in numbers[self.after[numbers, 0] == self.UNKNOWN].tolist():
+        for number in numbers.tolist():
             for begin in range(8):
                 state, whole = begin, 0
                 for at, byte in enumerate(self._tokens[number]):
@@ -310,8 +315,10 @@ class StreamDecoder:
     def feed(self, ids: np.ndarray) -> bytes:
         if not len(ids):
             return b""
-        self._machine.learn(np.unique(ids))
         after, complete = self._machine.after, self._machine.complete
+        new = ids[after[ids, 0] == Utf8Machine.UNKNOWN]
+        if len(new):
+            self._machine.learn(np.unique(new))
         parts = list(map(self._tokens.__getitem__, ids.tolist()))
         state, cut = self._state, -1 if self._state else len(ids)
         # tokens of whole characters keep the machine between characters; only the others are stepped through
