@@ -19,9 +19,9 @@ from galley.llm.words import chunks, texts_of
 #: The pattern for texts of ASCII characters only, where the classes of letters, digits and blanks are short.
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: Pre-tokens a worker remembers, twice, and the bytes of the longest it remembers.
-MEMORY, REMEMBERED_BYTES = 300_000, 64
-#: Transducer states, and pairs of tokens, a worker keeps before it starts over.
-STATES, BESIDE = 250_000, 200_000
+MEMORY, REMEMBERED_BYTES = 250_000, 64
+#: Transducer states and pairs of tokens a worker keeps.
+STATES, BESIDE = 200_000, 200_000
 #: Ids that are decoded at once.
 DECODE_IDS = 1 << 20
 
@@ -124,9 +124,6 @@ class Transducer:
         self._kind = {token[:k]: self._BEGINS for token in ranks for k in range(1, len(token))}
         for token in ranks:
             self._kind[token] = self._kind.get(token, 0) | self._IS_TOKEN
-        self._clear()
-
-    def _clear(self) -> None:
         self._states: dict[tuple[bytes, bytes] | bytes, int] = {}
         self._held: list[bytes] = []
         self._cuts: list[tuple] = []
@@ -134,6 +131,14 @@ class Transducer:
         self._out: dict[int, bytes] = {}
         self._state(b"", (0, b"", -1))
 
+    def _forget(self) -> None:
+        """Drop the younger states; common texts come early, so the older half is what most texts need."""
+        kept = STATES // 2
+        self._states = {key: number for key, number in self._states.items() if number < kept}
+        self._next = {arc: to for arc, to in self._next.items() if arc >> 8 < kept and to >> 1 < kept}
+        self._out = {arc: out for arc, out in self._out.items() if arc in self._next}
+        del self._held[kept:], self._cuts[kept:]
+
     def _state(self, held: bytes, cuts: tuple) -> int:
         is_live = not held or self._kind.get(held, 0) & self._BEGINS
         key = (cuts[1], held) if is_live and cuts[1] else held
@@ -195,7 +200,7 @@ class Transducer:
     def ids(self, data: bytes) -> bytes:
         """Ids of the bytes as little-endian 32-bit numbers, read from left to right once."""
         if len(self._held) > STATES:
-            self._clear()
+            self._forget()
         state, follow, out = 0, self._next.get, []
         for byte in data:
             number = state << 8 | byte
@@ -205,9 +210,9 @@ class Transducer:
             state = arc >> 1
             if arc & 1:
                 out.append(self._out[number])
-                if len(self._held) > 2 * STATES:  # one text alone makes this many: go on from here with none
+                if len(self._held) > 2 * STATES:  # one text alone makes this many
                     held, cuts = self._held[state], self._cuts[state]
-                    self._clear()
+                    self._forget()
                     state, follow = self._state(held, cuts), self._next.get
         out.append(self._ids(self._cuts[state], len(self._held[state])))
         return b"".join(out)
