@@ -17,8 +17,6 @@ from galley.llm.words import chunks, texts_of
 from galley.operators.skew import balanced_lookup
 from galley.session import stage
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-LOWER = {code: code + 32 for code in range(65, 91)}
 #: a to z, then U+00C0 to U+00FF: the letters a word can have.
 LETTERS = 26 + 64
 #: Letters are dealt to so many sets in turn; words in one block agree in the counts of most sets.
@@ -26,7 +24,7 @@ SETS = 5
 #: Words and bytes a task counts before it passes the counts on.
 HELD_WORDS, HELD_BYTES = 200_000, 32_000_000
 #: Rows of one product, and the bytes of letters in them.
-TILE, TILE_BYTES = 512, 16_000_000
+TILE, TILE_BYTES = 128, 16_000_000
 #: Words of a block that stay in one task; larger blocks are cut into pairs of parts.
 BLOCK_WORDS = 8_192
 #: Large blocks whose list is broadcast, at some twenty bytes each.
@@ -57,6 +55,7 @@ def word_counts(documents: DataFrame, one_in: int = 97, least_letters: int = 5)
         )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(f"[a-zÀ-ÿ]{{{least_letters},}}").findall  # runs that are shorter stay so
         counts: Counter = Counter()
         held = 0
         for batch in chunks(batches, 256):
@@ -64,11 +63,10 @@ def word_counts(documents: DataFrame, one_in: int = 97, least_letters: int = 5)
             for doc_id, text in zip(ids, texts_of(batch.column(1)), strict=True):
                 prefix = zlib.crc32(f"{doc_id or ''}:".encode())
                 before = len(counts)
-                for found, n in Counter(RUN.findall(text.translate(LOWER))).items():
-                    if len(found) < least_letters:
-                        continue
+                lower = text.encode().lower().decode()  # as bytes: A to Z only
+                for found, n in Counter(find(lower)).items():
                     checksum = zlib.crc32(found.encode(), prefix)
-                    word = damaged(found, checksum, one_in)
+                    word = found if checksum % one_in else damaged(found, checksum, one_in)
                     if len(word) >= least_letters:
                         counts[word] += n
                         held += len(word)
@@ -91,14 +89,15 @@ class Letters:
         self.codes = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
 
     def counts(self, rows: np.ndarray) -> np.ndarray:
-        """Letter counts of some words as a matrix; exact as float64 up to 2^53."""
+        """Letter counts of some words as a matrix, in numbers whose products are exact."""
         lengths = self.lengths[rows]
         row = np.repeat(np.arange(len(rows)), lengths)
         at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(self.starts[rows], lengths)
         code = self.codes[at]
         letter = np.where(code < 0xC0, code - 97, code - 0xC0 + 26).astype(np.int64)
         found = np.bincount(row * LETTERS + letter, minlength=len(rows) * LETTERS)
-        return found.reshape(len(rows), LETTERS).astype(np.float64)
+        exact = np.float32 if lengths.max(initial=0) < 1_000 else np.float64
+        return found.reshape(len(rows), LETTERS).astype(exact)
 
     def _rows(self, words: np.ndarray, length: int, skip: int = 0) -> np.ndarray:
         return self.codes[self.starts[words][:, None] + np.arange(skip, skip + length)]
@@ -229,6 +228,8 @@ def _products(letters: Letters, group: np.ndarray, part: np.ndarray, kind: np.nd
     left at once, as are those another kind of block reports.
     """
     total, sets = len(group), _sets()
+    longer = np.array([int(adjacent) for adjacent, _ in KINDS])
+    reporter = _reporter(longer)
     ends = np.searchsorted(group, group, side="right")
     rows = max(1, min(TILE, TILE_BYTES // (8 * max(LETTERS, int(letters.lengths.max(initial=1))))))
     tiles = [np.arange(k, min(k + rows, total)) for k in range(0, total, rows)]
@@ -250,7 +251,8 @@ def _products(letters: Letters, group: np.ndarray, part: np.ndarray, kind: np.nd
             near = (distance <= 2) & (distance > 0) & (group[left][:, None] == group[right][None, :])
             if i == j:
                 near = np.triu(near, 1)
-            near &= ~mixed[left][:, None] | (part[left][:, None] != part[right][None, :])
+            if mixed[left].any():
+                near &= ~mixed[left][:, None] | (part[left][:, None] != part[right][None, :])
             x, y = np.nonzero(near)
             if not len(x):
                 continue
@@ -259,9 +261,8 @@ def _products(letters: Letters, group: np.ndarray, part: np.ndarray, kind: np.nd
             x, y = left[x], right[y]
             swap = letters.lengths[x] > letters.lengths[y]
             x, y = np.where(swap, y, x), np.where(swap, x, y)
-            keep = _reported(touched, kind[x]) & (
-                (letters.lengths[y] - letters.lengths[x]) == np.array([int(k[0]) for k in KINDS])[kind[x]]
-            )
+            step = longer[kind[x]]
+            keep = (reporter[step, touched @ (1 << np.arange(SETS))] == kind[x]) & (letters.lengths[y] - letters.lengths[x] == step)
             x, y = x[keep], y[keep]
             if len(x):
                 edit = letters.one_edit(x, y)
@@ -269,18 +270,16 @@ def _products(letters: Letters, group: np.ndarray, part: np.ndarray, kind: np.nd
         made.pop(i, None)
 
 
-def _reported(touched: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Whether this kind of block is the one that reports a pair: the first whose choice holds all sets that differ."""
-    mask = touched @ (1 << np.arange(SETS))
+def _reporter(longer: np.ndarray) -> np.ndarray:
+    """The kind of block that reports a pair, by difference of lengths and the sets that differ: the first whose choice
+    holds all of these; -1 for none."""
     first = np.full((2, 1 << SETS), -1)
-    for adjacent in (0, 1):
-        for number in reversed(range(len(KINDS))):
-            if KINDS[number][0] == bool(adjacent):
-                allowed = sum(1 << s for s in KINDS[number][1])
-                for differing in range(1 << SETS):
-                    if differing & ~allowed == 0:
-                        first[adjacent, differing] = number
-    return first[np.array([int(k[0]) for k in KINDS])[kind], mask] == kind
+    for number in reversed(range(len(KINDS))):
+        allowed = sum(1 << s for s in KINDS[number][1])
+        for differing in range(1 << SETS):
+            if not differing & ~allowed:
+                first[longer[number], differing] = number
+    return first
 
 
 def _near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
