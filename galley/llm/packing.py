@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 
 from galley.llm.words import texts_of
 
+#: White space of this length goes to the library whose pattern takes runs of any length.
+LONG_BLANK = 10_000
 #: Sequences of one task share the upper bits of their ids.
 TASK_BITS = 33
 PIECES = (
@@ -60,10 +62,12 @@ class Encoder:
 
     Its vocabulary also serves as merge ranks for ``tiktoken``, which gives the same ids about three
     times as fast. Texts that hold a special token's string or letters past the Armenian block, where
-    the two libraries may class characters differently, go to ``tokenizers`` itself.
+    the two libraries may class characters differently, go to ``tokenizers`` itself, and so do texts
+    with LONG_BLANK blanks in a row, on which the pattern of ``tiktoken`` runs out of stack.
     """
 
     _other_letters = re.compile("[^\x00-\u058f]")
+    _blanks = re.compile(r"\s++")
 
     def __init__(self, path: str):
         import tiktoken
@@ -81,10 +85,30 @@ class Encoder:
         self._fast = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _is_plain(self, text: str) -> bool:
-        return not self._other_letters.search(text) and not any(token in text for token in self._special)
+        return (
+            not self._other_letters.search(text)
+            and not any(token in text for token in self._special)
+            and not self._has_long_blank(text)
+        )
+
+    def _has_long_blank(self, text: str) -> bool:
+        # a run this long covers one of the places looked at first
+        places = range(0, len(text) if len(text) >= LONG_BLANK else 0, LONG_BLANK // 2)
+        return any(text[k].isspace() for k in places) and max(map(len, self._blanks.findall(text)), default=0) >= LONG_BLANK
+
+    def _quick(self, text: str) -> list[int] | None:
+        """Ids by ``tiktoken``; None where it is not to be used or gives up."""
+        if not self._is_plain(text):
+            return None
+        try:
+            return self._fast.encode_ordinary(text)
+        except BaseException as error:  # a panic of the library is no Exception
+            if type(error).__name__ != "PanicException":
+                raise
+            return None
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        ids = [self._fast.encode_ordinary(text) if self._is_plain(text) else None for text in texts]
+        ids = [self._quick(text) for text in texts]
         rest = [k for k, found in enumerate(ids) if found is None]
         encodings = self._tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)
         for k, encoding in zip(rest, encodings, strict=True):

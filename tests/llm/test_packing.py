@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from galley.llm.packing import AttentionCost, Encoder, assign, pack
 from galley.llm.registry import BYTE_BPE, op1_packing, vocabulary
-from tests.llm.helpers import no_documents, odd_documents
+from tests.llm.helpers import hard_documents, no_documents, odd_documents
 
 
 def tokenizer():
@@ -63,6 +63,16 @@ def test_odd_rows(spark):
     assert pack(no_documents(spark), vocabulary(BYTE_BPE), end_id=1).count() == 0
 
 
+def test_long_runs(spark):
+    frame, texts = hard_documents(spark)
+    ids = tokenizer()
+    rows = pack(frame, vocabulary(BYTE_BPE), end_id=1).select("doc_id", "length", "doc_tokens").collect()
+    counts = defaultdict(int)
+    for row in rows:
+        counts[row.doc_id] += row.length
+    assert counts == {d: len(ids.encode(t, add_special_tokens=False).ids) + 1 for d, t in texts}
+
+
 def test_encoder_equals_the_library():
     texts = ["a <|endoftext|> b", "it's  we'll\n\n x", "漢字 with latin", "tab\t\ttab ", "", " ", "\x1c\x1d a", "İ ſ é\u0301 ½ ²"]
     library = tokenizer()

@@ -4,7 +4,7 @@ import sentencepiece
 
 from galley.llm.registry import PIECE_BPE, op3_token_counts, vocabulary
 from galley.llm.token_counts import Counter, token_counts, whole_tokens
-from tests.llm.helpers import no_documents, odd_documents
+from tests.llm.helpers import hard_documents, no_documents, odd_documents
 
 
 def library():
@@ -44,3 +44,10 @@ def test_whole_tokens_are_proved():
     whole = whole_tokens(model)
     assert len(whole) > 10_000
     assert all(len(model.encode(word)) == 1 for word in list(whole)[:2_000])
+
+
+def test_long_runs(spark):
+    frame, texts = hard_documents(spark, words=50_000)
+    model = library()
+    found = {r.doc_id: r.n_tokens for r in token_counts(frame, vocabulary(PIECE_BPE)).collect()}
+    assert found == {d: len(model.encode(t)) for d, t in texts}
