@@ -30,18 +30,18 @@ def path_of(url: Column) -> Column:
     return F.coalesce(rest, F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and every parent domain; an empty host has none."""
-    labels = F.split(host, r"\.")
+def host_suffixes(host: Column, most_labels: Column) -> Column:
+    """The host and its parent domains of at most ``most_labels`` labels; an empty host has none."""
+    labels = F.split(F.call_function("substring_index", host, F.lit("."), -most_labels), r"\.")
     every = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
     return F.when(host == "", F.array().cast("array<string>")).otherwise(every)
 
 
-def folders(path: Column) -> Column:
-    """The empty prefix and every prefix of the path that ends in a slash."""
-    cut = F.split(path, "/")
+def folders(path: Column, most_slashes: Column) -> Column:
+    """The empty prefix and the prefixes of the path that end in one of its first ``most_slashes`` slashes."""
+    cut = F.split(F.call_function("substring_index", path, F.lit("/"), most_slashes + 1), "/")
     every = F.transform(
         F.sequence(F.lit(1), F.size(cut) - 1), lambda i: F.concat(F.array_join(F.slice(cut, F.lit(1), i), "/"), F.lit("/"))
     )
@@ -63,6 +63,14 @@ def digest(host: Column, path: Column) -> Column:
     return F.sha2(F.concat_ws("\u0000", host, path), 256)
 
 
+def rule_depth(table: DataFrame) -> tuple[Column, Column]:
+    """The most labels a rule's host has, and the most slashes a rule's path has: 1 and 0 without rules."""
+    labels = F.max(F.size(F.split("host", r"\.")))
+    slashes = F.max(F.size(F.split("path", "/")) - 1)
+    most = table.dropna().agg(F.coalesce(labels, F.lit(1)).alias("labels"), F.coalesce(slashes, F.lit(0)).alias("slashes"))
+    return most.select("labels").scalar(), most.select("slashes").scalar()
+
+
 def rule_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Rules as (host, path, verdict) from a list of at most MAX_LISTED."""
     if len(rules) > MAX_LISTED:
@@ -78,6 +86,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str
     verdict is ``allow``. A URL becomes expressions (host suffix, folder prefix), a rule one of them;
     they meet on 32-bit hashes, and the SHA-256 of host and path as long as the rule's confirms.
 
+    No expression is longer than the deepest rule, so a long URL has no more of them than a short one.
     Rules given as a list are few and broadcast. A rule frame of any size is joined by shuffle, with
     expressions that hold many rows salted. One row per input row: null or odd URLs have empty host
     and path, repeated rows stay, other columns are not read. Rules with null parts are left out.
@@ -97,11 +106,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str
     rows = pages.select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     ).withColumn("_row", F.monotonically_increasing_id())
+    labels, slashes = rule_depth(table.select("host", "path", "verdict"))
+    rows = rows.withColumns({"_labels": labels, "_slashes": slashes})
     expressions = F.flatten(
         F.transform(
-            host_suffixes(F.col("host")),
+            host_suffixes(F.col("host"), F.col("_labels")),
             lambda suffix: F.transform(
-                folders(F.col("path")), lambda folder: F.struct(suffix.alias("suffix"), short_hash(suffix, folder).alias("hash"))
+                folders(F.col("path"), F.col("_slashes")), lambda folder: F.struct(suffix.alias("suffix"), short_hash(suffix, folder).alias("hash"))
             ),
         )
     )

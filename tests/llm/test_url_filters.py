@@ -55,6 +55,13 @@ def test_rule_frame_of_any_size(spark):
     assert [tuple(r) for r in none] == [(None, "allow")]
 
 
+def test_long_urls(spark):
+    urls = ["http://a.example.com/en" + "/x" * 500_000, "http://" + "a." * 500_000 + "net/fr/" + "y" * 1_000_000, "http://net/" + "/" * 1_000_000]
+    frame = spark.createDataFrame([(k, u, "", "", "", "") for k, u in enumerate(urls)], PAGES)
+    rows = {r.page_id: tuple(r) for r in judge_urls(frame, URL_RULES).collect()}
+    assert [rows[k] for k in range(3)] == [(k, *brute(u, URL_RULES)) for k, u in enumerate(urls)]
+
+
 def test_no_python_in_the_plan(spark):
     plan = judge_urls(odd_pages(spark)[0], URL_RULES)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
