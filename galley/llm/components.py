@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galley.operators.skew import balanced_lookup
 from galley.session import stage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the smallest in its neighbourhood."""
+    """Link every larger neighbour of a node to the smallest in its neighbourhood.
+
+    A node that most edges touch, the root of a large component, is one row of the look-up, so
+    its edges stay where they are.
+    """
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    lookup = least.select("a", F.least("a", "m").alias("m"), "n")
+    found = balanced_lookup(both, lookup, ["a"], "n", "b", ["m"])
+    return found.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them. Edges go from large to small."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    onward = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    found = balanced_lookup(edges, least, ["a"], "n", "b", ["m"])
+    onward = found.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b")
     return onward.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
