@@ -134,12 +134,41 @@ def j2_custom_selectors(spark, sf_dir):
         F.array(F.lit("main p")).alias("fallback_selectors"),
     )
     sites = site_table(load_site_rules(spark, custom))
-    rows = dom.dom_rows(attach_site(pages, sites, small=False), ("site",))
+    rows = dom.with_places(dom.dom_rows(attach_site(pages, sites, small=False), ("site",)))
     found = match_selectors(rows.filter("site <> '*'"), selector_rows(sites), small=False)
     own = found.filter(F.col("field").isin("title", "content", "author", "date"))
     return own.select("page_id", "field", "priority", "start", "end", "tag")
 
 
+#: Selectors that ask for parents, siblings, places and what a node is not.
+PLACED = {
+    "title": "article > h1:first-child, nav + * h1, body > :not(nav) > h1",
+    "content": "article > p:nth-child(2n+1), h1 + p, p:nth-last-of-type(-n+2)",
+    "author": "ul > li:nth-child(even) > a, li:first-child ~ li:not(:last-child) a, nav li:last-child a[href]",
+    "date": "nav ~ footer, div.ad + *, body > :only-of-type, head > meta:first-of-type ~ :not(meta):not([rel])",
+}
+
+
+def j2_child_and_sibling_selectors(spark, sf_dir):
+    """Custom rules with combinators and places, for every host."""
+    pages = _pages(spark, sf_dir)
+    hosts = pages.select(urls.site_key(urls.domain_of(F.col("url"))).alias("domain")).distinct()
+    custom = hosts.select(
+        "domain", *[F.lit(text).alias(f"{field}_selector") for field, text in PLACED.items()], F.array(F.lit("main > p")).alias("fallback_selectors")
+    )
+    sites = site_table(load_site_rules(spark, custom))
+    rows = dom.with_places(dom.dom_rows(attach_site(pages, sites, small=False), ("site",)))
+    found = match_selectors(rows.filter("site <> '*'"), selector_rows(sites), small=False)
+    own = found.filter(F.col("field").isin(*PLACED))
+    return own.select("page_id", "field", "priority", "start", "end", "tag")
+
+
+def n3_node_places(spark, sf_dir):
+    """Parents and places of all nodes, of well-formed and of styled pages with unclosed ones."""
+    rows = dom.with_places(dom.dom_rows(inputs.styled_pages(spark, sf_dir))).filter("place IS NOT NULL")
+    return rows.select("page_id", F.col("pos").alias("start"), "place.*")
+
+
 def j6_removed_reasons(spark, sf_dir):
     rows = extract_articles(inputs.styled_pages(spark, sf_dir))
     return rows.select("page_id", F.array_join("removed_reasons", "|").alias("reasons"))
@@ -333,7 +362,7 @@ def _faults_sql() -> str:
             f"SELECT domain, '{f}', 'Invalid CSS selector syntax', {f} FROM cand WHERE length({f}) > 0 AND (trim({f}) = '' OR regexp_matches({f}, '[<>{{}}()]'))"
         )
     step = "(?:[a-zA-Z][a-zA-Z0-9-]*|\\*)?(?:[.#][A-Za-z0-9_-]+)*"
-    chain = o.q(f"{step}(\\s+{step}){{0,4}}")
+    chain = o.q(f"{step}((\\s+|\\s*[>+~]\\s*){step}){{0,4}}")
     odd = "len(list_filter(string_split({0}, ','), lambda p: trim(p) = '' OR NOT regexp_full_match(trim(p), {1}))) > 0"
     for f in ("title_selector", "content_selector", "author_selector", "date_selector"):
         pieces.append(f"SELECT domain, '{f}', 'Unsupported selector', {f} FROM cand WHERE trim({f}) <> '' AND {odd.format(f, chain)}")
@@ -344,6 +373,62 @@ def _faults_sql() -> str:
     return f"WITH cand AS ({_RULES}) " + " UNION ALL ".join(pieces)
 
 
+_PLACES = """,
+lev AS MATERIALIZED (
+  SELECT n.*, (SELECT count(*) FROM nd m WHERE m.page_id = n.page_id AND m.kind = 'open' AND m.start < n.start AND m.fin > n.start) AS lvl FROM nd n),
+par AS MATERIALIZED (
+  SELECT n.*, (SELECT max(m.start) FROM lev m WHERE m.page_id = n.page_id AND m.kind = 'open' AND m.start < n.start AND m.lvl = n.lvl - 1) AS parent FROM lev n),
+pl AS MATERIALIZED (
+  SELECT *, row_number() OVER c AS idx, count(*) OVER (PARTITION BY page_id, parent) - row_number() OVER c + 1 AS lst,
+    row_number() OVER t AS tidx, count(*) OVER (PARTITION BY page_id, parent, tag) - row_number() OVER t + 1 AS tlst
+  FROM par WINDOW c AS (PARTITION BY page_id, parent ORDER BY start), t AS (PARTITION BY page_id, parent, tag ORDER BY start))"""
+
+
+def _placed_sql() -> str:
+    """The selectors of PLACED by self joins over parents and ordinals."""
+
+    def kin(outer: str, sign: str, inner: str, test: str) -> str:
+        relation = {
+            ">": f"{outer}.start = {inner}.parent",
+            "+": f"{outer}.parent IS NOT DISTINCT FROM {inner}.parent AND {outer}.idx = {inner}.idx - 1",
+            "~": f"{outer}.parent IS NOT DISTINCT FROM {inner}.parent AND {outer}.idx < {inner}.idx",
+            " ": f"{outer}.start < {inner}.start AND {inner}.start < {outer}.fin",
+        }[sign]
+        return f"EXISTS (SELECT 1 FROM pl {outer} WHERE {outer}.page_id = {inner}.page_id AND {relation} AND {test})"
+
+    ad = "list_contains({0}.classes, 'ad')"
+    tests = {
+        "title": [
+            "n.tag = 'h1' AND n.idx = 1 AND " + kin("a", ">", "n", "a.tag = 'article'"),
+            "n.tag = 'h1' AND " + kin("a", " ", "n", kin("b", "+", "a", "b.tag = 'nav'")),
+            "n.tag = 'h1' AND " + kin("a", ">", "n", "a.tag <> 'nav' AND " + kin("b", ">", "a", "b.tag = 'body'")),
+        ],
+        "content": [
+            "n.tag = 'p' AND n.idx % 2 = 1 AND " + kin("a", ">", "n", "a.tag = 'article'"),
+            "n.tag = 'p' AND " + kin("a", "+", "n", "a.tag = 'h1'"),
+            "n.tag = 'p' AND n.tlst <= 2",
+        ],
+        "author": [
+            "n.tag = 'a' AND " + kin("a", ">", "n", "a.tag = 'li' AND a.idx % 2 = 0 AND " + kin("b", ">", "a", "b.tag = 'ul'")),
+            "n.tag = 'a' AND regexp_matches(n.t, '(?i)\\shref\\b') AND " + kin("a", " ", "n", "a.tag = 'li' AND a.lst = 1 AND " + kin("b", " ", "a", "b.tag = 'nav'")),
+        ],
+        "date": [
+            "n.tag = 'footer' AND " + kin("a", "~", "n", "a.tag = 'nav'"),
+            kin("a", "+", "n", f"a.tag = 'div' AND {ad.format('a')}"),
+            "n.tidx = 1 AND n.tlst = 1 AND " + kin("a", ">", "n", "a.tag = 'body'"),
+            "n.tag <> 'meta' AND NOT regexp_matches(n.t, '(?i)\\srel\\b') AND "
+            + kin("a", "~", "n", "a.tag = 'meta' AND a.tidx = 1 AND " + kin("b", ">", "a", "b.tag = 'head'")),
+        ],
+    }
+    pieces = [
+        f"SELECT n.page_id, '{field}' AS field, 0 AS priority, n.start, n.fin AS \"end\", n.tag FROM pl n "
+        f"WHERE n.kind IN ('open', 'void') AND {test}"
+        for field, parts in tests.items()
+        for test in parts
+    ]
+    return f"{_P}{_PLACES} " + " UNION ".join(pieces)
+
+
 def _custom_sql() -> str:
     """The four custom selectors by nested EXISTS."""
 
@@ -358,14 +443,14 @@ def _custom_sql() -> str:
         "content": "n.tag = 'p' AND " + inside("n", "a", "a.tag = 'article' AND " + inside("a", "b", "b.tag = 'body'")),
         "author": "n.tag = 'a' AND "
         + inside("n", "a", "a.tag = 'li' AND " + inside("a", "b", "b.tag = 'ul' AND " + inside("b", "c", "c.tag = 'nav'"))),
-        "date": "n.tag = 'div' AND regexp_matches(n.t, 'class=\"ad\"')",
+        "date": "(n.tag = 'div' AND regexp_matches(n.t, 'class=\"ad\"') OR n.tag = 'p' AND n.idx = 1)",
     }
     pieces = [
-        f"SELECT n.page_id, '{field}' AS field, 0 AS priority, n.start, n.fin AS \"end\", n.tag FROM nd n JOIN pg USING (page_id) "
+        f"SELECT n.page_id, '{field}' AS field, 0 AS priority, n.start, n.fin AS \"end\", n.tag FROM pl n JOIN pg USING (page_id) "
         f"WHERE length(regexp_replace(domain, '^www\\.', '')) % 2 = 0 AND n.kind IN ('open', 'void') AND {test}"
         for field, test in tests.items()
     ]
-    return f"{_P} " + " UNION ALL ".join(pieces)
+    return f"{_P}{_PLACES} " + " UNION ALL ".join(pieces)
 
 
 _REMOVED = f"""{_S} SELECT page_id, reason, count(*) AS n FROM (
@@ -401,6 +486,8 @@ ORACLE = {
         ON w.page_id = k.page_id AND w.start = k.start""",
     "j2_selector_matches": f'{_D}{o.matches()} SELECT page_id, field, priority, start, fin AS "end", tag FROM mt',
     "j2_custom_selectors": _custom_sql(),
+    "j2_child_and_sibling_selectors": _placed_sql(),
+    "n3_node_places": f"{_S}{_PLACES} SELECT page_id, start, parent, CAST(idx AS INT) AS nth, CAST(lst AS INT) AS nth_last, CAST(tidx AS INT) AS nth_type, CAST(tlst AS INT) AS nth_last_type FROM pl WHERE kind IN ('open', 'void')",
     "j3_boilerplate_nodes": f'{_S} SELECT page_id, start, fin AS "end", reason FROM boiler',
     "j4_runs_in_nodes": f"""{_P} SELECT n.page_id, n.start, count(r.pos) AS runs FROM nd n LEFT JOIN runs r
         ON r.page_id = n.page_id AND n.start < r.pos AND r.pos < n.fin WHERE n.kind = 'open' GROUP BY ALL""",

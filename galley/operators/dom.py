@@ -159,3 +159,39 @@ def dom_rows(
         running(F.when(open_stays & (tag == "a"), 1).otherwise(0), "n_a"),
         running(F.when(kind == "text", 1).otherwise(0), "n_text"),
     )
+
+
+def with_places(rows: DataFrame) -> DataFrame:
+    """Add ``place`` to node rows: parent, and the place among the parent's nodes from both ends, of all and of the same tag.
+
+    A page is one ordered pass over the starts and ends of its nodes. The level of a node is the number
+    of nodes open before it; its parent is the last node one level up that starts before it, so a
+    node's ordinal is a row number within its parent. All of it reuses the placement by ``page_id``.
+    Where end tags cross, nodes count as closed in the order in which they would nest. Nodes
+    outside any other have no parent and are siblings of each other. Other rows have no ``place``.
+    """
+    pos, kind = F.col("pos"), F.col("kind")
+    is_open, is_node = kind == "open", kind.isin("open", "void")
+
+    def event(at, step, own):
+        return F.struct(at.cast("int").alias("at"), F.lit(step).alias("step"), F.lit(own).alias("own"))
+
+    events = F.when(is_open, F.array(event(pos, 1, True), event(F.col("end"), -1, False))).otherwise(F.array(event(pos, 0, True)))
+    so_far = Window.partitionBy("page_id").orderBy("_event.at", "_event.own").rowsBetween(Window.unboundedPreceding, -1)
+    level = F.coalesce(F.sum("_event.step").over(so_far), F.lit(0)).cast("int")
+    levelled = rows.withColumn("_event", F.explode(events)).withColumn("_level", level).filter("_event.own").drop("_event")
+    # an open node stands in the family it heads, once, besides the one it belongs to
+    roles = F.when(is_open, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    family = F.when(is_node, F.col("_level") - F.when(F.col("_heads"), 0).otherwise(1))
+    before = Window.partitionBy("page_id", "_family").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    headed = levelled.withColumn("_heads", F.explode(roles)).withColumn("_family", family)
+    headed = headed.withColumn("_parent", F.when(is_node, F.max(F.when(F.col("_heads"), pos)).over(before)))
+    own = headed.filter(~F.col("_heads")).withColumn("_node", is_node)
+    among = Window.partitionBy("page_id", "_node", "_parent")
+    alike = Window.partitionBy("page_id", "_node", "_parent", "tag")
+    at, at_alike = F.row_number().over(among.orderBy("pos")), F.row_number().over(alike.orderBy("pos"))
+    place = F.struct(
+        F.col("_parent").alias("parent"), at.alias("nth"), (F.count("*").over(among) - at + 1).cast("int").alias("nth_last"),
+        at_alike.alias("nth_type"), (F.count("*").over(alike) - at_alike + 1).cast("int").alias("nth_last_type"),
+    )
+    return own.withColumn("place", F.when(F.col("_node"), place)).drop("_level", "_heads", "_family", "_parent", "_node")

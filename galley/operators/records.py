@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from galley.functions.markup import attribute
 from galley.functions.text import clean_block, clean_text
 from galley.operators.boilerplate import class_and_id
-from galley.operators.dom import dom_rows
+from galley.operators.dom import dom_rows, with_places
 from galley.operators.reports import counted_reason
 from galley.operators.selectors import attach_site, match_rows
 from galley.operators.skew import spread_join
-from galley.sources.rules import BUILT_IN_STEPS, MAX_STEPS, built_in_rules, selector_rows, site_table
+from galley.sources.rules import BUILT_IN_STEPS, built_in_rules, selector_rows, site_table
 
 # Containers that may hold an article, in the order ties are resolved.
 CONTAINERS = ("article", "main", "section", "div")
@@ -47,7 +47,9 @@ def page_records(
     small = rules is None
     placed = attach_site(pages.select("page_id", "url", "html"), sites, small)
     keep = ("url", "domain", "site", "supported")
-    rows = match_rows(dom_rows(placed, keep, mode, clustered), selectors, small, BUILT_IN_STEPS if small else MAX_STEPS)
+    dom = dom_rows(placed, keep, mode, clustered)
+    # the built-in rules ask for no parents or siblings
+    rows = match_rows(dom, selectors, small, BUILT_IN_STEPS) if small else match_rows(with_places(dom), selectors, small)
     is_token = F.col("field").isNull()
     is_node = F.col("kind") == "open"
     hits_of_node = F.when(is_node & F.col("tag").isin(*CONTAINERS), content_hits(F.col("attrs"))).otherwise(0)

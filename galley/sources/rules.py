@@ -67,14 +67,23 @@ INVALID_SYNTAX = "Invalid CSS selector syntax"
 #: Our own: valid CSS perhaps, but not matched.
 UNSUPPORTED = "Unsupported selector"
 
-#: What selectors may consist of: descendant steps of a tag, classes, an id and attribute tests.
+#: What selectors may consist of: steps of a tag, classes, an id, attribute tests, places among siblings and what a node
+#: is not, with combinators between them.
 MAX_STEPS = 5
 #: Steps of the built-in selectors.
 BUILT_IN_STEPS = 2
 _ATTRIBUTE = r"""\[\s*[A-Za-z0-9_-]+\s*(?:[*^$~]?=\s*(?:"[^"\]]*"|'[^'\]]*'|[^\s"'\]]+)\s*)?\]"""
-_STEP = rf"^(?:[a-zA-Z][a-zA-Z0-9-]*|\*)?(?:[.#][A-Za-z0-9_-]+|{_ATTRIBUTE})*$"
+_SIMPLE = rf"(?:[.#][A-Za-z0-9_-]+|{_ATTRIBUTE})"
+_NAME = r"(?:[a-zA-Z][a-zA-Z0-9-]*|\*)"
+_COUNT = r"\(\s*(?:odd|even|[+-]?\d+|[+-]?\d*n(?:\s*[+-]\s*\d+)?)\s*\)"
+_PLACE = rf":(?:(?:first|last|only)-(?:child|of-type)|nth-(?:last-)?(?:child|of-type){_COUNT})"
+_NOT = rf":not\(\s*(?:{_NAME}{_SIMPLE}*|{_SIMPLE}+)\s*\)"
+_STEP = rf"(?i)^(?={_NAME}|[.#:\[]){_NAME}?(?:{_SIMPLE}|{_PLACE}|{_NOT})*$"
+_COMBINATOR = r"^[>+~]$"
+_TEST_TYPE = "tag:string,id:string,classes:array<string>,attrs:array<struct<k:string,op:string,v:string>>"
 _STEP_TYPE = (
-    "struct<tag:string,id:string,classes:array<string>,attrs:array<struct<k:string,op:string,v:string>>,key:string>"
+    f"struct<{_TEST_TYPE},key:string,places:array<struct<of_type:boolean,from_end:boolean,a:int,b:int>>,"
+    f"nots:array<struct<{_TEST_TYPE}>>>"
 )
 
 
@@ -137,47 +146,95 @@ def supported_domains(rules: DataFrame) -> DataFrame:
 
 def alternatives(selector: Column) -> Column:
     """The comma-separated parts of a selector; commas inside brackets do not count."""
-    return F.regexp_extract_all(selector, F.lit(r"(?:\[[^\]]*\]|[^,\[])+"), F.lit(0))
+    return F.regexp_extract_all(selector, F.lit(r"(?:\[[^\]]*\]|\([^)]*\)|[^,\[(])+"), F.lit(0))
+
+
+def _tokens(part: Column) -> Column:
+    """Steps and the signs between them in order; signs and blanks inside brackets do not count."""
+    return F.regexp_extract_all(part, F.lit(r"[>+~]|(?:\[[^\]]*\]|\([^)]*\)|[^\s>+~\[(])+"), F.lit(0))
 
 
 def steps_of(part: Column) -> Column:
-    """The descendant steps of one part; spaces inside brackets do not count."""
-    return F.regexp_extract_all(part, F.lit(r"(?:\[[^\]]*\]|[^\s\[])+"), F.lit(0))
+    """The steps of one part with what stands before each: ``>``, ``+``, ``~`` or a blank for descendants."""
+    tokens = _tokens(part)
+    steps = F.transform(tokens, lambda t, i: F.struct(t.alias("text"), F.get(tokens, i - 1).alias("before")))
+    return F.transform(
+        F.filter(steps, lambda s: ~s.text.rlike(_COMBINATOR)),
+        lambda s: F.struct(s.text.alias("text"), F.when(s.before.rlike(_COMBINATOR), s.before).otherwise(" ").alias("sign")),
+    )
 
 
 def is_supported(part: Column) -> Column:
-    """One to MAX_STEPS steps, each of a tag, classes, ids and attribute tests."""
-    steps = steps_of(part)
-    return F.size(steps).between(1, MAX_STEPS) & F.forall(steps, lambda s: s.rlike(_STEP))
+    """One to MAX_STEPS steps of what ``parsed_step`` reads, with one sign between two of them at most."""
+    tokens = _tokens(part)
+    is_sign = lambda t: t.rlike(_COMBINATOR)
+    steps = F.filter(tokens, lambda t: ~is_sign(t))
+    misplaced = F.exists(
+        F.transform(tokens, lambda t, i: is_sign(t) & F.coalesce(is_sign(F.get(tokens, i + 1)), F.lit(True))), lambda odd: odd
+    )
+    leads = F.coalesce(is_sign(F.get(tokens, F.lit(0))), F.lit(True))
+    return F.size(steps).between(1, MAX_STEPS) & F.forall(steps, lambda s: s.rlike(_STEP)) & ~misplaced & ~leads
 
 
-def parsed_step(step: Column) -> Column:
-    """A step as a test. ``key`` is the one property a node is looked up by before it is tested."""
-    tests = F.regexp_extract_all(step, F.lit(_ATTRIBUTE), F.lit(0))
-    bare = F.regexp_replace(step, r"\[[^\]]*\]", "")
+def _simple_test(text: Column) -> tuple[Column, Column, Column, Column]:
+    """Tag, id, classes and attribute tests of a compound."""
+    tests = F.regexp_extract_all(text, F.lit(_ATTRIBUTE), F.lit(0))
+    bare = F.regexp_replace(text, r"\[[^\]]*\]", "")
     names = lambda mark: F.regexp_extract_all(bare, F.lit(rf"{mark}([A-Za-z0-9_-]+)"), F.lit(1))
     tag = F.lower(F.regexp_extract(bare, r"^([a-zA-Z][a-zA-Z0-9-]*)", 1))
     known = r"""(?s)^\[\s*([A-Za-z0-9_-]+)\s*(?:([*^$~]?=)\s*["']?(.*?)["']?\s*)?\]$"""
 
-    def test(text: Column) -> Column:
-        op = F.regexp_extract(text, known, 2)
+    def test(part: Column) -> Column:
+        op = F.regexp_extract(part, known, 2)
         return F.struct(
-            F.lower(F.regexp_extract(text, known, 1)).alias("k"),
+            F.lower(F.regexp_extract(part, known, 1)).alias("k"),
             F.when(op != "", op).alias("op"),
-            F.when(op != "", F.regexp_extract(text, known, 3)).alias("v"),
+            F.when(op != "", F.regexp_extract(part, known, 3)).alias("v"),
         )
 
-    classes, ids, attrs = names(r"\."), names("#"), F.transform(tests, test)
-    first = lambda array: F.get(array, F.lit(0))
+    return F.when(tag != "", tag), F.get(names("#"), F.lit(0)), names(r"\."), F.transform(tests, test)
+
+
+def _places(step: Column) -> Column:
+    """Tests of the place among siblings, as (of_type, from_end, a, b): some a * n + b, n from 0, is the place from 1."""
+    bare = F.lower(F.regexp_replace(F.regexp_replace(step, r"\[[^\]]*\]", ""), r"(?i):not\([^)]*\)", ""))
+    found = F.regexp_extract_all(bare, F.lit(r":[a-z-]+(?:\([^)]*\))?"), F.lit(0))
+
+    def numbers(text: Column) -> tuple[Column, Column]:
+        count = F.regexp_replace(F.regexp_extract(text, r"\(([^)]*)\)", 1), r"\s+", "")
+        count = F.when(count == "odd", "2n+1").when(count == "even", "2n").when(count == "", "1").otherwise(count)
+        steps = F.regexp_extract(count, r"^([+-]?\d*)n", 1)
+        a = F.when(~count.contains("n"), "0").when(steps.isin("", "+"), "1").when(steps == "-", "-1").otherwise(steps)
+        b = F.when(count.contains("n"), F.regexp_extract(count, r"n([+-]\d+)$", 1)).otherwise(count)
+        return a.cast("int"), F.when(b == "", 0).otherwise(b.cast("int"))
+
+    def place(text: Column, from_end: Column) -> Column:
+        a, b = numbers(text)
+        return F.struct(text.contains("of-type").alias("of_type"), from_end.alias("from_end"), a.alias("a"), b.alias("b"))
+
+    once = F.transform(found, lambda t: place(t, t.contains("last")))
+    only = F.transform(F.filter(found, lambda t: t.contains("only")), lambda t: place(t, F.lit(True)))
+    return F.concat(once, only)
+
+
+def parsed_step(step: Column) -> Column:
+    """A step as a test. ``key`` is the one property a node is looked up by before it is tested."""
+    outer = F.regexp_replace(step, r"(?i):not\([^)]*\)", "")
+    inner = F.regexp_extract_all(step, F.lit(r"(?i):not\(\s*([^)]*?)\s*\)"), F.lit(1))
+
+    def simple(text: Column) -> list[Column]:
+        return [c.alias(n) for c, n in zip(_simple_test(text), ("tag", "id", "classes", "attrs"), strict=True)]
+
+    tag, first_id, classes, attrs = _simple_test(outer)
     key = F.coalesce(
-        F.concat(F.lit("#"), first(ids)),
-        F.concat(F.lit("."), first(classes)),
-        F.when(tag != "", tag),
+        F.concat(F.lit("#"), first_id),
+        F.concat(F.lit("."), F.get(classes, F.lit(0))),
+        tag,
         F.concat(F.lit("["), F.get(F.transform(attrs, lambda a: a.k), F.lit(0))),
         F.lit("*"),
     )
     return F.struct(
-        F.when(tag != "", tag).alias("tag"), first(ids).alias("id"), classes.alias("classes"), attrs.alias("attrs"), key.alias("key")
+        *simple(outer), key.alias("key"), _places(step).alias("places"), F.transform(inner, lambda t: F.struct(*simple(t))).alias("nots")
     ).cast(_STEP_TYPE)
 
 
@@ -202,19 +259,26 @@ def _field_rows(sites: DataFrame) -> DataFrame:
 
 
 def selector_rows(sites: DataFrame) -> DataFrame:
-    """One row per step of every selector: ``site, field, priority, alt, selector, steps, level, step``.
-
-    Supported: tag, classes, id, attribute presence, ``=``, ``*=``, ``^=``, ``$=`` and ``~=``, and up
-    to MAX_STEPS descendant steps. ``level`` counts steps from the outermost, from 1. Anything else
-    is left out here and reported by ``validate_site_rules``.
+    """One row per step of every selector: ``site, field, priority, alt, selector, steps, level, sign, placed, step``.
+
+    Supported: tag, classes, id, attribute presence, ``=``, ``*=``, ``^=``, ``$=`` and ``~=``; the places
+    ``:first-``, ``:last-``, ``:only-`` and ``:nth-`` (``:nth-last-``) ``child`` and ``of-type``; ``:not()`` of a
+    compound; and up to MAX_STEPS steps with descendant, ``>``, ``+`` and ``~`` between them. ``level``
+    counts steps from the outermost, from 1; ``sign`` stands before the step; ``placed`` says that the
+    selector asks for parents or siblings. Anything else is left out here and reported by
+    ``validate_site_rules``.
     """
     rows = _field_rows(sites).filter(is_supported(F.col("part"))).withColumn("_steps", steps_of(F.col("part")))
+    signs = F.exists("_steps", lambda s: s.sign != " ")
+    places = F.exists("_steps", lambda s: F.regexp_replace(s.text, r"\[[^\]]*\]|(?i:not\([^)]*\))", "").rlike(r":[a-zA-Z]"))
     rows = rows.select(
-        "site", "field", "priority", "alt", "selector", F.size("_steps").alias("steps"), F.posexplode("_steps").alias("_at", "_text")
-    )
+        "site", "field", "priority", "alt", "selector", F.size("_steps").alias("steps"), (signs | places).alias("placed"),
+        F.posexplode("_steps").alias("_at", "_one"),
+    )
     return rows.select(
-        "site", "field", "priority", "alt", "selector", "steps", (F.col("_at") + 1).alias("level"), parsed_step(F.col("_text")).alias("step")
-    )
+        "site", "field", "priority", "alt", "selector", "steps", (F.col("_at") + 1).alias("level"),
+        F.col("_one.sign").alias("sign"), "placed", parsed_step(F.col("_one.text")).alias("step"),
+    )
 
 
 def validate_site_rules(rules: DataFrame) -> DataFrame:
