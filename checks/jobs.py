@@ -9,7 +9,8 @@ from checks import oracle_html as h
 from checks import oracle_text as o
 from galley.functions.flags import ENRICHMENTS, FEATURES
 from galley.operators.alarms import (
-    consecutive_alarm,
+    rolling_duration_alarm,
+    rolling_error_alarm,
     duration_alarm,
     error_alarm,
     step_metrics,
@@ -32,7 +33,7 @@ from galley.session import new_path
 from galley.sources.pages import read_pages
 from galley.sources.requests import read_requests
 from galley.sources.sinks import write_articles, write_responses
-from galley.streaming.jobs import stream_error_windows, stream_pages
+from galley.streaming.jobs import read_alarms, stream_alarms, stream_pages
 
 RUN_TS = "2024-02-01T00:00:00Z"
 
@@ -120,13 +121,30 @@ def t1_error_alarm(spark, sf_dir):
     return rows.select(_minute(), "errors", "breach", "alarm")
 
 
-def t1_error_alarm_stream(spark, sf_dir):
-    folder = new_path(spark, "windows")
+def _streamed(spark, sf_dir, alarms, **options):
+    """What a stream over the whole event file says in the end."""
+    folder = new_path(spark, "alarms")
     schema = inputs.table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stream_error_windows(events, f"{folder}/out", f"{folder}/state").awaitTermination()
-    windows = spark.read.parquet(f"{folder}/out").select("window_start", "errors")
-    return consecutive_alarm(windows, F.col("errors") > 1).select(_minute(), "errors", "breach", "alarm")
+    stream_alarms(alarms(events, lateness_seconds=600, **options), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return read_alarms(spark, f"{folder}/out")
+
+
+def t1_error_alarm_stream(spark, sf_dir):
+    rows = _streamed(spark, sf_dir, rolling_error_alarm, threshold=1)
+    return rows.select(_minute(), "errors", "breach", "alarm")
+
+
+def t1_error_alarm_by_user_group(spark, sf_dir):
+    """One alarm series per group of users, over three periods in a row."""
+    events = inputs.table(spark, sf_dir, "events").withColumn("group", F.col("user_id") % 3)
+    rows = rolling_error_alarm(events, threshold=0, by=("group",), periods=3)
+    return rows.select("group", _minute(), "errors", "breach", "alarm")
+
+
+def t2_duration_alarm_stream(spark, sf_dir):
+    rows = _streamed(spark, sf_dir, rolling_duration_alarm, threshold=60.0)
+    return rows.select(_minute(), "mean_ms", "breach", "alarm")
 
 
 def t2_duration_alarm(spark, sf_dir):
@@ -165,8 +183,7 @@ def j8_enrich(spark, sf_dir):
 
 def a6_call_counts(spark, sf_dir):
     docs = _flagged_docs(spark, sf_dir)
-    asked = inputs.table(spark, sf_dir, "documents").filter("doc_id % 3 > 0")
-    given = enrich_input(docs.select("doc_id", "text"), normalize_corpus(asked)).select("doc_id", "is_normalized")
+    given = enrich_input(docs.select("doc_id", "text"), normalize_corpus(inputs.table(spark, sf_dir, "documents"))).select("doc_id", "is_normalized")
     return call_counts(enrich(docs).join(given, "doc_id"))
 
 
@@ -383,14 +400,18 @@ ORACLE = {
       FROM fin f JOIN lg l USING (url) WHERE l.attempt = f.attempts""",
     "s7_stream_pages": f"{h.articles_ctes(h.PLAIN)} SELECT page_id, domain, p.title, extractor_method, word_count, sha256(clean_content) AS content_sha FROM ex JOIN (SELECT page_id, title FROM pr) p USING (page_id)",
     "t1_error_alarm": _alarm(_ERRORS, "errors", "errors > 1"),
-    "t1_error_alarm_stream": _alarm(f"SELECT * FROM ({_ERRORS}) WHERE w + INTERVAL '5 minutes' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)", "errors", "errors > 1"),
+    "t1_error_alarm_stream": _alarm(_ERRORS, "errors", "errors > 1"),
+    "t1_error_alarm_by_user_group": f"""WITH w AS (SELECT user_id % 3 AS "group", {_WINDOW} AS w, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY ALL)
+      SELECT a."group", strftime(a.w, '%Y-%m-%d %H:%M') AS window_start, a.errors, true AS breach, (b.w IS NOT NULL AND c.w IS NOT NULL) AS alarm FROM w a
+      LEFT JOIN w b ON b."group" = a."group" AND b.w = a.w - INTERVAL '5 minutes' LEFT JOIN w c ON c."group" = a."group" AND c.w = a.w - INTERVAL '10 minutes'""",
+    "t2_duration_alarm_stream": _alarm(f"SELECT {_WINDOW} AS w, round(avg(value), 6) AS mean_ms FROM events GROUP BY ALL", "mean_ms", "mean_ms > 60"),
     "t2_duration_alarm": _alarm(f"SELECT {_WINDOW} AS w, round(avg(value), 6) AS mean_ms FROM events GROUP BY ALL", "mean_ms", "mean_ms > 60"),
     "a9_step_metrics": "SELECT event_type AS step, count(*) AS calls, round(avg(value), 6) AS mean_ms, min(value) AS min_ms, max(value) AS max_ms, quantile_disc(value, 0.95) AS p95_ms FROM events GROUP BY ALL",
     "j7_enrich_input": f"""SELECT d.doc_id, coalesce(n.normalized_text, d.text) AS text, n.normalized_text IS NOT NULL AS is_normalized FROM documents d LEFT JOIN (
       SELECT * FROM ({o.normalized()} SELECT * FROM nm) WHERE normalized_text <> '') n USING (doc_id)""",
     "j8_enrich": f"""{_EN} SELECT doc_id, array_to_string(asked, ',') AS requested, array_to_string(done, ',') AS processed, mood, CASE WHEN redacted_text IS NULL THEN NULL ELSE n_entities END AS n_entities,
       pii_found AS pii_types, CASE WHEN topics AND {_NB} THEN coalesce(topic_list, '') END AS topics, n_phrases, digest AS summary FROM pr""",
-    "a6_call_counts": f"{_EN} SELECT doc_id, len(list_filter(done, lambda x: x <> 'summary')) AS language_calls, CASE WHEN list_contains(done, 'summary') THEN 1 ELSE 0 END AS summary_calls, CASE WHEN n.doc_id IS NULL THEN 0 ELSE 1 END AS normalization_calls FROM pr LEFT JOIN (SELECT doc_id FROM ({o.normalized('(SELECT * FROM documents WHERE doc_id % 3 > 0)')} SELECT * FROM nm) WHERE normalized_text <> '') n USING (doc_id)",
+    "a6_call_counts": f"{_EN} SELECT doc_id, len(list_filter(done, lambda x: x <> 'summary')) AS language_calls, CASE WHEN list_contains(done, 'summary') THEN 1 ELSE 0 END AS summary_calls, CASE WHEN n.doc_id IS NULL THEN 0 ELSE 1 END AS normalization_calls FROM pr LEFT JOIN (SELECT doc_id FROM ({o.normalized()} SELECT * FROM nm) WHERE normalized_text <> '') n USING (doc_id)",
     "a7_batch_report": f"{_EN} SELECT count(*) AS texts, count(*) FILTER (len(done) > 0) AS succeeded, count(*) FILTER (len(done) = 0) AS failed, "
     + ", ".join(f"count(*) FILTER (list_contains(done, '{f}')) AS {f}_results" for f in ENRICHMENTS)
     + " FROM pr",

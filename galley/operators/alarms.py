@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ PERIOD = "5 minutes"
 PERIOD_SECONDS = 300
 ERROR_THRESHOLD = 5
 DURATION_THRESHOLD_MS = 240_000.0
+PERIODS = 2
 
 
 def error_windows(events: DataFrame) -> DataFrame:
@@ -47,6 +50,60 @@ def duration_alarm(events: DataFrame, threshold: float = DURATION_THRESHOLD_MS)
     return consecutive_alarm(duration_windows(events), F.col("mean_ms") > threshold)
 
 
+def rolling_alarm(
+    events: DataFrame,
+    name: str,
+    measure: Callable[[Column], Column],
+    counted: Column,
+    breach: Callable[[Column], Column],
+    by: tuple[str, ...] = (),
+    periods: int = PERIODS,
+    lateness_seconds: int | None = None,
+) -> DataFrame:
+    """``by, window_start, name, breach, alarm`` by one windowed aggregate, for tables and streams alike.
+
+    An event counts in its own window and, as the past, in the ``periods - 1`` windows that follow. So
+    the aggregate of a window knows the windows before it, and what a stream keeps between batches
+    is its ordinary windowed state, combined before the shuffle, until the watermark passes.
+    ``measure`` aggregates the rows for which its argument holds; a window has a row if one of its
+    own events is ``counted``. A missing window does not breach.
+
+    ``lateness_seconds`` sets the watermark of a stream: events that are later by more are dropped.
+    """
+    one = F.make_dt_interval(secs=F.lit(PERIOD_SECONDS))
+    kept = events.withColumns({"_ts": F.col("ts").cast("timestamp"), "_counted": counted})
+    turns = F.array(*[F.struct((F.col("_ts") + one * k).alias("at"), F.lit(k).alias("back")) for k in range(periods)])
+    spread = kept.withColumn("_turn", F.explode(turns)).withColumns({"_at": F.col("_turn.at"), "_back": F.col("_turn.back")})
+    if lateness_seconds is not None:
+        spread = spread.withWatermark("_at", f"{lateness_seconds + (periods - 1) * PERIOD_SECONDS} seconds")
+    known = spread.groupBy(*by, F.window("_at", PERIOD)).agg(
+        F.count_if((F.col("_back") == 0) & F.col("_counted")).alias("_n"),
+        *[measure(F.col("_back") == k).alias(f"_{k}") for k in range(periods)],
+    )
+    before = F.lit(True)
+    for k in range(1, periods):
+        before = before & F.coalesce(breach(F.col(f"_{k}")), F.lit(False))
+    return known.filter("_n > 0").select(
+        *by, F.col("window.start").alias("window_start"), F.col("_0").alias(name),
+        breach(F.col("_0")).alias("breach"), (breach(F.col("_0")) & before).alias("alarm"),
+    )
+
+
+def rolling_error_alarm(events: DataFrame, threshold: int = ERROR_THRESHOLD, **options) -> DataFrame:
+    """``error_alarm`` in one aggregate; see ``rolling_alarm``."""
+    is_error = F.coalesce(F.col("event_type") == "error", F.lit(False))
+    return rolling_alarm(
+        events, "errors", lambda here: F.count_if(here & F.col("_counted")), is_error, lambda n: n > threshold, **options
+    )
+
+
+def rolling_duration_alarm(events: DataFrame, threshold: float = DURATION_THRESHOLD_MS, **options) -> DataFrame:
+    """``duration_alarm`` in one aggregate; see ``rolling_alarm``."""
+    return rolling_alarm(
+        events, "mean_ms", lambda here: F.round(F.avg(F.when(here, F.col("value"))), 6), F.lit(True), lambda x: x > threshold, **options
+    )
+
+
 def exact_percentile(rows: DataFrame, key: str, value: str, percent: int) -> DataFrame:
     """``key, value``: the smallest value that at least ``percent`` of 100 values of its key do not exceed.
 

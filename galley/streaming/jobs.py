@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from galley.operators.alarms import PERIOD
 from galley.plans.articles import extract_articles
 from galley.sources.pages import PAGES
 
 
-def _start(stream, write_batch, checkpoint: str, once: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+def _start(stream, write_batch, checkpoint: str, once: bool, mode: str = "append") -> StreamingQuery:
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.start()
@@ -43,24 +42,26 @@ def stream_pages(
     return _start(reader.parquet(folder), write_batch, checkpoint, once)
 
 
-def stream_error_windows(
-    events: DataFrame, out: str, checkpoint: str, lateness: str = "10 minutes", once: bool = True
+def stream_alarms(
+    alarms: DataFrame, out: str, checkpoint: str, once: bool = True
 ) -> StreamingQuery:
-    """Write the error count of every closed window of a stream of events.
+    """Write what ``rolling_error_alarm`` or ``rolling_duration_alarm`` say of a stream, as it changes.
 
-    Events later than ``lateness`` are dropped by the watermark. Alarms are read off the written
-    windows with ``consecutive_alarm``.
+    Every batch writes the windows it changed, open ones included, into a folder of its own, which it
+    overwrites when it is run again after a failure. So an alarm is out with the batch that raises it,
+    and a finite run leaves no window unwritten. ``read_alarms`` gives the present state.
     """
-    errors = F.count_if(F.col("event_type") == "error")
-    counts = (
-        events.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", lateness)
-        .groupBy(F.window("ts", PERIOD))
-        .agg(errors.alias("errors"))
-        .select(F.col("window.start").alias("window_start"), "errors")
-    )
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.filter("errors > 0").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return _start(counts, write_batch, checkpoint, once)
+    return _start(alarms, write_batch, checkpoint, once, "update")
+
+
+def read_alarms(spark: SparkSession, out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The windows that ``stream_alarms`` wrote, each as the last batch that changed it left it."""
+    written = spark.read.parquet(out)
+    keys = [*by, "window_start"]
+    values = [name for name in written.columns if name not in (*keys, "batch")]
+    last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    return last.select(*keys, "_last.*")

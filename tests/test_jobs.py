@@ -1,12 +1,13 @@
 """Requests, fetches, rules, responses and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from galley.functions.flags import FEATURES
-from galley.operators.alarms import exact_percentile
+from galley.operators.alarms import duration_alarm, error_alarm, exact_percentile, rolling_duration_alarm, rolling_error_alarm
 from galley.operators.fetches import resolve_fetches
 from galley.plans.articles import extract_articles
 from galley.plans.requests import process_requests
@@ -16,7 +17,7 @@ from galley.sources.pages import PAGES, read_pages
 from galley.sources.requests import read_requests
 from galley.sources.rules import UNSUPPORTED, built_in_rules, load_site_rules, site_table, supported_domains, validate_site_rules
 from galley.sources.sinks import write_articles
-from galley.streaming.jobs import stream_pages
+from galley.streaming.jobs import read_alarms, stream_alarms, stream_pages
 
 LINE = "The council met on Monday evening and talked for hours about a good new bridge."
 
@@ -178,3 +179,82 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError):
         work_folder(Session)
     assert work_folder(Session, "hdfs://shared/work/") == "hdfs://shared/work"
+
+
+EVENTS = "ts TIMESTAMP, event_type STRING, value DOUBLE, owner STRING"
+
+
+def events(spark, *rows):
+    """(minute of the day, type, value, owner)"""
+    at = [(f"2024-03-01 {m // 60:02d}:{m % 60:02d}:30", kind, value, owner) for m, kind, value, owner in rows]
+    frame = spark.createDataFrame(at, EVENTS.replace("TIMESTAMP", "STRING"))
+    return frame.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def random_events(spark, seed):
+    draw = random.Random(seed)
+    rows = [
+        (draw.randint(0, 200), draw.choice(["error", "error", "view", None]), draw.choice([None, 10.0, 400_000.0]), draw.choice(["a", "b"]))
+        for _ in range(300)
+    ]
+    return events(spark, *sorted(rows, key=lambda r: r[0]))
+
+
+def alarm_rows(frame):
+    return sorted((tuple(str(v) for v in r) for r in frame.collect()))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rolling_alarms_equal_joined_ones(spark, seed):
+    rows = random_events(spark, seed)
+    assert alarm_rows(rolling_error_alarm(rows, 3)) == alarm_rows(error_alarm(rows, 3))
+    assert alarm_rows(rolling_duration_alarm(rows, 150_000.0)) == alarm_rows(duration_alarm(rows, 150_000.0))
+    assert {r.alarm for r in rolling_error_alarm(rows, 3).collect()} == {True, False}
+    one = rolling_error_alarm(rows, 3, by=("owner",))
+    for owner in "ab":
+        own = rows.filter(F.col("owner") == owner)
+        assert alarm_rows(one.filter(F.col("owner") == owner).drop("owner")) == alarm_rows(error_alarm(own, 3))
+    single = rolling_error_alarm(rows, 3, periods=1)
+    assert all(r.alarm == r.breach for r in single.collect())
+    assert rolling_error_alarm(rows.limit(0)).count() == rolling_duration_alarm(rows.limit(0)).count() == 0
+
+
+def write_files(frame, folder, minutes):
+    """One file per stretch of minutes, in order of time."""
+    minute = F.hour("ts") * 60 + F.minute("ts")
+    for k in range(0, 240, minutes):
+        part = frame.filter((minute >= k) & (minute < k + minutes))
+        part.coalesce(1).write.mode("append").parquet(folder)
+
+
+@pytest.mark.parametrize("alarm, threshold", [(rolling_error_alarm, 3), (rolling_duration_alarm, 150_000.0)])
+def test_streamed_alarms_are_whole(spark, tmp_path, alarm, threshold):
+    """Many batches, closed state, a run that stops and goes on: the same windows as a table gives."""
+    rows = random_events(spark, 3)
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def run():
+        stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+        query = stream_alarms(alarm(stream, threshold, lateness_seconds=600), out, str(tmp_path / "state"))
+        query.awaitTermination()
+        return query.recentProgress
+
+    early = rows.filter(F.hour("ts") < 2)
+    write_files(early, folder, 7)
+    run()
+    assert alarm_rows(read_alarms(spark, out)) == alarm_rows(alarm(early, threshold))
+    write_files(rows.filter(F.hour("ts") >= 2), folder, 7)
+    progress = run()
+    assert alarm_rows(read_alarms(spark, out)) == alarm_rows(alarm(rows, threshold))
+    # state goes when the watermark passes: 200 minutes have 41 windows, the last of which stay
+    assert progress[-1].stateOperators[0].numRowsTotal < 12
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows in ([(0, "error", 1.0, "a")], [(60, "error", 1.0, "a")], [(61, "error", 1.0, "a")], [(1, "error", 1.0, "a"), (55, "error", 1.0, "a")]):
+        events(spark, *rows).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream_alarms(rolling_error_alarm(stream, 0, lateness_seconds=600), out, str(tmp_path / "state")).awaitTermination()
+    found = {r.window_start.minute + 60 * r.window_start.hour: (r.errors, r.alarm) for r in read_alarms(spark, out).collect()}
+    assert found == {0: (1, False), 55: (1, False), 60: (2, True)}
