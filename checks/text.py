@@ -8,6 +8,8 @@ from checks import inputs
 from checks import oracle_text as o
 from galley.functions import text as t
 from galley.operators.normalization import normalization_errors, normalize_corpus
+from galley.operators.normalized_store import NormalizedStore
+from galley.session import new_path
 from galley.operators.phrases import key_phrases, top_phrases, topics
 from galley.operators.pii import pii_entities, redact
 from galley.operators.scoring import score_with
@@ -130,6 +132,18 @@ def e6_normalization_errors(spark, sf_dir):
     return normalization_errors(docs, limit=t.LLM_LIMIT)
 
 
+def e6_normalize_in_batches(spark, sf_dir):
+    """Four batches: two thirds of the texts as they were before, the last third, and then the present texts of the rest."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "source")
+    third = F.col("doc_id") % 3
+    before = F.concat(F.col("text"), F.lit("\na line of the older version\n"), F.substring("text", 1, 40))
+    older = docs.withColumn("text", F.when(F.col("doc_id") % 5 > 0, before).otherwise(F.lit("  ")))
+    store = NormalizedStore(spark, new_path(spark, "normalized"))
+    for number, batch in enumerate((older.filter(third == 0), older.filter(third == 1), docs.filter(third == 2), docs.filter(third < 2))):
+        store.update(batch, number)
+    return store.read()
+
+
 def e6_normalize_lost_sources(spark, sf_dir):
     return normalize_corpus(_docs(spark, sf_dir).withColumn("source", F.expr(_LOST_SOURCE)))
 
@@ -200,6 +214,7 @@ ORACLE = {
     "e5_summarize": o.sentences("documents") + " SELECT * FROM sm",
     "e5_summary_errors": f"SELECT doc_id, {_REASON} AS message FROM (SELECT doc_id, {_SPOILED9} AS text FROM documents) WHERE {_REASON} IS NOT NULL",
     "e6_normalize_corpus": o.NORMALIZED + " SELECT doc_id, normalized_text, original_length, length(normalized_text) AS normalized_length, round(length(normalized_text) / original_length, 6) AS compression_ratio FROM nm WHERE normalized_text <> ''",
+    "e6_normalize_in_batches": o.NORMALIZED + " SELECT doc_id, normalized_text, original_length, length(normalized_text) AS normalized_length, round(length(normalized_text) / original_length, 6) AS compression_ratio FROM nm WHERE normalized_text <> ''",
     "e6_normalization_errors": f"WITH sp AS (SELECT doc_id, {_SPOILED} AS text, {_LOST_SOURCE} AS source FROM documents) SELECT * FROM ({o.normalized('sp', limit=100_000)} SELECT doc_id, 'Empty normalized text' AS message FROM nm WHERE normalized_text = '') UNION ALL SELECT doc_id, {_REASON} FROM sp WHERE {_REASON} IS NOT NULL",
     "e6_normalize_lost_sources": o.normalized(f"(SELECT * REPLACE ({_LOST_SOURCE} AS source) FROM documents)") + " SELECT doc_id, normalized_text, original_length, length(normalized_text) AS normalized_length, round(length(normalized_text) / original_length, 6) AS compression_ratio FROM nm WHERE normalized_text <> ''",
     "e7_score_with": f"""SELECT doc_id, CASE WHEN bad THEN NULL WHEN length(text) = 0 THEN NULL ELSE round({_VOWELS} / length(text), 6) END AS share,

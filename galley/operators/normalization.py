@@ -55,10 +55,15 @@ def normalize_corpus(
 def _normalized(texts, key, text, source, k, limit) -> DataFrame:
     usable = texts.filter(eligible_for_llm(F.col(text), limit))
     lines = line_rows(usable, key, text, source)
+    return without_common(usable, lines, common_lines(lines, k), key, text)
+
+
+def without_common(texts: DataFrame, lines: DataFrame, common: DataFrame, key: str, text: str) -> DataFrame:
+    """The texts without their lines among ``common(h1, h2, seen)``; ``lines`` are the ``line_rows`` of the texts."""
     # a line of very many texts is looked up by broadcast, its rows are spread
-    marked = balanced_lookup(lines, common_lines(lines, k), LINE_KEY, "seen", key, ["seen"])
-    common = marked.filter("seen IS NOT NULL").groupBy(key).agg(F.collect_list("i").alias("gone"))
-    rows = usable.select(key, text).join(common, key, "left").withColumn("_lines", distinct_lines(F.col(text)))
+    marked = balanced_lookup(lines, common, LINE_KEY, "seen", key, ["seen"])
+    gone = marked.filter("seen IS NOT NULL").groupBy(key).agg(F.collect_list("i").alias("gone"))
+    rows = texts.select(key, text).join(gone, key, "left").withColumn("_lines", distinct_lines(F.col(text)))
     places = F.sequence(F.lit(0), F.size("_lines") - 1)
     left = F.when(F.col("gone").isNull(), F.col("_lines")).otherwise(
         F.transform(F.array_except(places, "gone"), lambda i: F.get("_lines", i))

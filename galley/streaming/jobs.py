@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from galley.operators.normalized_store import NormalizedStore
 from galley.plans.articles import extract_articles
 from galley.sources.pages import PAGES
 
@@ -65,3 +66,11 @@ def read_alarms(spark: SparkSession, out: str, by: tuple[str, ...] = ()) -> Data
     values = [name for name in written.columns if name not in (*keys, "batch")]
     last = written.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
     return last.select(*keys, "_last.*")
+
+
+def stream_normalized(texts: DataFrame, store: NormalizedStore, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Keep a store of normalised texts up to date with a stream of texts; see ``NormalizedStore``.
+
+    A batch that failed is run again under its number and replaces what it left.
+    """
+    return _start(texts, store.update, checkpoint, once)

@@ -1,7 +1,9 @@
 """Text functions and enrichment operators."""
 
 import math
+import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -12,12 +14,14 @@ from galley.functions.scores import extraction_confidence, parse_confidence
 from galley.functions.urls import domain_of, is_valid_url, site_key
 from galley.operators.enrichment import enrich
 from galley.operators.normalization import normalize_corpus
+from galley.operators.normalized_store import NormalizedStore
 from galley.operators.phrases import key_phrases, topics
 from galley.operators.pii import pii_entities, redact
 from galley.operators.scoring import score_with
 from galley.operators.sentiment import sentiment
 from galley.operators.skew import balanced_lookup, salted_join
 from galley.operators.summary import summarize
+from galley.streaming.jobs import stream_normalized
 
 FUZZ = settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -165,3 +169,74 @@ def test_joins_with_a_hot_key(spark):
     assert sorted((r.id, r.n) for r in got) == expected
     got = salted_join(rows, lookup, ["k"], "id").select("id", "n").fillna(-1).collect()
     assert sorted((r.id, r.n) for r in got) == expected
+
+
+TEXTS = "doc_id LONG, text STRING, source STRING"
+
+
+def forms(frame):
+    return sorted((tuple(r) for r in frame.select("doc_id", "normalized_text", "original_length", "compression_ratio").collect()), key=repr)
+
+
+def store_texts(spark, seed, ids):
+    draw = random.Random(seed)
+    pick = lambda: "\n".join(draw.choice(["ad", "menu", "share", f"story {draw.randint(0, 30)}", ""]) for _ in range(draw.randint(0, 6)))
+    return [(i, draw.choice([None, "", pick(), pick(), pick()]), draw.choice(["x", "x", "y", None])) for i in ids]
+
+
+def test_store_equals_one_run_over_the_last_versions(spark, tmp_path):
+    store = NormalizedStore(spark, str(tmp_path / "store"), k=3)
+    known = {}
+    for batch, ids in enumerate([range(0, 40), range(40, 60), range(10, 50), [], [5, 70]]):
+        rows = store_texts(spark, batch, ids)
+        store.update(spark.createDataFrame(rows, TEXTS), batch)
+        known |= {row[0]: row for row in rows}
+        whole = normalize_corpus(spark.createDataFrame(list(known.values()), TEXTS), k=3)
+        assert forms(store.read()) == forms(whole)
+    assert store.batches() == [0, 1, 2, 3, 4]
+
+
+def test_store_writes_only_texts_whose_lines_turn(spark, tmp_path):
+    store = NormalizedStore(spark, str(tmp_path / "store"), k=3)
+    frame = lambda *rows: spark.createDataFrame([(i, t, "x") for i, t in rows], TEXTS)
+    store.update(frame((1, "ad\none"), (2, "ad\ntwo"), (3, "three"), (4, "four")), 0)
+    assert forms(store.read())[0][1] == "ad\none"
+    store.update(frame((5, "ad\nfive")), 1)
+    assert sorted(r.doc_id for r in store.rewritten(1).collect()) == [1, 2]
+    assert [r[1] for r in forms(store.read())] == ["one", "two", "three", "four", "five"]
+    store.update(frame((6, "ad\nsix")), 2)
+    assert store.rewritten(2).count() == 0
+    store.update(frame((1, "one"), (2, "new")), 3)  # two texts lose the line: it is common no longer
+    assert sorted(r.doc_id for r in store.rewritten(3).collect()) == [5, 6]
+    assert [r[1] for r in forms(store.read())] == ["one", "new", "three", "four", "ad\nfive", "ad\nsix"]
+
+
+def test_store_shows_whole_batches_only(spark, tmp_path):
+    store = NormalizedStore(spark, str(tmp_path / "store"), k=2)
+    with pytest.raises(ValueError):
+        store.read()
+    frame = lambda *rows: spark.createDataFrame([(i, t, "x") for i, t in rows], TEXTS)
+    store.update(frame((1, "ad\none")), 0)
+    boom = F.udf(lambda t: 1 / 0, "string")
+    with pytest.raises(Exception):  # noqa: B017
+        store.update(frame((2, "ad\ntwo")).withColumn("text", boom("text")), 1)
+    # what a stopped run may leave behind
+    spark.createDataFrame([(9, "left over", 1, 1, 1.0)], "doc_id LONG, normalized_text STRING, original_length INT, normalized_length INT, compression_ratio DOUBLE").write.mode("overwrite").parquet(str(tmp_path / "store/forms/batch=1"))
+    assert [r[1] for r in forms(store.read())] == ["ad\none"]
+    for _ in range(2):  # the same batch again
+        store.update(frame((2, "ad\ntwo")), 1)
+        assert [r[1] for r in forms(store.read())] == ["one", "two"]
+    with pytest.raises(ValueError):
+        store.update(frame((3, "x")), 0)
+
+
+def test_store_from_a_stream(spark, tmp_path):
+    rows = store_texts(spark, 9, range(60))
+    folder = str(tmp_path / "in")
+    for k in range(3):
+        spark.createDataFrame(rows[20 * k : 20 * k + 20], TEXTS).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(TEXTS).option("maxFilesPerTrigger", 1).parquet(folder)
+    store = NormalizedStore(spark, str(tmp_path / "store"), k=3)
+    stream_normalized(stream, store, str(tmp_path / "state")).awaitTermination()
+    assert len(store.batches()) == 3
+    assert forms(store.read()) == forms(normalize_corpus(spark.createDataFrame(rows, TEXTS), k=3))
