@@ -19,6 +19,8 @@ TOKEN = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of benchmark text that tasks hold at once; a larger benchmark is tested part by part.
 PART_BYTES = 32 << 20
+#: Pairs of places that are formed at once.
+PAIRS = 1 << 20
 
 
 def tokens_of(text: str) -> list[str]:
@@ -53,20 +55,29 @@ class Tiles:
         return self.matched / self.item_tokens
 
 
-def greedy_tiles(doc_at: np.ndarray, item_at: np.ndarray, seed: int, doc_tokens: int, item_tokens: int) -> list[int]:
-    """Lengths of the tiles, longest first.
+def runs_of(of: np.ndarray, doc_at: np.ndarray, item_at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs (item, document place, item place, length) put together where one goes on as another ends on its diagonal.
 
-    The seeds (places where ``seed`` tokens agree) of one diagonal that touch form one maximal match.
-    The longest match whose tokens are all free becomes a tile; a match that has lost tokens to a
-    tile goes back in line with what is left of it, if that is at least ``seed`` long.
+    Runs on a diagonal of an item neither overlap nor repeat.
     """
-    by = np.lexsort([doc_at, doc_at - item_at])
-    doc_at, item_at = doc_at[by], item_at[by]
+    diagonal = doc_at - item_at
+    by = np.lexsort([doc_at, diagonal, of])
+    of, doc_at, item_at, length, diagonal = (x[by] for x in (of, doc_at, item_at, length, diagonal))
     new = np.ones(len(by), dtype=bool)
-    new[1:] = (np.diff(doc_at - item_at) != 0) | (np.diff(doc_at) != 1)
+    new[1:] = (of[1:] != of[:-1]) | (diagonal[1:] != diagonal[:-1]) | (doc_at[1:] != doc_at[:-1] + length[:-1])
     begin = np.flatnonzero(new)
-    lengths = np.diff(np.append(begin, len(by))) + seed - 1
-    waiting = [(-n, i, j) for n, i, j in zip(lengths.tolist(), doc_at[begin].tolist(), item_at[begin].tolist(), strict=True)]
+    return of[begin], doc_at[begin], item_at[begin], np.add.reduceat(length, begin) if len(begin) else length
+
+
+def greedy_tiles(
+    doc_at: np.ndarray, item_at: np.ndarray, lengths: np.ndarray, seed: int, doc_tokens: int, item_tokens: int
+) -> list[int]:
+    """Lengths of the tiles, longest first, of maximal matches given by their places and lengths.
+
+    The longest match whose tokens are all free becomes a tile; a match that has lost tokens to a
+    tile goes back in line with what is left of it, if that is at least ``seed`` long.
+    """
+    waiting = [(-n, i, j) for n, i, j in zip(lengths.tolist(), doc_at.tolist(), item_at.tolist(), strict=True)]
     heapq.heapify(waiting)
     doc_free, item_free = np.ones(doc_tokens, dtype=bool), np.ones(item_tokens, dtype=bool)
     tiles = []
@@ -95,6 +106,8 @@ class Benchmark:
             numbers = [self.number.setdefault(token, len(self.number) + 1) for token in tokens_of(text or "")]
             if numbers:
                 self.items.append((item, np.array(numbers, dtype=np.uint64)))
+        self._flat = np.concatenate([n for _, n in self.items]) if self.items else np.empty(0, dtype=np.uint64)
+        self._starts = np.cumsum([0, *[len(n) for _, n in self.items]])
         # an item shorter than a seed can only be found whole
         self.seeds = []
         for length in sorted({min(seed, len(numbers)) for _, numbers in self.items}):
@@ -109,17 +122,34 @@ class Benchmark:
             by = np.argsort(hashes, kind="stable")
             self.seeds.append((length, hashes[by], of[by], at[by]))
 
-    def _hits(self, numbers: np.ndarray, length: int, hashes: np.ndarray, of: np.ndarray, at: np.ndarray):
-        """Document place, item and item place of every seed that the document shares, tokens compared."""
+    def _matches(self, numbers: np.ndarray, length: int, hashes: np.ndarray, of: np.ndarray, at: np.ndarray):
+        """Item, document place, item place and length in tokens of the maximal matches, tokens compared.
+
+        Places that agree are formed for a stretch of the document at a time and kept as runs, so a text
+        that repeats itself costs time, but memory for its matches only.
+        """
         running = running_hashes(numbers, length)
         low = np.searchsorted(hashes, running)
         place = np.flatnonzero((low < len(hashes)) & (hashes[np.minimum(low, len(hashes) - 1)] == running))
-        if not len(place):
-            return None
         count = np.searchsorted(hashes, running[place], side="right") - low[place]
-        doc_at = np.repeat(place, count)
-        entry = np.repeat(low[place], count) + np.arange(len(doc_at)) - np.repeat(np.cumsum(count) - count, count)
-        return doc_at, of[entry], at[entry]
+        upto = np.cumsum(count)
+        runs: list[tuple[np.ndarray, ...]] = []
+        start = 0
+        while start < len(place):
+            done = int(upto[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, done + PAIRS, side="right")))
+            own, times = place[start:stop], count[start:stop]
+            doc_at = np.repeat(own, times)
+            entry = np.repeat(low[own], times) + np.arange(len(doc_at)) - np.repeat(np.cumsum(times) - times, times)
+            items, item_at = of[entry], at[entry]
+            first = self._starts[items] + item_at
+            same = np.all([numbers[doc_at + k] == self._flat[first + k] for k in range(length)], axis=0)
+            runs.append(runs_of(items[same], doc_at[same], item_at[same], np.ones(int(same.sum()), dtype=np.int64)))
+            start = stop
+        if not runs:
+            return None
+        items, doc_at, item_at, lengths = runs_of(*(np.concatenate(column) for column in zip(*runs, strict=True)))
+        return items, doc_at, item_at, lengths + length - 1
 
     def contaminations(self, text: str, threshold: float) -> list[Tiles]:
         """Items of which tiles cover at least ``threshold``."""
@@ -127,22 +157,20 @@ class Benchmark:
         numbers = np.array([get(token, 0) for token in tokens_of(text)], dtype=np.uint64)
         found = []
         for length, hashes, of, at in self.seeds:
-            hits = self._hits(numbers, length, hashes, of, at)
-            if hits is None:
+            matches = self._matches(numbers, length, hashes, of, at)
+            if matches is None or not len(matches[0]):
                 continue
-            doc_at, items, item_at = hits
-            by = np.argsort(items, kind="stable")
-            doc_at, items, item_at = doc_at[by], items[by], item_at[by]
-            begin = np.flatnonzero(np.append(True, items[1:] != items[:-1]))
-            for a, b in zip(begin.tolist(), np.append(begin[1:], len(items)).tolist(), strict=True):
+            items, doc_at, item_at, lengths = matches
+            borders = [0, *(np.flatnonzero(items[1:] != items[:-1]) + 1).tolist(), len(items)]
+            for a, b in zip(borders, borders[1:], strict=False):
                 item, own = self.items[items[a]]
-                i, j = doc_at[a:b], item_at[a:b]
-                reach = np.unique(j)
-                # tiles cannot cover more of the item than its seeds do
-                if length + np.minimum(np.diff(reach), length).sum() < threshold * len(own):
+                # tiles cannot cover more of the item than its matches do
+                reach = np.zeros(len(own) + 1, dtype=np.int64)
+                np.add.at(reach, item_at[a:b], 1)
+                np.add.at(reach, item_at[a:b] + lengths[a:b], -1)
+                if np.count_nonzero(np.cumsum(reach)) < threshold * len(own):
                     continue
-                same = np.all([numbers[i + k] == own[j + k] for k in range(length)], axis=0)
-                tiles = greedy_tiles(i[same], j[same], length, len(numbers), len(own)) if same.any() else []
+                tiles = greedy_tiles(doc_at[a:b], item_at[a:b], lengths[a:b], length, len(numbers), len(own))
                 if sum(tiles) >= threshold * len(own):
                     found.append(Tiles(item, len(own), sum(tiles), len(tiles), tiles[0]))
         return found

@@ -82,7 +82,7 @@ def test_tiles_equal_the_definition():
     import numpy as np
 
     none = np.empty(0, dtype=np.int64)
-    assert greedy_tiles(none, none, 3, 5, 5) == []
+    assert greedy_tiles(none, none, none, 3, 5, 5) == []
     assert tokens_of("It's A-Test_1!") == ["it", "s", "a", "test_1"]
 
 
@@ -92,3 +92,29 @@ def test_planted_passages_of_the_tables(spark):
     items = {r.item_id: " ".join(tokens_of(r.text)) for r in benchmark.collect()}
     expected = {(r.doc_id, i) for r in documents.collect() for i, t in items.items() if t in " ".join(tokens_of(r.text))}
     assert expected <= {(r.doc_id, r.item_id) for r in contaminations(documents, benchmark).collect()}
+
+
+def test_a_repeating_text_takes_little_memory():
+    import tracemalloc
+
+    known = Benchmark([(1, "the " * 500), (2, " ".join(words("q", 40)))], 5)
+    text = "the " * 20_000 + " ".join(words("q", 40))
+    tracemalloc.start()
+    found = known.contaminations(text, 0.6)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(t.item, t.matched, t.count) for t in found} == {(1, 500, 1), (2, 40, 1)}
+    assert peak < 300e6
+
+
+def test_matches_do_not_depend_on_the_stretch(monkeypatch):
+    from galley.llm import decontamination
+
+    draw = random.Random(4)
+    for _ in range(30):
+        item, doc = draw.choices("abc", k=40), draw.choices("abc", k=120)
+        known = Benchmark([(1, " ".join(item)), (2, " ".join(item[:9]))], 3)
+        monkeypatch.setattr(decontamination, "PAIRS", 1 << 20)
+        whole = known.contaminations(" ".join(doc), 0.1)
+        monkeypatch.setattr(decontamination, "PAIRS", draw.choice([1, 7, 50]))
+        assert known.contaminations(" ".join(doc), 0.1) == whole
