@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from bisect import insort
 from collections.abc import Iterable, Iterator
@@ -11,7 +12,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from galley.llm.packing import PATTERN
 from galley.llm.words import chunks, texts_of
@@ -443,9 +443,24 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
-    """Per row: doc_id, n_tokens, and the SHA-256 digests of the ids and of the bytes they decode to."""
-    decoded = decode_documents(encode_documents(documents, path), path)
-    return decoded.select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """Per row: doc_id, n_tokens, and the SHA-256 digests of the ids and of the bytes they decode to.
+
+    What ``encode_documents`` and ``decode_documents`` do one after the other, in one worker, so that a
+    task has one Python process and neither ids nor texts travel back. Odd rows as there.
+    """
+    rows = documents.select("doc_id", "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = encoder_of(path), decoder_of(path)
+        for batch in chunks(batches, 256):
+            ids = [encoder.encode(text) for text in texts_of(batch.column(1))]
+            columns = [
+                pa.array([len(found) // 4 for found in ids], pa.int64()),
+                pa.array([hashlib.sha256(found).hexdigest() for found in ids], pa.string()),
+                pa.array([hashlib.sha256(decoder.decode(found)).hexdigest() for found in ids], pa.string()),
+            ]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
