@@ -53,5 +53,5 @@ def test_stages_against_plain_python(spark):
 
 def test_registered():
     assert set(registry.ORACLE) <= set(registry.QUERIES)
-    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op")} == set(range(1, 14))
     assert corpus_pipeline.ORACLE_SQL is None and "pipeline" in registry.QUERIES
