@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from galley.llm.words import WORD_BYTES, chunks, remainder, texts_of
+from galley.llm.words import chunks, remainder, texts_of
 from galley.session import stage
 
 #: The token that ends a text; no word is empty.
@@ -38,41 +40,57 @@ TRAINERS = 64
 #: Pieces the weights travel in.
 PIECES = 48
 CHUNK = 256
+#: Logits up to this size are raised to e as they are.
+SAFE = 60.0
+#: Words a task counts, or knows by number, before it starts anew, and the bytes of those it knows.
+COUNTED_WORDS = 200_000
+KNOWN_WORDS = 200_000
+KNOWN_BYTES = 1 << 24
+
+
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    """64 bits of each word, as signed numbers."""
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64).view(np.int64)
 
 
 def word_hash(word: bytes) -> int:
     """64 bits of a word, as a signed number."""
-    from xxhash import xxh3_64_intdigest
+    return int(word_hashes([word])[0])
 
-    value = xxh3_64_intdigest(word)
-    return value - (1 << 64) if value >> 63 else value
 
-
-def ending_class(word: bytes) -> int:
-    """A class from the last four bytes of a word without its punctuation."""
-    return word_hash(word.rstrip(b".,;:!?*$%&#|\"')")[-4:]) % ENDINGS
+def ending_classes(words: Iterable[bytes]) -> np.ndarray:
+    """A class from the last four bytes of each word without its punctuation."""
+    return word_hashes(word.rstrip(b".,;:!?*$%&#|\"')")[-4:] for word in words) % ENDINGS
 
 
 def words_of(text: str) -> list[bytes]:
-    """Words with A-Z in lower case."""
-    return WORD_BYTES.findall(text.encode("utf-8", "surrogatepass").lower())
+    """Words with A-Z in lower case; bytes are split at the six ASCII blanks of the word rule."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
-    """(hash, class, n) of every token of ``documents(text)``, ends included."""
+    """(hash, class, n) of every token of ``documents(text)``, ends included.
+
+    A task adds up its counts and hands them on when it holds COUNTED_WORDS words.
+    """
+
+    def rows_of(counts: Counter[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({
+            "hash": pa.array(word_hashes(counts)),
+            "class": pa.array(ending_classes(counts).astype(np.int32)),
+            "n": pa.array(counts.values(), pa.int64()),
+        })
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts: Counter[bytes] = Counter()
-            for part in chunks([batch], CHUNK):
-                for text in texts_of(part.column(0)):
-                    counts.update(words_of(text))
+        counts: Counter[bytes] = Counter()
+        for batch in chunks(batches, CHUNK):
+            for text in texts_of(batch.column(0)):
+                counts.update(words_of(text))
             counts[END] += batch.num_rows
-            yield pa.RecordBatch.from_pydict({
-                "hash": pa.array(map(word_hash, counts), pa.int64()),
-                "class": pa.array(map(ending_class, counts), pa.int32()),
-                "n": pa.array(counts.values(), pa.int64()),
-            })
+            if len(counts) > COUNTED_WORDS:
+                yield rows_of(counts)
+                counts.clear()
+        yield rows_of(counts)
 
     rows = documents.select("text").mapInArrow(run, "hash long, class int, n long")
     return rows.groupBy("hash").agg(F.max("class").alias("class"), F.sum("n").alias("n"))
@@ -157,15 +175,17 @@ class MaxEnt:
         )
 
     def _logits(self, features: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of all groups, and of the members of the given groups; the largest of each row is 0."""
+        """Of all groups, and of the members of the given groups, small enough to be raised to e."""
         first = self.group_bias + self.group.take(features[:, 0], axis=0)
         second = self.member_bias.take(groups, axis=0)
         second += self.member.take(features[:, 0] * GROUPS + groups, axis=0)
         for k in range(1, FEATURES):
             first += self.group.take(features[:, k], axis=0)
             second += self.member.take(features[:, k] * GROUPS + groups, axis=0)
-        first -= first.max(axis=1, keepdims=True)
-        second -= second.max(axis=1, keepdims=True)
+        for logits in (first, second):
+            # the largest of a row is seldom needed and dear: only where a power could leave the floats
+            if logits.size and max(logits.max(), -logits.min()) > SAFE:
+                logits -= logits.max(axis=1, keepdims=True)
         return first, second
 
     def probabilities(self, features: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,7 +193,7 @@ class MaxEnt:
         both = self._logits(features, groups)
         for logits in both:
             np.exp(logits, out=logits)
-            logits /= logits.sum(axis=1, keepdims=True)
+            logits /= (logits @ np.ones(logits.shape[1], np.float32))[:, None]
         return both
 
     def log10(self, outcomes: np.ndarray, features: np.ndarray) -> np.ndarray:
@@ -181,8 +201,10 @@ class MaxEnt:
         first, second = self._logits(features, groups)
         row = np.arange(len(outcomes))
         chosen = first[row, groups].astype(np.float64) + second[row, members]
-        sums = np.exp(first, out=first).sum(axis=1, dtype=np.float64) * np.exp(second, out=second).sum(axis=1, dtype=np.float64)
-        return chosen / np.log(10) - np.log10(sums)
+        for logits in (first, second):
+            np.exp(logits, out=logits)
+            chosen -= np.log((logits @ np.ones(logits.shape[1], np.float32)).astype(np.float64))
+        return chosen / np.log(10)
 
 
 def context_features(outcomes: np.ndarray, starts: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
@@ -205,6 +227,18 @@ def context_features(outcomes: np.ndarray, starts: np.ndarray, place: np.ndarray
     return (mixed >> np.uint64(52)).astype(np.int64)
 
 
+def _run_sums(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin where ``new``, in pairs, pairs of pairs and so on; overwrites ``values``."""
+    starts = np.flatnonzero(new)
+    left = np.flatnonzero(~new)
+    place, step = left - starts[np.cumsum(new)[left] - 1], 1
+    while len(left):
+        odd = place & 1 == 1
+        values[left[odd] - step] += values.take(left[odd], axis=0)
+        left, place, step = left[~odd], place[~odd] >> 1, step * 2
+    return values.take(starts, axis=0)
+
+
 def _add_rows(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, slopes: np.ndarray) -> None:
     """A step on the given rows, adapted to what each row has seen; slopes of one row are added first.
 
@@ -213,10 +247,8 @@ def _add_rows(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, slopes
     keys = np.sort((rows << 32) | np.arange(len(rows)))  # several times as fast as argsort
     rows, by = keys >> 32, (keys & 0xFFFFFFFF) // FEATURES
     new = np.append(True, rows[1:] != rows[:-1])
-    at, width = rows[new], slopes.shape[1]
-    cells = ((np.cumsum(new) - 1) * width)[:, None] + np.arange(width)
-    # reduceat takes four times as long
-    total = np.bincount(cells.ravel(), slopes.take(by, axis=0).ravel()).astype(np.float32).reshape(-1, width)
+    at = rows[new]
+    total = _run_sums(slopes.take(by, axis=0), new)
     seen = squares.take(at) + np.einsum("ij,ij->i", total, total)
     squares[at] = seen
     total *= (RATE / np.sqrt(seen))[:, None]
@@ -247,42 +279,87 @@ _PREPARED = (
 )
 
 
-def _prepared(batches: Iterable[pa.RecordBatch], known: Counts) -> Iterator[pa.RecordBatch]:
-    """Per document: outcomes, sums over words that are held, and hashes of the others."""
-    number = TaskContext.get().partitionId() << 33
-    class_cost = np.log10(known.class_tokens + known.class_words + 1)
-    with_end = word_hash(END)
-    for batch in chunks(batches, CHUNK):
-        words = [words_of(text) for text in texts_of(batch.column(1))]
-        distinct = {word: k for k, word in enumerate(dict.fromkeys(w for found in words for w in found))}
-        hashes = np.array([*map(word_hash, distinct), with_end], dtype=np.int64)
-        classes = np.array([*map(ending_class, distinct), 0], dtype=np.int64)
+class _Numbers(dict):
+    """Numbers of words in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+class _WordTable:
+    """What the counts say of words, looked up once a word and kept by its number."""
+
+    def __init__(self, known: Counts):
+        self.known = known
+        self.class_cost = np.log10(known.class_tokens + known.class_words + 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.bytes = _Numbers(), 0
+        self.columns: list[np.ndarray] = self._describe([])
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word; words not met before are added."""
+        before = len(self.ids)
+        numbers = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        new = list(islice(reversed(self.ids), len(self.ids) - before))[::-1]
+        self.bytes += sum(map(len, new))
+        self.columns = [np.concatenate(c) for c in zip(self.columns, self._describe(new), strict=True)]
+        return numbers
+
+    def _describe(self, words: list[bytes]) -> list[np.ndarray]:
+        """Hash, whether held, whether it has a held count, log of the count, fixed part of the score, outcome."""
+        known = self.known
+        hashes, classes = word_hashes(words), ending_classes(words)
         at = known.look_up(hashes)
         held = at >= 0
         counts = np.where(held, known.counts[at] if len(known.counts) else 0, 0)
         own = np.where(held, known.outcomes[at] if len(known.outcomes) else -1, -1)
-        own[-1] = 0  # the end is always an outcome
+        own[hashes == word_hash(END)] = 0  # the end is always an outcome
         logs = np.log10(counts + 1.0)
-        fixed = np.where(own >= 0, 0.0, logs - class_cost[classes])
-        outcome = np.where(own >= 0, own, 1 + OWN_WORDS + classes)
-        rows = []
-        for found in words:
-            ids = np.array([*map(distinct.__getitem__, found), len(distinct)], dtype=np.int64)
-            rows.append((
-                len(ids), int((counts[ids] > 0).sum()), float(logs[ids].sum()), float(fixed[ids].sum()),
-                outcome[ids].astype("<u2").tobytes(), hashes[ids[~held[ids]]],
-            ))
-        sizes, knowns, sums, fixes, outcomes, others = zip(*rows, strict=True)
+        fixed = np.where(own >= 0, 0.0, logs - self.class_cost[classes])
+        # the end counts as held: it is in no list of words that come by the join
+        held |= own == 0
+        return [hashes, held, counts > 0, logs, fixed, np.where(own >= 0, own, 1 + OWN_WORDS + classes).astype("<u2")]
+
+    def trim(self) -> None:
+        """Start anew when the words are too many or too long."""
+        if len(self.ids) > KNOWN_WORDS or self.bytes > KNOWN_BYTES:
+            self.clear()
+
+
+def _prepared(batches: Iterable[pa.RecordBatch], known: Counts) -> Iterator[pa.RecordBatch]:
+    """Per document: outcomes, sums over words that are held, and hashes of the others."""
+    number = TaskContext.get().partitionId() << 33
+    table = _WordTable(known)
+    for batch in chunks(batches, CHUNK):
+        words: list[bytes] = []
+        ends = []
+        for text in texts_of(batch.column(1)):
+            words += words_of(text)
+            words.append(END)
+            ends.append(len(words))
+        ids = table.numbers(words)
+        del words
+        ends = np.array(ends, dtype=np.int64)
+        starts = np.append(0, ends[:-1])
+        hashes, held, counted, logs, fixed, outcomes = table.columns
+        rare = ~held[ids]
+        rare_ends = np.append(0, np.cumsum(rare))[np.append(0, ends)]
+        outcome = outcomes[ids]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(np.arange(number, number + len(rows))), batch.column(0), batch.column(2),
-                pa.array(sizes, pa.int64()), pa.array(knowns, pa.int64()), pa.array(sums, pa.float64()),
-                pa.array(fixes, pa.float64()), pa.array(outcomes, pa.binary()),
-                pa.array(others, pa.list_(pa.int64())),
+                pa.array(np.arange(number, number + len(ends))), batch.column(0), batch.column(2),
+                pa.array(ends - starts), pa.array(np.add.reduceat(counted[ids].astype(np.int64), starts)),
+                pa.array(np.add.reduceat(logs[ids], starts)), pa.array(np.add.reduceat(fixed[ids], starts)),
+                pa.array([outcome[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array(hashes[ids[rare]])),
             ],
             names=["row", "doc_id", "training", "n_tokens", "held_known", "held_sum", "fixed_sum", "outcomes", "others"],
         )
-        number += len(rows)
+        number += len(ends)
+        table.trim()
 
 
 def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
