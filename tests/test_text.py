@@ -2,6 +2,7 @@
 
 import math
 import random
+import uuid
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -148,6 +149,70 @@ def test_scoring_survives_bad_rows(spark):
     assert rows[1].n is None and rows[1].error_type == "ValueError" and rows[1].error_message == "refused"
 
 
+@pytest.fixture
+def counted_calls():
+    """Makes a model that leaves a file for each call, named by the number of its rows."""
+
+    def make(folder, fn):
+        def call(part):
+            (folder / f"{len(part)}-{uuid.uuid4().hex}").touch()
+            return fn(part)
+
+        return call
+
+    return make
+
+
+def test_one_bad_row_costs_few_calls(spark, tmp_path, counted_calls):
+    def fn(part):
+        if (part["doc_id"] == 7_321).any():
+            raise ValueError("refused")
+        return part.assign(n=part["doc_id"] * 2)
+
+    frame = spark.range(10_000, numPartitions=1).withColumnRenamed("id", "doc_id")
+    rows = score_with(frame, counted_calls(tmp_path, fn), "n LONG").collect()
+    assert [r.doc_id for r in rows] == list(range(10_000))
+    assert [r.doc_id for r in rows if r.error_type] == [7_321] and rows[7_322].n == 14_644
+    assert len(list(tmp_path.iterdir())) <= 1 + 2 * 14
+
+
+def test_models_that_lose_rows_or_fail_on_all(spark):
+    def short(part):
+        return part.assign(n=1).iloc[: max(1, len(part) - 1)]
+
+    frame = spark.range(9, numPartitions=1).withColumnRenamed("id", "doc_id")
+    assert [(r.doc_id, r.n) for r in score_with(frame, short, "n LONG").collect()] == [(k, 1) for k in range(9)]
+
+    def broken(part):
+        raise KeyError("n")
+
+    rows = score_with(frame, broken, "n LONG").collect()
+    assert [(r.doc_id, r.n, r.error_type) for r in rows] == [(k, None, "KeyError") for k in range(9)]
+    assert score_with(frame.limit(0), broken, "n LONG").count() == 0
+
+
+def test_batches_by_text_size(spark, tmp_path, counted_calls):
+    calls, opened = tmp_path / "calls", tmp_path / "opened"
+    calls.mkdir(), opened.mkdir()
+
+    def load():
+        (opened / uuid.uuid4().hex).touch()
+        return counted_calls(calls, lambda part: part.assign(n=part["text"].str.len()))
+
+    frame = texts(spark, "x" * 40, None, "x" * 50, "x" * 500, "", "x" * 60, "x" * 41, "x" * 10).coalesce(1)
+    frame = frame.unionByName(frame).coalesce(1)
+    scored = score_with(frame, schema="n LONG", load=load, text="text", batch_chars=100)
+    assert [r.n for r in scored.collect()] == [40, None, 50, 500, 0, 60, 41, 10] * 2
+    # 40 + 0 + 50, 500, 0 + 60, 41 + 10 + 40 + 0, 50, 500, 0 + 60, 41 + 10
+    sizes = sorted(int(f.name.split("-")[0]) for f in calls.iterdir())
+    assert sizes == [1, 1, 1, 2, 2, 2, 3, 4]
+    assert len(list(opened.iterdir())) == 1
+    by_rows = score_with(frame, lambda part: part.assign(n=len(part)), "n LONG", batch_rows=5).collect()
+    assert [r.n for r in by_rows] == [5] * 15 + [1]
+    with pytest.raises(ValueError):
+        score_with(frame, schema="n LONG")
+
+
 def test_enrichment_by_flag(spark):
     docs = spark.createDataFrame(
         [(1, "A good day for a@b.org and friends of the park.", True, True, False, True), (2, " ", True, True, True, True),
