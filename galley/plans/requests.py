@@ -43,10 +43,11 @@ def process_requests(
 
     A request is answered from one page, the latest with its URL, so neither many requests for a URL
     nor many copies of a page multiply. Only asked-for pages are extracted, once each: the flags of
-    all requests of a URL are merged, and a request then sees only what it asked for. Articles feed
-    several branches and are written as Parquet in ``work_folder`` (else ``spark.checkpoint.dir``) first.
+    all requests of a URL are merged, and a request then sees only what it asked for. Parsed requests,
+    articles and results by page feed several branches and are written as Parquet in ``work_folder``
+    (else ``spark.checkpoint.dir``) first.
     """
-    parsed = read_requests(requests)
+    parsed = stage(read_requests(requests), "requests", work_folder)
     valid = parsed.filter("error_type IS NULL")
     merged = valid.groupBy("url").agg(*[F.max(f).alias(f) for f in FEATURES])
     # one row per URL on both sides, then one per page: no key repeats in these joins
@@ -68,6 +69,8 @@ def process_requests(
         .join(enriched.select("page_id", "mood", "personal", "topic_analysis", "digest"), "page_id", "left")
         .join(normalized.select("page_id", "normalized_text"), "page_id", "left")
     )
+    # one row per page; responses and errors both read it
+    results = stage(results, "results", work_folder)
     answered = salted_join(valid, results, ["url"], "request_id")
     found = answered.filter("page_id IS NOT NULL")
     for feature, column in (("sentiment", "mood"), ("pii", "personal"), ("topics", "topic_analysis"), ("summary", "digest")):

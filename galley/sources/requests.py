@@ -15,17 +15,27 @@ def _kind(variant: Column, path: str) -> Column:
     return F.regexp_extract(F.schema_of_variant(F.try_variant_get(variant, path, "variant")), r"^[A-Z]+", 0)
 
 
+def _once(rows: DataFrame, key: str, **columns: Column) -> DataFrame:
+    """``key`` and the columns, computed once a row.
+
+    A plain projection is folded into everything that uses it, so a body would be parsed again for
+    each flag and filter. A generator of one row is not.
+    """
+    return rows.select(key, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def read_requests(requests: DataFrame, key: str = "request_id", body: str = "body") -> DataFrame:
     """``key, url``, the six flags, ``enabled``, ``error_type`` and ``message``.
 
     A body is a JSON object with ``url`` and ``features``, or an envelope whose ``body`` holds one, as
     a string or an object. A faulty request keeps its row, with the error and no flags set.
     """
-    outer = F.try_parse_json(body)
+    rows = _once(requests, key, _outer=F.try_parse_json(body))
+    outer = F.col("_outer")
     inner = F.when(
         _kind(outer, "$.body") == "STRING", F.try_parse_json(F.try_variant_get(outer, "$.body", "string"))
     ).otherwise(F.coalesce(F.try_variant_get(outer, "$.body", "variant"), outer))
-    rows = requests.withColumn("_json", inner)
+    rows = _once(rows, key, _json=inner)
     v = F.col("_json")
     url = F.trim(F.try_variant_get(v, "$.url", "string"))
     url_kind, features_kind = _kind(v, "$.url"), _kind(v, "$.features")
@@ -44,13 +54,14 @@ def read_requests(requests: DataFrame, key: str = "request_id", body: str = "bod
             for part in (F.lit(name), F.to_json(F.try_variant_get(v, f"$.features.{name}", "variant")))
         ]
     )
-    rows = rows.select(key, url.alias("url"), message.alias("message"), raw.alias("_raw"))
-    rows = rows.select(
+    rows = _once(rows, key, url=url, message=message, _raw=raw)
+    fine = F.col("message").isNull()
+    rows = _once(
+        rows,
         key,
-        F.when(F.col("message").isNull(), F.col("url")).alias("url"),
-        F.when(F.col("message").isNotNull(), VALIDATION_ERROR).alias("error_type"),
-        "message",
-        F.when(F.col("message").isNull(), F.col("_raw")).alias("_raw"),
+        url=F.when(fine, F.col("url")),
+        error_type=F.when(~fine, VALIDATION_ERROR),
+        message=F.col("message"),
+        **parse_flags(F.when(fine, F.col("_raw"))),
     )
-    rows = rows.select("*", *[c.alias(n) for n, c in parse_flags(F.col("_raw")).items()]).drop("_raw")
     return rows.withColumn("enabled", enabled_features({n: F.col(n) for n in FEATURES}))

@@ -45,6 +45,13 @@ def test_request_bodies(spark):
     assert all(r.error_type == "VALIDATION_ERROR" and not any(r[f] for f in FEATURES) for r in rows[3:])
 
 
+def test_bodies_are_parsed_once(spark):
+    """However many flags and filters use a body, the plan parses it, and one inside it, once."""
+    rows = read_requests(requests(spark, "{}")).filter("error_type IS NULL AND url > 'a' AND (sentiment OR pii)")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 2
+
+
 def test_fetch_policy(spark):
     log = spark.createDataFrame(
         [("ok", 1, 200, None, 5.0), ("gone", 1, 404, None, 5.0), ("gone", 2, 200, None, 5.0), ("later", 1, 503, None, 5.0), ("later", 2, 200, None, 7.0),
