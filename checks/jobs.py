@@ -110,7 +110,7 @@ def s6_resolve_fetches(spark, sf_dir):
 
 def s7_stream_pages(spark, sf_dir):
     folder = new_path(spark, "stream")
-    stream_pages(spark, sf_dir, f"{folder}/out", f"{folder}/state", pattern="pages.parquet").awaitTermination()
+    stream_pages(spark, inputs.arriving(sf_dir, "pages"), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select(
         "page_id", "domain", "title", "extractor_method", "word_count", F.sha2(F.col("clean_content").cast("binary"), 256).alias("content_sha")
     )
@@ -125,7 +125,7 @@ def _streamed(spark, sf_dir, alarms, **options):
     """What a stream over the whole event file says in the end."""
     folder = new_path(spark, "alarms")
     schema = inputs.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = spark.readStream.schema(schema).parquet(inputs.arriving(sf_dir, "events"))
     stream_alarms(alarms(events, lateness_seconds=600, **options), f"{folder}/out", f"{folder}/state").awaitTermination()
     return read_alarms(spark, f"{folder}/out")
 

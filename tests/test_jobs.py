@@ -265,3 +265,19 @@ def test_late_events_are_dropped(spark, tmp_path):
     stream_alarms(rolling_error_alarm(stream, 0, lateness_seconds=600), out, str(tmp_path / "state")).awaitTermination()
     found = {r.window_start.minute + 60 * r.window_start.hour: (r.errors, r.alarm) for r in read_alarms(spark, out).collect()}
     assert found == {0: (1, False), 55: (1, False), 60: (2, True)}
+
+
+def test_streamed_table_may_be_one_file_or_a_folder(spark, tmp_path):
+    """A table of a few part files has no file of the table's name."""
+    from checks import inputs, jobs
+
+    rows = [(i, f"https://a.org/{i}", f"<article><h1>T {i}</h1><p>{LINE}</p></article>") for i in range(6)]
+    spark.createDataFrame(rows, PAGES).repartition(3).write.parquet(str(tmp_path / "many/pages.parquet"))
+    assert {r.page_id for r in jobs.s7_stream_pages(spark, str(tmp_path / "many")).collect()} == set(range(6))
+    spark.createDataFrame(rows, PAGES).coalesce(1).write.parquet(str(tmp_path / "one"))
+    part = next((tmp_path / "one").glob("part-*.parquet"))
+    part.rename(tmp_path / "pages.parquet")
+    read = spark.readStream.schema(PAGES).parquet(inputs.arriving(str(tmp_path), "pages"))
+    query = read.writeStream.format("memory").queryName("one_file").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("one_file").count() == 6
