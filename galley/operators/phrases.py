@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from galley.functions.lexicon import STOP_WORDS, WORDS
-from galley.operators.skew import balanced_lookup
+from galley.operators.skew import balanced_lookup, sized_parts
 
 TOP_PHRASES = 10
 TOPIC_CONFIDENCE = 0.8
@@ -15,15 +15,24 @@ TOPICS = 5
 LONGEST = 3
 
 
-def word_rows(texts: DataFrame, key: str = "doc_id", text: str = "text", clustered: bool = False) -> DataFrame:
-    """Words with character offsets and sentence numbers: ``key, i, word, begin, sentence``.
+# the hash of a text's key: never null, so it can be joined on, and what texts and their grams are placed by
+BAG = "_bag"
+
+
+def in_bags(texts: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
+    """``_bag, key, _text``, hashed once into parts of bounded size (see ``sized_parts``), and their number."""
+    rows = texts.select(F.xxhash64(key).alias(BAG), key, F.col(text).alias("_text"))
+    parts = sized_parts(rows, F.length("_text"))
+    return rows.repartition(parts, BAG), parts
+
+
+def word_rows(bags: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Words with character offsets and sentence numbers: ``_bag, key, i, word, begin, sentence``.
 
     The text is cut into words and the gaps before them; an offset is the running length, a sentence
-    number the running count of gaps that end one. Texts are hashed by key once, before they are cut.
+    number the running count of gaps that end one. ``bags`` come from ``in_bags``.
     """
-    source = texts.select(key, F.lower(text).alias("_text"))
-    if not clustered:
-        source = source.repartition(key)
+    source = bags.select(BAG, key, F.lower("_text").alias("_text"))
     gaps = F.transform(
         F.split("_text", WORDS),
         lambda g: F.struct(F.length(g).alias("len"), g.rlike(r"[.!?\n]").cast("int").alias("ends")),
@@ -31,10 +40,11 @@ def word_rows(texts: DataFrame, key: str = "doc_id", text: str = "text", cluster
     words = F.regexp_extract_all("_text", F.lit(WORDS), F.lit(0))
     # a gap stands before every word; the one after the last word has no word and is cut off
     pairs = F.slice(F.arrays_zip(gaps.alias("gap"), words.alias("word")), F.lit(1), F.size(words))
-    rows = source.select(key, F.posexplode(pairs).alias("i", "p"))
-    so_far = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = source.select(BAG, key, F.posexplode(pairs).alias("i", "p"))
+    so_far = Window.partitionBy(BAG, key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.length("p.word")
     return rows.select(
+        BAG,
         key,
         "i",
         F.col("p.word").alias("word"),
@@ -48,16 +58,16 @@ _LENGTH_BITS = 24
 
 
 def gram_rows(words: DataFrame, key: str = "doc_id", longest: int = LONGEST) -> DataFrame:
-    """Per text and gram: ``tf`` and the first place as ``begin`` and ``end``.
+    """Per text and gram: ``_bag, key, gram, tf`` and the first place as ``begin`` and ``end``.
 
     Grams of one to ``longest`` adjacent words of one sentence, none starting or ending with a stop
     word.
     """
-    order = Window.partitionBy(key).orderBy("i")
+    order = Window.partitionBy(BAG, key).orderBy("i")
     rows = words.withColumn("stop", F.col("word").isin(*STOP_WORDS))
     here = F.struct("word", "sentence", "begin", "stop")
     rows = rows.select(
-        key, here.alias("_0"), *[F.lead(here, n).over(order).alias(f"_{n}") for n in range(1, longest)]
+        BAG, key, here.alias("_0"), *[F.lead(here, n).over(order).alias(f"_{n}") for n in range(1, longest)]
     ).filter("NOT _0.stop")
     grams = []
     for n in range(longest):
@@ -70,13 +80,13 @@ def gram_rows(words: DataFrame, key: str = "doc_id", longest: int = LONGEST) ->
         gram = F.concat_ws(" ", *[F.col(f"_{k}.word") for k in range(n + 1)])
         grams.append(F.when(fits, F.struct(gram.alias("gram"), place.alias("place"))))
     # plain array and explode: both are compiled, a lambda here would be interpreted for every word
-    exploded = rows.select(key, F.explode(F.array(*grams)).alias("g")).filter("g IS NOT NULL")
-    counted = exploded.select(key, "g.gram", "g.place").groupBy(key, "gram").agg(
+    exploded = rows.select(BAG, key, F.explode(F.array(*grams)).alias("g")).filter("g IS NOT NULL")
+    counted = exploded.select(BAG, key, "g.gram", "g.place").groupBy(BAG, key, "gram").agg(
         F.count("*").alias("tf"), F.min("place").alias("place")
     )
     begin = F.shiftright("place", _LENGTH_BITS).cast("int")
     size = F.col("place").bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1)).cast("int")
-    return counted.select(key, "gram", "tf", begin.alias("begin"), (begin + size).alias("end"))
+    return counted.select(BAG, key, "gram", "tf", begin.alias("begin"), (begin + size).alias("end"))
 
 
 _GRAM_KEY = ["g1", "g2"]
@@ -92,27 +102,42 @@ def document_frequency(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy(*_GRAM_KEY).agg(F.count("*").alias("df")).filter("df > 1")
 
 
-def with_tfidf(grams: DataFrame, texts: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Add ``raw = tf * ln((1 + N) / (1 + df))`` to gram rows.
+def with_tfidf(grams: DataFrame, bags: DataFrame, parts: int) -> DataFrame:
+    """``_bag, _grams``: per bag the columns of its gram rows and ``raw = tf * ln((1 + N) / (1 + df))``.
 
-    A gram that a large share of all texts holds would send those rows to one task; such grams are
-    looked up by broadcast and their rows spread (see ``balanced_lookup``).
+    Grams never leave the task of their text; only hashes travel. The grams of a bag stand in one order,
+    the look-up takes a gram's hash with its bag and place, and what comes back is bag, place and
+    frequency, put beside the grams in that order. A gram that a large share of all texts holds would
+    send those rows to one task; such grams are looked up by broadcast and their rows spread (see
+    ``balanced_lookup``). ``grams`` and ``bags`` are placed as ``in_bags`` says, in ``parts`` parts.
     """
-    total = texts.agg(F.count("*")).scalar()
+    total = bags.agg(F.count("*")).scalar()
+    columns = [name for name in grams.columns if name != BAG]
+    entry = F.struct(*_GRAM_KEY, *columns)
     keyed = with_gram_key(grams)
-    joined = balanced_lookup(keyed, document_frequency(keyed), _GRAM_KEY, "df", key, ["df"]).drop(*_GRAM_KEY)
-    df = F.coalesce("df", F.lit(1))
-    return joined.withColumn("raw", F.col("tf") * F.log((total + 1) / (df + 1)))
+    held = keyed.groupBy(BAG).agg(F.sort_array(F.collect_list(entry)).alias("_grams"))
+    asked = held.select(BAG, F.posexplode("_grams").alias("_at", "g")).select(BAG, "_at", *[f"g.{k}" for k in _GRAM_KEY])
+    found = balanced_lookup(asked, document_frequency(keyed), _GRAM_KEY, "df", BAG, ["df"])
+    found = found.select(BAG, "_at", F.coalesce("df", F.lit(1)).alias("df")).repartition(parts, BAG)
+    answers = (
+        found.withColumn("idf", F.log((total + 1) / (F.col("df") + 1)))
+        .groupBy(BAG)
+        .agg(F.sort_array(F.collect_list(F.struct("_at", "idf"))).alias("_found"))
+    )
+    raw = F.zip_with(
+        "_grams", "_found", lambda g, f: F.struct(*[g[c].alias(c) for c in columns], (g.tf * f.idf).alias("raw"))
+    )
+    return held.join(answers, BAG).select(BAG, raw.alias("_grams"))
 
 
-def key_phrases(texts: DataFrame, key: str = "doc_id", text: str = "text", clustered: bool = False) -> DataFrame:
+def key_phrases(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, text, n, confidence, begin_offset, end_offset`` for every gram of every text.
 
     ``confidence`` is the TF-IDF weight scaled by the largest one of the text.
     """
-    grams = gram_rows(word_rows(texts, key, text, clustered), key)
-    scored = with_tfidf(grams, texts, key)
-    scored = scored.withColumn("_best", F.max("raw").over(Window.partitionBy(key)))
+    bags, parts = in_bags(texts, key, text)
+    scored = with_tfidf(gram_rows(word_rows(bags, key), key), bags, parts).select(BAG, F.inline("_grams"))
+    scored = scored.withColumn("_best", F.max("raw").over(Window.partitionBy(BAG, key)))
     scaled = F.when(F.col("_best") > 0, F.col("raw") / F.col("_best")).otherwise(0.0)
     return scored.select(
         key,

@@ -7,48 +7,48 @@ from pyspark.sql import functions as F
 
 from galley.functions.lexicon import STOP_WORDS, WORDS
 from galley.functions.text import compression_ratio, eligibility_error, eligible_for_llm
-from galley.operators.phrases import with_tfidf
+from galley.operators.phrases import BAG, in_bags, with_tfidf
 
 SENTENCES = 3
 SHORTEST = 5
 SPLIT = r"[.!?\n]+"
 
 
-def sentence_rows(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sentences of at least five words: ``key, i, sentence, words``."""
-    parts = F.transform(F.split(text, SPLIT), lambda s: F.trim(s))
-    rows = texts.select(key, F.posexplode(parts).alias("i", "sentence"))
-    words = F.regexp_extract_all(F.lower("sentence"), F.lit(WORDS), F.lit(0))
-    return rows.withColumn("words", words).filter(F.size("words") >= SHORTEST)
-
-
 def sentence_scores(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Sentences with the mean TF-IDF of their words that are no stop words (0 if there are none).
+    """Sentences of at least five words, ``key, i, sentence``, with the mean TF-IDF of their words that are no
+    stop words (0 if there are none) as ``score``.
 
-    Per text and word one row goes through the frequency look-up, with the sentences it stands in;
-    sentence texts stay behind and are cut again at the end.
+    Texts are placed once; words, weights and sentences meet in the task of their text, and only hashes
+    of words pass the frequency look-up. Sentences with the same key and place share their words.
     """
-    placed = texts.select(key, text).repartition(key)
-    words = placed.select(
-        key,
-        F.posexplode(F.split(text, SPLIT)).alias("i", "_sentence"),
-    ).select(key, "i", F.regexp_extract_all(F.lower("_sentence"), F.lit(WORDS), F.lit(0)).alias("words"))
-    exploded = words.select(key, "i", (F.size("words") >= SHORTEST).alias("_long"), F.explode("words").alias("gram"))
+    bags, parts = in_bags(texts, key, text)
+    split = bags.select(BAG, key, F.posexplode(F.split("_text", SPLIT)).alias("i", "_sentence")).select(
+        BAG, key, "i", "_sentence", F.regexp_extract_all(F.lower("_sentence"), F.lit(WORDS), F.lit(0)).alias("words")
+    )
+    is_long = F.size("words") >= SHORTEST
+    exploded = split.select(BAG, key, "i", is_long.alias("_long"), F.explode("words").alias("gram"))
     exploded = exploded.filter(~F.col("gram").isin(*STOP_WORDS))
-    grams = exploded.groupBy(key, "gram").agg(
+    grams = exploded.groupBy(BAG, key, "gram").agg(
         F.count("*").alias("tf"),
         F.collect_list(F.when(F.col("_long"), F.col("i"))).alias("places"),
     )
-    weighed = with_tfidf(grams, texts, key)
-    scores = (
-        weighed.select(key, F.explode("places").alias("i"), "raw")
-        .groupBy(key, "i")
-        .agg((F.sum("raw") / F.count("*")).alias("score"))
+    weighed = with_tfidf(grams, bags, parts)
+    sentences = split.filter(is_long).groupBy(BAG).agg(
+        F.collect_list(F.struct(key, "i", F.lit(None).cast("double").alias("raw"), F.trim("_sentence").alias("sentence"))).alias("_sentences")
+    )
+    none = F.lit(None).cast("string").alias("sentence")
+    placed = F.flatten(
+        F.transform("_grams", lambda g: F.transform(g.places, lambda i: F.struct(g[key].alias(key), i.alias("i"), g.raw.alias("raw"), none)))
+    )
+    met = sentences.join(weighed, BAG, "left").select(
+        BAG, F.inline(F.when(F.col("_grams").isNull(), F.col("_sentences")).otherwise(F.concat("_sentences", placed)))
     )
-    sentences = sentence_rows(placed, key, text).select(key, "i", "sentence")
-    return sentences.join(scores, [key, "i"], "left").withColumn(
-        "score", F.round(F.coalesce("score", F.lit(0.0)), 6)
+    scores = met.groupBy(BAG, key, "i").agg(
+        F.avg("raw").alias("score"), F.collect_list("sentence").alias("_same")
     )
+    # a text without a key has no words that could be told from another's
+    score = F.when(F.col(key).isNotNull(), F.col("score"))
+    return scores.select(key, "i", F.explode("_same").alias("sentence"), F.round(F.coalesce(score, F.lit(0.0)), 6).alias("score"))
 
 
 def top_sentences(scored: DataFrame, key: str = "doc_id", k: int = SENTENCES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import uuid
 
 import pytest
@@ -305,3 +306,28 @@ def test_store_from_a_stream(spark, tmp_path):
     stream_normalized(stream, store, str(tmp_path / "state")).awaitTermination()
     assert len(store.batches()) == 3
     assert forms(store.read()) == forms(normalize_corpus(spark.createDataFrame(rows, TEXTS), k=3))
+
+
+def test_parts_of_texts_follow_their_size(spark, monkeypatch):
+    """A task must not grow with the input, and grams and sentences stay in the task of their text."""
+    from galley.operators import skew
+    from galley.operators.summary import sentence_scores
+
+    docs = texts(spark, *[f"The river bridge number {i} opens today. Another long line of words follows." for i in range(20)])
+    size = docs.agg(F.sum(F.length("text"))).first()[0]
+    monkeypatch.setattr(skew, "PART_CHARS", -(-size // 37))
+    for frame in (key_phrases(docs), sentence_scores(docs)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert set(re.findall(r"Exchange hashpartitioning\(_bag#\d+L, (\d+)\)", plan)) == {"37"}
+        assert not re.search(r"Exchange hashpartitioning\((doc_id|gram)", plan)
+    assert sentence_scores(docs).count() == 40
+
+
+def test_texts_that_share_a_key_or_have_none(spark):
+    from galley.operators.summary import sentence_scores
+
+    line = "The river bridge opens again today."
+    docs = spark.createDataFrame([(1, line), (1, line), (None, line), (2, "A quiet town sleeps all day.")], "doc_id LONG, text STRING")
+    scored = sorted(((r.doc_id or 0, r.score) for r in sentence_scores(docs).collect()))
+    assert [k for k, _ in scored] == [0, 1, 1, 2] and scored[0][1] == 0 and scored[1][1] == scored[2][1] > 0
+    assert {r.doc_id for r in key_phrases(docs).collect()} == {None, 1, 2}
