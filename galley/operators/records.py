@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from galley.functions.markup import attribute
 from galley.functions.text import clean_block, clean_text
 from galley.operators.boilerplate import class_and_id
-from galley.operators.dom import dom_rows, with_places
+from galley.operators.dom import dom_rows, page_parts, with_places
 from galley.operators.reports import counted_reason
 from galley.operators.selectors import attach_site, match_rows
 from galley.operators.skew import spread_join
@@ -40,16 +40,17 @@ def page_records(
     """``page_id, url, domain, site, supported, toks, hits, removed_reasons, fallback_selectors, rule_domain``.
 
     Without ``rules`` the built-in ones are used: a fixed handful of rows that is always broadcast.
-    Given rules may be any number; nothing runs while the plan is made.
+    Given rules may be any number; while the plan is made, the lengths of the pages are added up and no rule is read.
     """
     sites = site_table(built_in_rules(pages.sparkSession) if rules is None else rules)
     selectors = selector_rows(sites)
     small = rules is None
     placed = attach_site(pages.select("page_id", "url", "html"), sites, small)
     keep = ("url", "domain", "site", "supported")
-    dom = dom_rows(placed, keep, mode, clustered)
+    parts = None if small and clustered else page_parts(pages)
+    dom = dom_rows(placed, keep, mode, clustered, parts)
     # the built-in rules ask for no parents or siblings
-    rows = match_rows(dom, selectors, small, BUILT_IN_STEPS) if small else match_rows(with_places(dom), selectors, small)
+    rows = match_rows(dom, selectors, small, BUILT_IN_STEPS) if small else match_rows(with_places(dom), selectors, small, parts=parts)
     is_token = F.col("field").isNull()
     is_node = F.col("kind") == "open"
     hits_of_node = F.when(is_node & F.col("tag").isin(*CONTAINERS), content_hits(F.col("attrs"))).otherwise(0)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 from html.parser import HTMLParser
 
 import pytest
@@ -338,3 +339,23 @@ def test_many_rules_do_not_gather_pages_of_a_site(spark):
     by_site = [k for k, line in enumerate(lines) if "Exchange hashpartitioning(site" in line and "_salt" not in line]
     assert all("Aggregate(key=[site" in lines[k + 1] or "Aggregate(keys=[site" in lines[k + 1] for k in by_site)  # the rules themselves
     assert "CartesianProduct" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_parts_of_pages_follow_their_size(spark, monkeypatch):
+    """A task must not grow with the input: the number of parts is set by the lengths of the pages, rules of a user included."""
+    from galley.operators import skew
+
+    frame = pages(spark, *[f"<article>{BODY}</article>"] * 20)
+    size = frame.agg(F.sum(F.length("html"))).first()[0]
+    monkeypatch.setattr(skew, "PART_CHARS", -(-size // 37))
+    plan = dom_rows(frame)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(page_id#\d+L, 37\), REPARTITION_BY_NUM", plan)) == 1
+    rules = load_site_rules(spark, spark.createDataFrame(
+        [("a.org", "h1", "article > p", None, None, [])],
+        "domain STRING, title_selector STRING, content_selector STRING, author_selector STRING, date_selector STRING, fallback_selectors ARRAY<STRING>",
+    ))
+    records = page_records(frame, rules)
+    plan = records._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(page_id#\d+L, 37\)", plan)) == 2
+    assert re.search(r"Exchange hashpartitioning\(_own_key#\d+, _salt#\d+, 37\)", plan)
+    assert records.count() == 20
