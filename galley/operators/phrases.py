@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from galley.functions.lexicon import STOP_WORDS, WORDS
-from galley.operators.skew import balanced_lookup, sized_parts
+from galley.functions.lexicon import STOP_WORDS
+from galley.operators.bags import Terms, groups, half_up, in_order, read_words, with_frequencies, word_hashes
 
 TOP_PHRASES = 10
 TOPIC_CONFIDENCE = 0.8
@@ -14,139 +20,152 @@ TOPIC_WORDS = 3
 TOPICS = 5
 LONGEST = 3
 
+# columns of a phrase; offsets are in characters, the end is exclusive
+PHRASE = {"text": StringType(), "n_words": IntegerType(), "confidence": DoubleType(), "begin_offset": IntegerType(), "end_offset": IntegerType()}
+# phrases that go to the JVM at once
+BATCH_ROWS = 1 << 15
+BATCH_TEXTS = 64
 
-# the hash of a text's key: never null, so it can be joined on, and what texts and their grams are placed by
-BAG = "_bag"
 
+@dataclass
+class Grams:
+    """The grams of a bag, one row per text and gram."""
 
-def in_bags(texts: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int]:
-    """``_bag, key, _text``, hashed once into parts of bounded size (see ``sized_parts``), and their number."""
-    rows = texts.select(F.xxhash64(key).alias(BAG), key, F.col(text).alias("_text"))
-    parts = sized_parts(rows, F.length("_text"))
-    return rows.repartition(parts, BAG), parts
+    texts: pa.Array  # the keys of the texts
+    words: pa.Array  # the vocabulary
+    ids: np.ndarray  # words in order, by place in the vocabulary
+    of: np.ndarray  # number of the text
+    term: np.ndarray  # number of the gram
+    tf: np.ndarray
+    length: np.ndarray  # words
+    first: np.ndarray  # number of the first word at the first place
+    begin: np.ndarray
+    end: np.ndarray
 
 
-def word_rows(bags: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Words with character offsets and sentence numbers: ``_bag, key, i, word, begin, sentence``.
+def read_grams(bag: pa.Table, key: str, longest: int = LONGEST) -> tuple[Terms, Grams]:
+    """Grams of one to ``longest`` adjacent words of one sentence, none starting or ending with a stop word.
 
-    The text is cut into words and the gaps before them; an offset is the running length, a sentence
-    number the running count of gaps that end one. ``bags`` come from ``in_bags``.
-    """
-    source = bags.select(BAG, key, F.lower("_text").alias("_text"))
-    gaps = F.transform(
-        F.split("_text", WORDS),
-        lambda g: F.struct(F.length(g).alias("len"), g.rlike(r"[.!?\n]").cast("int").alias("ends")),
-    )
-    words = F.regexp_extract_all("_text", F.lit(WORDS), F.lit(0))
-    # a gap stands before every word; the one after the last word has no word and is cut off
-    pairs = F.slice(F.arrays_zip(gaps.alias("gap"), words.alias("word")), F.lit(1), F.size(words))
-    rows = source.select(BAG, key, F.posexplode(pairs).alias("i", "p"))
-    so_far = Window.partitionBy(BAG, key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.length("p.word")
-    return rows.select(
-        BAG,
-        key,
-        "i",
-        F.col("p.word").alias("word"),
-        (F.sum(F.col("p.gap.len") + size).over(so_far) - size).cast("int").alias("begin"),
-        F.sum("p.gap.ends").over(so_far).cast("int").alias("sentence"),
-    )
-
-
-# a place is packed into one long, begin above, length below, so that its minimum is a plain number
-_LENGTH_BITS = 24
-
-
-def gram_rows(words: DataFrame, key: str = "doc_id", longest: int = LONGEST) -> DataFrame:
-    """Per text and gram: ``_bag, key, gram, tf`` and the first place as ``begin`` and ``end``.
-
-    Grams of one to ``longest`` adjacent words of one sentence, none starting or ending with a stop
-    word.
+    The words of texts with the same key, or without one, are one sequence, by their numbers.
     """
-    order = Window.partitionBy(BAG, key).orderBy("i")
-    rows = words.withColumn("stop", F.col("word").isin(*STOP_WORDS))
-    here = F.struct("word", "sentence", "begin", "stop")
-    rows = rows.select(
-        BAG, key, here.alias("_0"), *[F.lead(here, n).over(order).alias(f"_{n}") for n in range(1, longest)]
-    ).filter("NOT _0.stop")
-    grams = []
+    words = read_words(bag["_text"].to_pylist())
+    of_text, keys = groups(bag[key])
+    of = of_text[words.text]
+    fresh = np.diff(words.text, prepend=-1) != 0
+    ends_one = words.sentence > np.where(fresh, 0, np.concatenate([[0], words.sentence[:-1]]))
+    order = np.arange(len(of)) if len(keys) == len(of_text) else np.lexsort((words.text, words.place, of))
+    of, ids, size = of[order], words.id[order], words.size[order]
+    sentence = np.cumsum(ends_one[order])
+    end = np.cumsum(words.gap[order] + size)
+    fresh = np.diff(of, prepend=-1) != 0
+    end -= np.repeat((end - size - words.gap[order])[fresh], np.diff(np.flatnonzero(fresh), append=len(of)))
+    begin = end - size
+    stop = np.isin(np.arange(len(words.vocabulary)), pc.index_in(pa.array(STOP_WORDS, pa.large_string()), words.vocabulary).drop_null().to_numpy())[ids]
+    joined = np.concatenate([(of[1:] == of[:-1]) & (sentence[1:] == sentence[:-1]), np.zeros(min(1, len(of)), bool)])
+
+    rows = np.flatnonzero(~stop)  # first words of what may become a gram
+    coded, bound = ids.copy(), max(1, len(words.vocabulary))
+    hashes = word_hashes(words.vocabulary)
+    terms, held = [], []
+    count = 0
     for n in range(longest):
-        last = F.col(f"_{n}")
-        fits = (last.sentence == F.col("_0.sentence")) & ~last.stop
-        size = last.begin + F.length(last.word) - F.col("_0.begin")
-        limit = 1 << _LENGTH_BITS
-        held = F.when(size < limit, size).otherwise(F.raise_error(F.lit(f"a phrase has {limit} characters or more")))
-        place = F.shiftleft(F.col("_0.begin").cast("long"), _LENGTH_BITS) + held
-        gram = F.concat_ws(" ", *[F.col(f"_{k}.word") for k in range(n + 1)])
-        grams.append(F.when(fits, F.struct(gram.alias("gram"), place.alias("place"))))
-    # plain array and explode: both are compiled, a lambda here would be interpreted for every word
-    exploded = rows.select(BAG, key, F.explode(F.array(*grams)).alias("g")).filter("g IS NOT NULL")
-    counted = exploded.select(BAG, key, "g.gram", "g.place").groupBy(BAG, key, "gram").agg(
-        F.count("*").alias("tf"), F.min("place").alias("place")
-    )
-    begin = F.shiftright("place", _LENGTH_BITS).cast("int")
-    size = F.col("place").bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1)).cast("int")
-    return counted.select(BAG, key, "gram", "tf", begin.alias("begin"), (begin + size).alias("end"))
-
-
-_GRAM_KEY = ["g1", "g2"]
-
+        if n:
+            rows = rows[rows + n < len(ids)]
+            rows = rows[joined[rows + n - 1]]
+            # the code of the gram before, and the next word
+            values, bound = coded[rows] * len(words.vocabulary) + ids[rows + n], bound * len(words.vocabulary)
+        else:
+            values = coded[rows]
+        order = in_order(values, bound)
+        at, values = rows[order], values[order]
+        change = np.diff(values, prepend=-1) != 0
+        # dense codes keep the next ones small
+        coded[at], bound = np.cumsum(change) - 1, max(1, len(at))
+        whole = ~stop[at + n]
+        at, change = at[whole], np.diff(values[whole], prepend=-1) != 0
+        pair = np.flatnonzero(change | (np.diff(of[at], prepend=-1) != 0))
+        term = np.cumsum(change)[pair] - 1
+        firsts = at[pair]
+        kinds = at[change]
+        mixed = hashes[:, ids[kinds]]
+        for k in range(1, n + 1):
+            mixed = mixed * _MIX + hashes[:, ids[kinds + k]]
+        terms.append((*mixed, np.bincount(term, minlength=len(kinds))))
+        held.append((of[firsts], term + count, np.diff(pair, append=len(at)), np.full(len(pair), n + 1), firsts, begin[firsts], end[firsts + n]))
+        count += len(kinds)
+    hash_, tail, texts = (np.concatenate(x) for x in zip(*terms))
+    found = Terms(hash_, (tail >> np.uint64(32)).astype(np.uint32), texts)
+    return found, Grams(keys, words.vocabulary, ids, *(np.concatenate(x) for x in zip(*held)))
+
+
+# an odd number; words have random hashes, so sums of their products are as random
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _phrase_columns(grams: Grams, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]:
+    """Number of the text, confidence, and the other columns of ``PHRASE``, in the order of the texts."""
+    longest = int(grams.length.max(initial=1))
+    # a gram has one place for its first word and its length
+    slots = np.full(len(grams.ids) * longest, -1)
+    slots[grams.first * longest + grams.length - 1] = np.arange(len(grams.first))
+    order = slots[slots >= 0]
+    raw = (grams.tf * weights[grams.term])[order]
+    of = grams.of[order]
+    begins = np.flatnonzero(np.diff(of, prepend=-1))
+    best = np.repeat(np.maximum.reduceat(raw, begins), np.diff(begins, append=len(of))) if len(of) else raw
+    confidence = half_up(np.divide(raw, best, out=np.zeros(len(raw)), where=best > 0))
+    first, length = grams.first[order], grams.length[order]
+    words = grams.words.take(pa.array(grams.ids))
+    begins = np.frombuffer(words.buffers()[1], np.int64)[words.offset :][: len(words) + 1]
+    spaced = pc.binary_join_element_wise(words, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+    # with a space behind every word, a gram is one stretch
+    data = np.frombuffer(spaced.buffers()[2] or b"", np.uint8)
+    starts = begins[first] - begins[0] + first
+    sizes = begins[first + length] - begins[first] + length - 1
+    ends = np.cumsum(sizes)
+    stretch = np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+    text = pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(np.concatenate([[0], ends])), pa.py_buffer(data[stretch]))
+    return of, confidence, {
+        "text": text.cast(pa.string()), "n_words": pa.array(length, pa.int32()), "confidence": pa.array(confidence),
+        "begin_offset": pa.array(grams.begin[order], pa.int32()), "end_offset": pa.array(grams.end[order], pa.int32()),
+    }
 
-def with_gram_key(grams: DataFrame) -> DataFrame:
-    """Add 128 bits of the gram: what is counted and looked up instead of the text."""
-    return grams.withColumns({"g1": F.xxhash64("gram"), "g2": F.xxhash64(F.lit(1), "gram")})
 
+def key_phrases(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, text, n_words, confidence, begin_offset, end_offset`` for every gram of every text.
 
-def document_frequency(keyed: DataFrame) -> DataFrame:
-    """Texts per gram key for the grams of at least two texts; a gram that is missing here has one."""
-    return keyed.groupBy(*_GRAM_KEY).agg(F.count("*").alias("df")).filter("df > 1")
+    ``confidence`` is the TF-IDF weight scaled by the largest one of the text. Phrases stand in the
+    order of their first places.
+    """
+    schema = StructType([texts.schema[key], *(StructField(name, kind) for name, kind in PHRASE.items())])
 
+    def rows(bag: pa.Table, grams: Grams, weights: np.ndarray) -> pa.Table:
+        of, _, columns = _phrase_columns(grams, weights)
+        table = pa.Table.from_arrays([grams.texts.take(pa.array(of)), *columns.values()], [key, *columns])
+        return pa.Table.from_batches(table.to_batches(BATCH_ROWS), table.schema)
 
-def with_tfidf(grams: DataFrame, bags: DataFrame, parts: int) -> DataFrame:
-    """``_bag, _grams``: per bag the columns of its gram rows and ``raw = tf * ln((1 + N) / (1 + df))``.
+    return with_frequencies(texts, key, text, lambda bag: read_grams(bag, key), rows, schema)
 
-    Grams never leave the task of their text; only hashes travel. The grams of a bag stand in one order,
-    the look-up takes a gram's hash with its bag and place, and what comes back is bag, place and
-    frequency, put beside the grams in that order. A gram that a large share of all texts holds would
-    send those rows to one task; such grams are looked up by broadcast and their rows spread (see
-    ``balanced_lookup``). ``grams`` and ``bags`` are placed as ``in_bags`` says, in ``parts`` parts.
-    """
-    total = bags.agg(F.count("*")).scalar()
-    columns = [name for name in grams.columns if name != BAG]
-    entry = F.struct(*_GRAM_KEY, *columns)
-    keyed = with_gram_key(grams)
-    held = keyed.groupBy(BAG).agg(F.sort_array(F.collect_list(entry)).alias("_grams"))
-    asked = held.select(BAG, F.posexplode("_grams").alias("_at", "g")).select(BAG, "_at", *[f"g.{k}" for k in _GRAM_KEY])
-    found = balanced_lookup(asked, document_frequency(keyed), _GRAM_KEY, "df", BAG, ["df"])
-    found = found.select(BAG, "_at", F.coalesce("df", F.lit(1)).alias("df")).repartition(parts, BAG)
-    answers = (
-        found.withColumn("idf", F.log((total + 1) / (F.col("df") + 1)))
-        .groupBy(BAG)
-        .agg(F.sort_array(F.collect_list(F.struct("_at", "idf"))).alias("_found"))
-    )
-    raw = F.zip_with(
-        "_grams", "_found", lambda g, f: F.struct(*[g[c].alias(c) for c in columns], (g.tf * f.idf).alias("raw"))
-    )
-    return held.join(answers, BAG).select(BAG, raw.alias("_grams"))
 
+def phrase_lists(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, phrases``: what ``key_phrases`` gives, as one list per key, the most confident first.
 
-def key_phrases(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, text, n, confidence, begin_offset, end_offset`` for every gram of every text.
-
-    ``confidence`` is the TF-IDF weight scaled by the largest one of the text.
+    Ties go to the phrase that comes first. Keys without a phrase have no row.
     """
-    bags, parts = in_bags(texts, key, text)
-    scored = with_tfidf(gram_rows(word_rows(bags, key), key), bags, parts).select(BAG, F.inline("_grams"))
-    scored = scored.withColumn("_best", F.max("raw").over(Window.partitionBy(BAG, key)))
-    scaled = F.when(F.col("_best") > 0, F.col("raw") / F.col("_best")).otherwise(0.0)
-    return scored.select(
-        key,
-        F.col("gram").alias("text"),
-        (F.length("gram") - F.length(F.replace("gram", F.lit(" "), F.lit(""))) + 1).alias("n_words"),
-        F.round(scaled, 6).alias("confidence"),
-        F.col("begin").alias("begin_offset"),
-        F.col("end").alias("end_offset"),
-    )
+    phrase = StructType([StructField(name, kind) for name, kind in PHRASE.items()])
+    schema = StructType([texts.schema[key], StructField("phrases", ArrayType(phrase))])
+
+    def rows(bag: pa.Table, grams: Grams, weights: np.ndarray) -> pa.Table:
+        of, confidence, columns = _phrase_columns(grams, weights)
+        # places rise within a text already
+        order = np.lexsort((-confidence, of))
+        begins = np.flatnonzero(np.diff(of, prepend=-1))
+        items = pa.StructArray.from_arrays([c.take(pa.array(order)) for c in columns.values()], list(columns))
+        lists = pa.ListArray.from_arrays(pa.array([*begins, len(of)], pa.int32()), items)
+        table = pa.Table.from_arrays([grams.texts.take(pa.array(of[begins])), lists], [key, "phrases"])
+        return pa.Table.from_batches(table.to_batches(BATCH_TEXTS), table.schema)
+
+    return with_frequencies(texts, key, text, lambda bag: read_grams(bag, key), rows, schema)
 
 
 def _ranked(phrases: DataFrame, key: str, limit: int) -> DataFrame:
