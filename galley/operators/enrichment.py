@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from galley.functions.flags import ENRICHMENTS
 from galley.functions.text import is_blank
-from galley.operators.phrases import TOP_PHRASES, TOPIC_CONFIDENCE, TOPIC_WORDS, TOPICS, key_phrases
+from galley.operators.phrases import TOP_PHRASES, TOPIC_CONFIDENCE, TOPIC_WORDS, TOPICS, phrase_lists
 from galley.operators.pii import pii_entities, redact
 from galley.operators.sentiment import sentiment
 from galley.operators.summary import summarize
@@ -21,16 +21,10 @@ def enrich_input(articles: DataFrame, normalized: DataFrame, key: str = "doc_id"
 
 
 def topic_lists(phrases: DataFrame, key: str) -> DataFrame:
-    """``key, key_phrases, topics, top_phrases``: arrays in rank order, from one aggregate per text."""
-    order = F.struct(
-        (-F.col("confidence")).alias("below"), "begin_offset", "end_offset", "text", "confidence", "n_words"
-    )
-    ranked = phrases.groupBy(key).agg(F.array_sort(F.collect_list(order)).alias("ranked"))
-    shown = F.transform(
-        "ranked", lambda p: F.struct(p.text.alias("text"), p.confidence.alias("confidence"), p.begin_offset.alias("begin_offset"), p.end_offset.alias("end_offset"))
-    )
-    short = F.filter("ranked", lambda p: (p.confidence > TOPIC_CONFIDENCE) & (p.n_words <= TOPIC_WORDS))
-    return ranked.select(
+    """``key, key_phrases, topics, top_phrases``: arrays in rank order, from the lists of ``phrase_lists``."""
+    shown = F.transform("phrases", lambda p: p.dropFields("n_words"))
+    short = F.filter("phrases", lambda p: (p.confidence > TOPIC_CONFIDENCE) & (p.n_words <= TOPIC_WORDS))
+    return phrases.select(
         key,
         shown.alias("key_phrases"),
         F.transform(F.slice(short, 1, TOPICS), lambda p: F.initcap(p.text)).alias("topics"),
@@ -72,11 +66,14 @@ def enrich(
             ).alias("personal"),
         )
     )
-    phrases = key_phrases(asked("topics"), key)
+    phrases = phrase_lists(asked("topics"), key)
     labels = asked("topics").select(key).join(topic_lists(phrases, key), key, "left")
     empty = F.array().cast("array<string>")
     labels = labels.select(
-        key, F.struct("key_phrases", F.coalesce("topics", empty).alias("topics"), "top_phrases").alias("topic_analysis")
+        key,
+        F.struct("key_phrases", F.coalesce("topics", empty).alias("topics"), "top_phrases").alias("topic_analysis"),
+        # says that there is a result without the lists, which so travel only to who reads them
+        F.lit(True).alias(_HAS_TOPICS),
     )
     short = summarize(asked("summary"), key, limit=limit).select(
         key, F.struct("summary", "original_length", "summary_length", "compression_ratio").alias("digest")
@@ -86,10 +83,11 @@ def enrich(
         rows = rows.join(frame, key, "left")
     return rows.withColumn("features_processed", processed_features()).withColumn(
         "features_requested", requested_features()
-    )
+    ).drop(_HAS_TOPICS)
 
 
-_RESULT_OF = {"sentiment": "mood", "pii": "personal", "topics": "topic_analysis", "summary": "digest"}
+_HAS_TOPICS = "_has_topics"
+_RESULT_OF = {"sentiment": "mood", "pii": "personal", "topics": _HAS_TOPICS, "summary": "digest"}
 
 
 def processed_features() -> Column:
